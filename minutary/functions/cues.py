@@ -62,8 +62,11 @@ def kind_patterns(lexicon: list[Cue]) -> dict[str, str]:
 def kinds_of(sentence: Column, lexicon: list[Cue]) -> Column:
     """The kinds whose cues occur in a sentence, as an array."""
     lowered = F.lower(sentence)
-    hits = [F.when(lowered.rlike(pattern), F.lit(kind)) for kind, pattern in kind_patterns(lexicon).items()]
-    return F.filter(F.array(*hits), lambda kind: kind.isNotNull())
+    hits = [
+        F.when(lowered.rlike(pattern), F.lit(kind)).otherwise(F.lit(""))
+        for kind, pattern in kind_patterns(lexicon).items()
+    ]
+    return F.array_remove(F.array(*hits), "")
 
 
 def _nullif_blank(value: Column) -> Column:

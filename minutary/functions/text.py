@@ -15,17 +15,19 @@ def sentence_list(text: Column) -> Column:
 
 def word_list(text: Column) -> Column:
     """Lower-cased runs of letters, in order."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda word: word != "")
-
-
-def phrase_list(text: Column, n: int) -> Column:
-    """Runs of `n` neighbouring words; plain words for n = 1."""
-    words = word_list(text)
-    if n == 1:
-        return words
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    phrases = F.transform(starts, lambda at: F.array_join(F.slice(words, at, n), " "))
-    return F.when(F.size(words) >= n, phrases).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
+
+
+def phrase_list(words: Column, n: int) -> Column:
+    """Runs of `n` neighbouring words. `words` should be a column of its own, as it is
+    read n times here."""
+    starts = F.greatest(F.size(words) - n + 1, F.lit(0))
+    phrases = F.slice(words, 1, starts) if n > 1 else words
+    for ahead in range(1, n):
+        phrases = F.zip_with(
+            phrases, F.slice(words, 1 + ahead, starts), lambda so_far, word: F.concat(so_far, F.lit(" "), word)
+        )
+    return phrases
 
 
 def rounded(value: Column, places: int = 6) -> Column:

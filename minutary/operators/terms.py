@@ -27,9 +27,12 @@ def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING)
     side and split on the large one by adaptive execution. Meetings are counted from the
     turns, so one without words counts too.
     """
-    phrases = turns.select(*keys, F.explode(tx.phrase_list(F.col("text"), n)).alias("term"))
+    words = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
+    phrases = words.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
     counts = phrases.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("uses"))
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("meetings"))
+    # Counted by way of `uses`, so that both sides need the same columns of `counts` and
+    # Spark splits and shuffles the text once.
+    spread = counts.groupBy("term").agg(F.sum((F.col("uses") > 0).cast("long")).alias("meetings"))
     every = turns.agg(F.count_distinct(*[F.col(name) for name in keys])).scalar()
     weight = tx.rounded(F.col("uses") * F.ln(every / F.col("meetings")))
     return counts.join(spread, "term").select(*keys, "term", "uses", weight.alias("weight"))
@@ -42,9 +45,10 @@ def key_terms(turns: DataFrame, k: int, n: int = 1, keys: tuple[str, ...] = MEET
 
 
 def _sentence_words(turns: DataFrame, min_words: int) -> DataFrame:
-    """Sentences with their words, splitting each turn in its own row."""
-    found = shaping.sentences(turns).withColumn("words", tx.word_list(F.col("sentence")))
-    return found.filter(F.size("words") >= min_words)
+    """Sentences with their words, splitting each turn in its own row. `words` is null
+    for a sentence that is too short; a filter here would split it twice."""
+    found = shaping.sentences(turns).withColumn("_words", tx.word_list(F.col("sentence")))
+    return found.select(*_SENTENCE, "sentence", F.when(F.size("_words") >= min_words, F.col("_words")).alias("words"))
 
 
 _SENTENCE = ["meeting_id", "turn", "pos"]
@@ -73,12 +77,14 @@ def key_sentences(
     """
     found = _sentence_words(turns, min_words)
     if scorer is not None:
-        scored = found.select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
+        scored = found.filter(F.col("words").isNotNull()).select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
     else:
         weights = term_weights(turns) if weights is None else weights
         each = found.select(*_SENTENCE, F.explode("words").alias("term"))
         weighed = each.join(weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
-        scored = weighed.groupBy(*_SENTENCE).agg(tx.rounded(F.avg("weight")).alias("score"))
+        # Weights have six places, so millionths add up exactly in any order.
+        millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long")) / F.count(F.lit(1))
+        scored = weighed.groupBy(*_SENTENCE).agg((F.round(millionths) / 1_000_000).alias("score"))
     best = top_per(scored, ["meeting_id"], [F.desc("score"), F.col("turn"), F.col("pos")], k, "place")
     return _with_sentence(best, turns)
 
@@ -92,11 +98,11 @@ def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame
     all their unit vectors. That sum is one number per word of the meeting, so no two
     sentences are ever paired.
     """
-    found = _sentence_words(turns, min_words).withColumn("words", F.array_distinct("words"))
+    found = _sentence_words(turns, min_words).select(*_SENTENCE, F.array_distinct("words").alias("words"))
     unit = 1 / F.sqrt(F.size("words"))
     each = found.select(*_SENTENCE, unit.alias("unit"), F.explode("words").alias("word"))
     pull = each.groupBy("meeting_id", "word").agg(F.sum("unit").alias("pull"))
-    sizes = found.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("_sentences"))
+    sizes = found.groupBy("meeting_id").agg(F.count("words").alias("_sentences"))
     summed = each.join(pull, ["meeting_id", "word"]).groupBy(*_SENTENCE).agg(
         F.sum(F.col("unit") * F.col("pull")).alias("_with_itself")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from minutary.functions import text as tx
 from minutary.operators import ordering, terms
+from minutary.session import settle
 
 
 def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
@@ -71,6 +72,8 @@ def segments(
     """First and last turn, counts and key terms of each stretch between shifts. Terms
     are weighed against all other stretches; there are never more than `terms_each`."""
     key = ["meeting_id", "segment"]
+    # A few rows per meeting, read several times below.
+    shifts = settle(shifts.select("meeting_id", "turn"))
     numbered = number_segments(turns.select("meeting_id", "turn", "speaker", "text"), shifts, block_turns)
     spans = numbered.groupBy(*key).agg(
         F.min("turn").alias("first_turn"),
@@ -89,7 +92,7 @@ def topic_threads(key_terms: DataFrame, limit: int = ordering.ROWS_IN_ONE_WINDOW
 
     A term shared by very many meetings makes a long chain but never a set of pairs.
     """
-    rows = key_terms.select("term", "meeting_id")
+    rows = settle(key_terms.select("term", "meeting_id"))
     placed = ordering.block_by_range(rows, ["term"], ["meeting_id"], limit)
     linked = ordering.with_previous(placed, ["term"], ["meeting_id"], {"earlier_meeting": "meeting_id"})
     return linked.select("meeting_id", "term", "earlier_meeting")

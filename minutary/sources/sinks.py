@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def with_bucket(df: DataFrame, key: str = "meeting_id", buckets: int = 64) -> DataFrame:
+def with_bucket(df: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
     """A partition column with a fixed number of values, never one folder per meeting."""
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
 def write_minutes(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
