@@ -9,7 +9,7 @@ WORD_BREAK = r"[^\p{L}]+"
 
 
 def sentence_list(text: Column) -> Column:
-    pieces = F.transform(F.split(text, SENTENCE_BREAK), F.trim)
+    pieces = F.transform(F.split(text, SENTENCE_BREAK), lambda piece: F.trim(piece))
     return F.filter(pieces, lambda piece: piece != "")
 
 

@@ -8,6 +8,8 @@ to (or, for look-ahead, what comes next).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minutary.session import settle
@@ -15,6 +17,7 @@ from minutary.session import settle
 BLOCK = "_block"
 TURNS_PER_BLOCK = 1 << 16
 ROWS_IN_ONE_WINDOW = 1 << 20
+MOST_BLOCKS = 50_000
 
 
 def block_by_turn(rows: DataFrame, size: int = TURNS_PER_BLOCK) -> DataFrame:
@@ -29,14 +32,16 @@ def block_by_range(
 
     `order` must be unique inside `keys`. One count finds the largest group; if it fits
     in one window, the whole group is one block. Otherwise rows are range-partitioned by
-    keys and order, which splits a hot key or a hot instant, and the partition number is
-    the block. It is written out, because a second run may sample other bounds.
+    keys and order into blocks of about `limit` rows, which splits a hot key or a hot
+    instant, and the partition number is the block. It is written out, because a second
+    run may sample other bounds.
     """
     sizes = rows.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count").alias("largest")).first()["largest"] or 0
-    if largest <= limit:
+    found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    if (found["largest"] or 0) <= limit:
         return rows.withColumn(BLOCK, F.lit(0))
-    placed = rows.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id())
+    partitions = min(MOST_BLOCKS, math.ceil(found["all"] / limit))
+    placed = rows.repartitionByRange(partitions, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
     return settle(placed)
 
 

@@ -27,11 +27,13 @@ def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING)
     side and split on the large one by adaptive execution. Meetings are counted from the
     turns, so one without words counts too.
     """
+    for name in keys:
+        turns = turns.filter(F.col(name).isNotNull())
     words = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
     phrases = words.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
     counts = phrases.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("uses"))
-    # Counted by way of `uses`, so that both sides need the same columns of `counts` and
-    # Spark splits and shuffles the text once.
+    # Counted by way of `uses`, and keys known not to be null above, so that both sides
+    # need the same of `counts` and Spark splits and shuffles the text once.
     spread = counts.groupBy("term").agg(F.sum((F.col("uses") > 0).cast("long")).alias("meetings"))
     every = turns.agg(F.count_distinct(*[F.col(name) for name in keys])).scalar()
     weight = tx.rounded(F.col("uses") * F.ln(every / F.col("meetings")))

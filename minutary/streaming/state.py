@@ -36,9 +36,10 @@ def _ordered_processor(follow):
     """A processor that hands `follow` the turns in time order.
 
     `follow` has open(handle) to declare its state, load() and store() around a run of
-    turns, take(row, out) for one turn of (micros, turn, speaker, chars), and
-    settle(passed, out) after the run, which returns a time to wake up or None. State is
-    read and written once per run, since each access is a round trip to the JVM.
+    turns, place(row) to sort by, take(row, out) for one turn of (micros, turn, speaker,
+    chars), and settle(passed, out) after the run, which returns a time to wake up or
+    None. State is read and written once per run, since each access is a round trip to
+    the JVM.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -82,7 +83,7 @@ def _ordered_processor(follow):
                 self.waiting.clear()
             out = []
             self.follow.load()
-            for row in sorted(due):
+            for row in sorted(due, key=self.follow.place):
                 self.follow.take(row, out)
             wake = self.follow.settle(passed, out)
             self.follow.store()
@@ -122,6 +123,9 @@ def _session_follower(gap_micros: int):
             for speaker, figures in self.people.items():
                 self.people_state.updateValue((speaker,), tuple(figures))
 
+        def place(self, row):
+            return row[0], row[1]
+
         def take(self, row, out):
             at, _, speaker, chars = row
             if self.span is not None and at - self.span[1] >= gap_micros:
@@ -171,9 +175,12 @@ def _pair_follower(opener: str, reply: str, within_micros: int):
             if self.opened is not None:
                 self.opened_state.update(self.opened)
 
+        def place(self, row):
+            # An opener at the same instant counts as before, whatever its number.
+            return row[0], row[2] != opener, row[1]
+
         def take(self, row, out):
             at, turn, speaker, _ = row
-            # One at the same instant counts as before, whatever its turn number.
             if speaker == opener:
                 self.opened = (at, turn)
             elif speaker == reply and self.opened is not None and at - self.opened[0] <= within_micros:
