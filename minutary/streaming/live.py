@@ -49,9 +49,11 @@ def live_sessions(turns: DataFrame, gap_seconds: int, limit: int = ordering.ROWS
     so one endless meeting is not sorted by a single task.
     """
     if turns.isStreaming:
-        window = F.session_window("started_at", f"{gap_seconds} seconds")
+        # Spark's session takes in a row at exactly its end, so it is a microsecond short.
+        window = F.session_window("started_at", f"{gap_seconds * 1_000_000 - 1} microseconds")
         spans = turns.groupBy("meeting_id", window.alias("span")).agg(F.count(F.lit(1)).alias("turns"))
-        return _spanned(spans).select("meeting_id", "begins_at", "ends_at", "turns")
+        ends = F.col("ends_at") + F.expr("INTERVAL '0.000001' SECOND")
+        return _spanned(spans).select("meeting_id", "begins_at", ends.alias("ends_at"), "turns")
     found = with_session(turns, gap_seconds, limit).groupBy("meeting_id", "begins_at")
     last = F.max("started_at") + F.expr(f"INTERVAL {gap_seconds} SECONDS")
     return found.agg(last.alias("ends_at"), F.count(F.lit(1)).alias("turns"))
