@@ -94,17 +94,19 @@ def length_ranks(turns: DataFrame) -> DataFrame:
     Ranking works on distinct lengths, of which there are never more than characters in
     the longest turn, however many turns there are.
     """
-    lengths = turns.groupBy("meeting_id", F.length("text").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    lengths = turns.groupBy("meeting_id", chars.alias("chars")).agg(F.count(F.lit(1)).alias("n"))
     longest_first = Window.partitionBy("meeting_id").orderBy(F.desc("chars"))
-    up_to = F.sum("n").over(longest_first)
-    total = F.sum("n").over(Window.partitionBy("meeting_id"))
-    longer = up_to - F.col("n")
+    meeting = Window.partitionBy("meeting_id")
+    total = F.sum("n").over(meeting)
+    longer = F.sum("n").over(longest_first) - F.col("n")
     return lengths.select(
         "meeting_id",
         "chars",
         (longer + 1).alias("rank"),
         F.row_number().over(longest_first).cast("long").alias("dense_rank"),
         (F.floor(longer * 4 / total) + 1).alias("quartile"),
+        F.sum(F.col("n") * F.col("chars")).over(meeting).alias("meeting_chars"),
     )
 
 
@@ -112,17 +114,18 @@ def turn_flow(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) ->
     """Per turn: the next speaker and length, the running share of talk, and rank,
     dense rank and quartile by length. Turns of equal length share a quartile."""
     key, order = ["meeting_id"], ["turn"]
-    short = turns.select("meeting_id", "turn", "speaker", F.length("text").cast("long").alias("chars"))
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    short = turns.select("meeting_id", "turn", "speaker", chars.alias("chars"))
     rows = ordering.with_next(
         ordering.block_by_turn(short, block_turns), key, order, {"next_speaker": "speaker", "next_chars": "chars"}
     )
     rows = ordering.carry(rows, key, {"_before": (F.sum("chars"), "sum")})
     running = F.sum("chars").over(ordering.so_far(key, order)) + F.coalesce("_before", F.lit(0))
     rows = rows.withColumn("running_chars", running).drop("_before", ordering.BLOCK)
-    totals = turns.groupBy("meeting_id").agg(F.sum(F.length("text")).alias("_total"))
-    share = F.when(F.col("_total") > 0, tx.rounded(F.col("running_chars") / F.col("_total"))).otherwise(F.lit(0.0))
+    total = F.col("meeting_chars")
+    share = F.when(total > 0, tx.rounded(F.col("running_chars") / total)).otherwise(F.lit(0.0))
     ranked = rows.join(length_ranks(turns), ["meeting_id", "chars"])
-    return ranked.join(totals, "meeting_id").withColumn("running_share", share).drop("_total")
+    return ranked.withColumn("running_share", share).drop("meeting_chars")
 
 
 def balance(turns: DataFrame) -> DataFrame:
