@@ -251,9 +251,9 @@ def _session_minutes(spark, sf):
 
 
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.stream_turns(
-        spark, sf, "10 minutes", mapping=schemas.EVENTS_AS_TURNS, pathGlobFilter="events.parquet"
-    )
+    # A pattern, since a stream takes a plain path for a folder; it fits the table as one
+    # file and as a folder of files.
+    return feeds.stream_turns(spark, f"{sf}/event[s].parquet", "10 minutes", mapping=schemas.EVENTS_AS_TURNS)
 
 
 def _streamed(spark: SparkSession, label: str, stream: DataFrame) -> DataFrame:

@@ -71,6 +71,10 @@ def carry(
     return rows.join(carried, [*keys, BLOCK], "left")
 
 
+def earlier_blocks(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def in_block(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)
 

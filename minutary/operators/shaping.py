@@ -36,26 +36,36 @@ def stretches(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) ->
         ordering.block_by_turn(turns, block_turns), key, order, {"_speaker_before": "speaker", "_turn_before": "turn"}
     )
     opens = F.col("_turn_before").isNull() | ~F.col("speaker").eqNullSafe(F.col("_speaker_before"))
-    marked = placed.withColumn("_opens", F.when(opens, F.col("turn")))
-    rows = ordering.carry(
-        marked,
-        key,
-        {
-            "_open_before": (F.max("_opens"), "max"),
-            "_rows_before": (F.count(F.lit(1)), "sum"),
-        },
+    rows = placed.select(
+        *turns.columns,
+        ordering.BLOCK,
+        F.row_number().over(ordering.in_block(key, order)).alias("_number"),
+        F.when(opens, F.col("turn")).alias("_opens"),
+    )
+    # Rows are numbered in their block; a block's first number and the number of the
+    # latest opening before it follow from one row per block.
+    blocks = rows.groupBy(*key, ordering.BLOCK).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.max("_opens").alias("_last_open"),
+        F.max(F.when(F.col("_opens").isNotNull(), F.col("_number"))).alias("_last_at"),
+    )
+    earlier = ordering.earlier_blocks(key)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    carried = blocks.select(
+        *key,
+        ordering.BLOCK,
+        "_start",
+        F.max("_last_open").over(earlier).alias("_open_before"),
+        F.max(F.col("_start") + F.col("_last_at")).over(earlier).alias("_at_before"),
     )
     window = ordering.so_far(key, order)
-    number = F.coalesce(F.col("_rows_before"), F.lit(0)) + F.count(F.lit(1)).over(window)
-    first = F.coalesce(F.max("_opens").over(window), F.col("_open_before"))
-    numbered = rows.select(*turns.columns, ordering.BLOCK, "_opens", number.alias("_number"), first.alias("first_turn"))
-    # The number of the opening row, carried along the run in the same way.
-    at_open = F.when(F.col("_opens").isNotNull(), F.col("_number"))
-    numbered = ordering.carry(
-        numbered.withColumn("_at_open", at_open), key, {"_at_before": (F.max("_at_open"), "max")}
+    number = F.col("_start") + F.col("_number")
+    opened = F.max(F.when(F.col("_opens").isNotNull(), number)).over(window)
+    return rows.join(carried, [*key, ordering.BLOCK]).select(
+        *turns.columns,
+        F.coalesce(F.max("_opens").over(window), F.col("_open_before")).alias("first_turn"),
+        (number - F.coalesce(opened, F.col("_at_before"))).alias("place"),
     )
-    opened = F.coalesce(F.max("_at_open").over(window), F.col("_at_before"))
-    return numbered.select(*turns.columns, "first_turn", (F.col("_number") - opened).alias("place"))
 
 
 def stitch_turns(
