@@ -1,4 +1,4 @@
-"""Session settings and the one place that cuts lineage."""
+"""Session settings, the shared folder, and the one place that cuts lineage."""
 
 from __future__ import annotations
 
@@ -54,18 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder of its own.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
-        folder = configured
-    elif context.getCheckpointDir():
-        return context.getCheckpointDir()
-    elif context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-minutary-", dir="/tmp")
-    else:
+        return configured
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-minutary-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -74,6 +69,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once, so that later steps read fixed rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder once and read it from there.
+
+    Later steps then see fixed rows whatever executors are lost, read only the columns
+    they need, and Spark knows the size. The folder may be cleared between jobs.
+    """
+    path = work_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
