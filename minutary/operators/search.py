@@ -12,30 +12,33 @@ B = 0.75
 
 
 def _uses(words: str, wanted: str) -> Column:
-    return F.size(F.filter(words, lambda word: word == wanted))
+    return F.size(words) - F.size(F.array_remove(words, wanted))
 
 
 def search_turns(turns: DataFrame, query: str | list[str], k: int) -> DataFrame:
-    """The k turns that match best by BM25, ties by key.
+    """The k turns that match best by BM25, ties by key. Words are runs of letters.
 
-    Words are counted in the row, for the words asked only; the corpus figures are one
-    row of sums. Nothing is shuffled but those sums and k rows per task.
+    The corpus figures are one row of sums. Turns without any of the words are passed
+    over by a pattern before they are split. Nothing is shuffled but those sums and k
+    rows per task.
     """
     asked = query.lower().split() if isinstance(query, str) else [word.lower() for word in query]
-    asked = sorted(set(asked))
+    asked = sorted({word for word in asked if word.isalpha()})
     if not asked:
         raise ValueError("nothing to search for")
-    read = turns.select("meeting_id", "turn", tx.word_list(F.col("text")).alias("_words"))
-    hits = [_uses("_words", wanted).alias(f"_tf{at}") for at, wanted in enumerate(asked)]
-    counted = read.select("meeting_id", "turn", F.size("_words").alias("_words"), *hits)
-    figures = counted.agg(
+    words = turns.select(tx.word_list(F.col("text")).alias("_words"))
+    figures = words.agg(
         F.struct(
             F.count(F.lit(1)).alias("turns"),
-            F.avg("_words").alias("mean_words"),
-            *[F.sum((F.col(f"_tf{at}") > 0).cast("long")).alias(f"with{at}") for at in range(len(asked))],
+            F.avg(F.size("_words")).alias("mean_words"),
+            *[F.count_if(F.array_contains("_words", word)).alias(f"with{at}") for at, word in enumerate(asked)],
         ).alias("figures")
     ).scalar()
-    rows = counted.filter(" OR ".join(f"_tf{at} > 0" for at in range(len(asked)))).withColumn("_f", figures)
+    some = r"(^|[^\p{L}])(" + "|".join(asked) + r")([^\p{L}]|$)"
+    found = turns.filter(F.lower("text").rlike(some))
+    split = found.select("meeting_id", "turn", tx.word_list(F.col("text")).alias("_words"))
+    uses = [_uses("_words", word).alias(f"_tf{at}") for at, word in enumerate(asked)]
+    rows = split.select("meeting_id", "turn", F.size("_words").alias("_words"), *uses).withColumn("_f", figures)
     score = F.lit(0.0)
     for at in range(len(asked)):
         with_word = F.col(f"_f.with{at}")

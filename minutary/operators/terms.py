@@ -29,8 +29,11 @@ def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING)
     """
     for name in keys:
         turns = turns.filter(F.col(name).isNotNull())
-    words = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
-    phrases = words.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
+    if n == 1:
+        phrases = turns.select(*keys, F.explode(tx.word_list(F.col("text"))).alias("term"))
+    else:
+        words = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
+        phrases = words.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
     counts = phrases.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("uses"))
     # Counted by way of `uses`, and keys known not to be null above, so that both sides
     # need the same of `counts` and Spark splits and shuffles the text once.
@@ -46,11 +49,15 @@ def key_terms(turns: DataFrame, k: int, n: int = 1, keys: tuple[str, ...] = MEET
     return top_per(weights, list(keys), [F.desc("weight"), F.col("term")], k, "rank")
 
 
-def _sentence_words(turns: DataFrame, min_words: int) -> DataFrame:
-    """Sentences with their words, splitting each turn in its own row. `words` is null
-    for a sentence that is too short; a filter here would split it twice."""
-    found = shaping.sentences(turns).withColumn("_words", tx.word_list(F.col("sentence")))
-    return found.select(*_SENTENCE, "sentence", F.when(F.size("_words") >= min_words, F.col("_words")).alias("words"))
+def _sentence_words(turns: DataFrame) -> DataFrame:
+    """Sentences with their words, splitting each turn in its own row."""
+    return shaping.sentences(turns).withColumn("words", tx.word_list(F.col("sentence")))
+
+
+def _each(words: str, at_least: int) -> Column:
+    """One row per word of a sentence that has enough of them. Exploding an expression
+    rather than the column keeps Spark from adding a filter that splits it again."""
+    return F.explode(F.when(F.size(words) >= at_least, F.col(words)))
 
 
 _SENTENCE = ["meeting_id", "turn", "pos"]
@@ -77,12 +84,12 @@ def key_sentences(
     `scorer`, a vectorized function of the sentence, replaces the weight: see
     `functions.hooks.sentence_scorer`.
     """
-    found = _sentence_words(turns, min_words)
+    found = _sentence_words(turns)
     if scorer is not None:
-        scored = found.filter(F.col("words").isNotNull()).select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
+        scored = found.filter(F.size("words") >= min_words).select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
     else:
         weights = term_weights(turns) if weights is None else weights
-        each = found.select(*_SENTENCE, F.explode("words").alias("term"))
+        each = found.select(*_SENTENCE, _each("words", min_words).alias("term"))
         weighed = each.join(weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
         # Weights have six places, so millionths add up exactly in any order.
         millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long")) / F.count(F.lit(1))
@@ -100,11 +107,11 @@ def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame
     all their unit vectors. That sum is one number per word of the meeting, so no two
     sentences are ever paired.
     """
-    found = _sentence_words(turns, min_words).select(*_SENTENCE, F.array_distinct("words").alias("words"))
+    found = _sentence_words(turns).select(*_SENTENCE, F.array_distinct("words").alias("words"))
     unit = 1 / F.sqrt(F.size("words"))
-    each = found.select(*_SENTENCE, unit.alias("unit"), F.explode("words").alias("word"))
+    each = found.select(*_SENTENCE, unit.alias("unit"), _each("words", min_words).alias("word"))
     pull = each.groupBy("meeting_id", "word").agg(F.sum("unit").alias("pull"))
-    sizes = found.groupBy("meeting_id").agg(F.count("words").alias("_sentences"))
+    sizes = found.groupBy("meeting_id").agg(F.count_if(F.size("words") >= min_words).alias("_sentences"))
     summed = each.join(pull, ["meeting_id", "word"]).groupBy(*_SENTENCE).agg(
         F.sum(F.col("unit") * F.col("pull")).alias("_with_itself")
     )

@@ -28,7 +28,8 @@ def _spanned(counts: DataFrame) -> DataFrame:
 def with_session(turns: DataFrame, gap_seconds: int, limit: int = ordering.ROWS_IN_ONE_WINDOW) -> DataFrame:
     """Add `begins_at`, the start of the session each turn belongs to (tables only).
 
-    A silence of `gap_seconds` or more ends a session. Turn ids have to be unique.
+    A silence of `gap_seconds` or more ends a session. Turn ids have to be unique. A
+    large meeting is written out on the way, so pass only the columns needed.
     """
     key, order = ["meeting_id"], ["started_at", "turn"]
     placed = ordering.block_by_range(turns.filter(F.col("started_at").isNotNull()), key, order, limit)
@@ -54,7 +55,8 @@ def live_sessions(turns: DataFrame, gap_seconds: int, limit: int = ordering.ROWS
         spans = turns.groupBy("meeting_id", window.alias("span")).agg(F.count(F.lit(1)).alias("turns"))
         ends = F.col("ends_at") + F.expr("INTERVAL '0.000001' SECOND")
         return _spanned(spans).select("meeting_id", "begins_at", ends.alias("ends_at"), "turns")
-    found = with_session(turns, gap_seconds, limit).groupBy("meeting_id", "begins_at")
+    short = turns.select("meeting_id", "turn", "started_at")
+    found = with_session(short, gap_seconds, limit).groupBy("meeting_id", "begins_at")
     last = F.max("started_at") + F.expr(f"INTERVAL {gap_seconds} SECONDS")
     return found.agg(last.alias("ends_at"), F.count(F.lit(1)).alias("turns"))
 
@@ -84,6 +86,8 @@ def live_pairs(
     One opener per reply is kept in state (or carried down the order), where a join of
     the two streams would pair every reply with every opener in reach.
     """
+    if opener == reply:
+        raise ValueError("opener and reply have to differ")
     if turns.isStreaming:
         return state.paired(turns, opener, reply, within_seconds)
     replies = turns.filter(F.col("speaker") == reply).select("meeting_id", "turn", "started_at")
@@ -103,11 +107,12 @@ def live_pairs(
 def session_minutes(turns: DataFrame, gap_seconds: int, limit: int = ordering.ROWS_IN_ONE_WINDOW) -> DataFrame:
     """Per session and speaker: turns, characters, end of session and its last speaker.
     The same figures as `state.running_minutes`, from a table."""
-    spoken = with_session(turns, gap_seconds, limit)
+    short = turns.select("meeting_id", "turn", "speaker", "started_at", F.length("text").alias("chars"))
+    spoken = with_session(short, gap_seconds, limit)
     key = ["meeting_id", "begins_at"]
     people = spoken.groupBy(*key, "speaker").agg(
         F.count(F.lit(1)).alias("turns"),
-        F.sum(F.length("text")).alias("chars"),
+        F.sum("chars").alias("chars"),
         F.max(F.struct("started_at", "turn")).alias("_last"),
     )
     ends = people.groupBy(*key).agg(
