@@ -8,8 +8,8 @@ from minutary.operators import ordering
 
 
 def label_turns(turns: DataFrame) -> DataFrame:
-    """Add `reason`: null for a good row, else the first that holds of duplicate key,
-    blank text and null speaker. All rows of a repeated key are rejected, since none
+    """Add `reason`: null for a good row, else the first that holds of missing key,
+    duplicate key, blank text and null speaker. All rows of a repeated key are rejected, since none
     can be told to be the right one.
 
     Repeats are found by a count that combines before the shuffle, so a key repeated
@@ -18,7 +18,8 @@ def label_turns(turns: DataFrame) -> DataFrame:
     keys = ["meeting_id", "turn"]
     repeated = turns.groupBy(*keys).count().filter("count > 1").select(*keys, F.lit(True).alias("_twice"))
     reason = (
-        F.when(F.col("_twice"), "duplicate key")
+        F.when(F.col("meeting_id").isNull() | F.col("turn").isNull(), "missing key")
+        .when(F.col("_twice"), "duplicate key")
         .when(F.coalesce(F.trim("text"), F.lit("")) == "", "blank text")
         .when(F.col("speaker").isNull(), "null speaker")
     )

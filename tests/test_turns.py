@@ -40,6 +40,8 @@ def bad(make_turns):
         (1, 3, None, "no speaker"),
         (1, 6, "bob", "after a gap"),
         (1, 7, "bob", None),
+        (1, None, "ann", "when?"),
+        (None, None, "ann", "where?"),
         (2, 4, "ann", "starts late"),
         (2, 5, "ann", "goes on"),
     )
@@ -49,7 +51,9 @@ def bad(make_turns):
 def test_checks(bad, rows, block):
     clean, rejects = checks.check_turns(bad, block)
     assert rows(rejects, "turn", "reason") == sorted(
-        [(1, "duplicate key"), (1, "duplicate key"), (2, "blank text"), (3, "null speaker"), (7, "blank text")], key=repr
+        [(1, "duplicate key"), (1, "duplicate key"), (2, "blank text"), (3, "null speaker"), (7, "blank text")]
+        + [(None, "missing key")] * 2,
+        key=repr,
     )
     assert rows(clean, "meeting_id", "turn", "missing_before") == [(1, 0, 0), (1, 6, 5), (2, 4, 0), (2, 5, 0)]
 
