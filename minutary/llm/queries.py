@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import lines, simhash
+from minutary.llm import decontaminate, lines, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _decontaminate(spark, sf):
+    found = decontaminate.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "shingles", "found")
+
+
 def _simhash(spark, sf):
     found = simhash.near_copies(_table(spark, sf, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint")
@@ -27,6 +32,7 @@ def _lines(spark, sf):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": _decontaminate,
     "op5_simhash": _simhash,
     "op8_lines": _lines,
 }
@@ -53,3 +59,22 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+SQL["op1_decontaminate"] = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+),
+split AS (
+    SELECT kind, id, list_filter(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM texts
+),
+shingles AS (
+    SELECT DISTINCT kind, id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
+    FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM split WHERE len(words) > 0)
+),
+sized AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS shingles, count(*) AS found
+FROM shingles d JOIN shingles b ON d.shingle = b.shingle AND d.kind = 'd' AND b.kind = 'b' JOIN sized ON sized.id = b.id
+GROUP BY d.id, b.id HAVING count(*) * 10 >= any_value(n) * 8
+"""
