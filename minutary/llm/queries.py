@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import decontaminate, lines, simhash
+from minutary.llm import bpe, decontaminate, lines, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,13 @@ def _simhash(spark, sf):
     return found.select("doc_id", fingerprint, "component_id")
 
 
+def _bpe(spark, sf):
+    coded = bpe.encode_texts(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "rest.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def _lines(spark, sf):
     left = lines.drop_repeated_lines(_table(spark, sf, "documents"))
     return left.select("rest.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,6 +42,7 @@ def _lines(spark, sf):
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
     "op5_simhash": _simhash,
+    "op6_bpe": _bpe,
     "op8_lines": _lines,
 }
 
