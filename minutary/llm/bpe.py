@@ -17,7 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from minutary.llm import batches
 
@@ -195,5 +195,6 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                 "decoded": [automaton.decode(each) for each in ids],
             }
 
-    schema = packed.select("rest").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    added = T.StructType.fromDDL("n_tokens long, ids binary, decoded binary")
+    schema = T.StructType(packed.select("rest").schema.fields + added.fields)
     return batches.map_arrow(packed, step, schema)

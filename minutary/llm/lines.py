@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from minutary.llm import batches
 from minutary.session import settle
@@ -207,7 +207,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 "n_dropped": counts - np.array([len(lines) for lines, _ in left], dtype=np.int64),
             }
 
-    schema = joined.select("rest", "text").schema.add("n_lines", "long").add("n_dropped", "long")
+    added = T.StructType.fromDDL("n_lines long, n_dropped long")
+    schema = T.StructType(joined.select("rest", "text").schema.fields + added.fields)
     return batches.map_arrow(joined, step, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, lines, simhash
+from minutary.llm import bpe, decontaminate, langid, lines, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def _bpe(spark, sf):
     )
 
 
+def _langid(spark, sf):
+    docs = _table(spark, sf, "documents")
+    model = langid.learn(docs.filter(langid.remainder("doc_id", 4) != 2))
+    named = langid.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(langid.remainder("rest.doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return named.select("rest.doc_id", held_out, "lang_pred", "score")
+
+
 def _lines(spark, sf):
     left = lines.drop_repeated_lines(_table(spark, sf, "documents"))
     return left.select("rest.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
     "op5_simhash": _simhash,
     "op6_bpe": _bpe,
+    "op7_langid": _langid,
     "op8_lines": _lines,
 }
 

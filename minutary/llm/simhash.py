@@ -60,17 +60,18 @@ def majority_bits(hashes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, bits) for every row. No word (also null): zero bits."""
+    """(doc_id, text_hash, bits) for every row. No word (also null): zero bits."""
 
     def step(source):
         for batch in batches.pieces(source, TEXTS_IN_HAND):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             joined, starts, ends, owner = hashing.shingle_spans(texts, size)
             hashes = hashing.xxh64_spans(joined, starts, ends, SEED)
-            yield {"doc_id": batch.column("doc_id"), "bits": majority_bits(hashes, owner, len(texts)).view(np.int64)}
+            kept = {name: batch.column(name) for name in ("doc_id", "text_hash")}
+            yield kept | {"bits": majority_bits(hashes, owner, len(texts)).view(np.int64)}
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), batches.text_bytes().alias("text"))
-    return batches.map_arrow(narrow, step, "doc_id long, bits long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), batches.text_bytes().alias("text"))
+    return batches.map_arrow(narrow, step, "doc_id long, text_hash long, bits long")
 
 
 def segment_counts(bits: np.ndarray) -> np.ndarray:
@@ -143,22 +144,30 @@ def linked_points(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, bits, component_id) for every row of `docs` (doc_id, text).
+    """(doc_id, text_hash, bits, group, component_id) for every row of `docs` (doc_id, text).
 
-    component_id is the smallest doc_id that links reach, the row's own included. Rows that
-    repeat a doc_id are each a text of their own. Null doc_ids are no component's name unless
-    nothing else is in it. An empty table gives an empty one. Other columns are not looked at.
+    component_id is the smallest doc_id that links reach, the row's own included; `group` is one
+    fingerprint of the component and its name where no row has a doc_id (component_id is null
+    then). Rows that repeat a doc_id are each a text of their own, told apart by `text_hash`
+    (Spark's xxhash64). Null, empty and wordless texts have fingerprint zero and are copies of
+    each other. An empty table gives an empty one. Other columns are not looked at.
     """
     marked = settle(fingerprints(docs))
-    points = settle(marked.groupBy("bits").agg(F.min("doc_id").alias("doc_id")))
-    return marked.join(_component_of(points, chunk), "bits").select("doc_id", "bits", "component_id")
-
-
-def _component_of(points: DataFrame, chunk: int) -> DataFrame:
-    """(bits, component_id). A point without any doc_id, or that shares its smallest one with
-    another point (repeated rows), still needs a name of its own: the bits serve as nodes."""
-    links = linked_points(points.select(F.col("bits").alias("node"), "bits"), chunk)
-    parts = cc.components(links).withColumnRenamed("node", "bits")
-    joined = points.join(parts, "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    lowest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(lowest, "component").select("bits", "component_id")
+    points = marked.groupBy("bits").agg(F.min("doc_id").alias("doc_id"))
+    links = linked_points(settle(points.select(F.col("bits").alias("node"), "bits")), chunk)
+    parts = cc.components(links).select(F.col("node").alias("bits"), F.col("component").alias("group"))
+    grouped = points.join(parts, "bits", "left").withColumn("group", F.coalesce("group", "bits"))
+    lowest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.select("bits", "group").join(lowest, "group")
+    return marked.join(named, "bits").select("doc_id", "text_hash", "bits", "group", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the smallest doc_id, null last, and of its texts
+    the one with the smallest hash; of equal rows one. The same columns."""
+    marked = near_copies(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept")
+    kept = marked.groupBy("group").agg(first).select(F.col("kept.doc_id").alias("_doc"), F.col("kept.text_hash").alias("_hash"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
+    return packed.join(kept, same, "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")
