@@ -76,3 +76,9 @@ def map_arrow(df: DataFrame, step: Callable, schema: str | StructType) -> DataFr
             yield pa.RecordBatch.from_arrays([column(columns[field.name], field.type) for field in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def with_fields(packed: DataFrame, kept: list[str], step: Callable, added: str) -> DataFrame:
+    """`map_arrow` to the columns `kept`, as they are, and those of the DDL `added`."""
+    fields = packed.select(*kept).schema.fields + StructType.fromDDL(added).fields
+    return map_arrow(packed, step, StructType(fields))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, langid, lines, simhash
+from minutary.llm import bpe, decontaminate, langid, lines, ngrams, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def _decontaminate(spark, sf):
     return found.select("doc_id", "item_id", "shingles", "found")
 
 
+def _ngrams(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = ngrams.learn(docs.filter(langid.remainder("doc_id", 10) != 0))
+    held_out = F.coalesce(langid.remainder("rest.doc_id", 10) == 0, F.lit(False)).alias("held_out")
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    return ngrams.score_texts(docs, model).select("rest.doc_id", held_out, *names)
+
+
 def _simhash(spark, sf):
     found = simhash.near_copies(_table(spark, sf, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint")
@@ -49,6 +57,7 @@ def _lines(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
+    "op3_ngrams": _ngrams,
     "op5_simhash": _simhash,
     "op6_bpe": _bpe,
     "op7_langid": _langid,
