@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, langid, lines, ngrams, simhash
+from minutary.llm import bpe, decontaminate, langid, lines, ngrams, simhash, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,9 +55,14 @@ def _lines(spark, sf):
     return left.select("rest.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _vectors(spark, sf):
+    return vectors.near_copies(_table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
     "op3_ngrams": _ngrams,
+    "op4_vectors": _vectors,
     "op5_simhash": _simhash,
     "op6_bpe": _bpe,
     "op7_langid": _langid,
@@ -105,3 +110,24 @@ SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS shingle
 FROM shingles d JOIN shingles b ON d.shingle = b.shingle AND d.kind = 'd' AND b.kind = 'b' JOIN sized ON sized.id = b.id
 GROUP BY d.id, b.id HAVING count(*) * 10 >= any_value(n) * 8
 """
+
+_COSINE = """
+vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+)
+"""
+
+SQL["op4_vectors"] = f"""
+WITH RECURSIVE {_COSINE},
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN parts USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
