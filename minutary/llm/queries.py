@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, langid, lines, ngrams, simhash, vectors
+from minutary.llm import bpe, decontaminate, langid, lines, ngrams, ordinal, simhash, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +55,25 @@ def _lines(spark, sf):
     return left.select("rest.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _ordinal(spark, sf):
+    """Grades 0 toxic, 1 poor, 2 good; kept if a good one is likelier than not."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    rated = _table(spark, sf, "labels").select("doc_id", ordinal.grade_of().alias("grade"))
+    model = ordinal.learn(docs, rated.filter(langid.remainder("doc_id", 10) != 0), levels=3)
+    tail = F.col("tails")[1]
+    held_out = F.coalesce(langid.remainder("rest.doc_id", 10) == 0, F.lit(False)).alias("held_out")
+    return ordinal.grade_texts(docs, model).select(
+        "rest.doc_id", held_out, "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("kept")
+    )
+
+
 def _vectors(spark, sf):
     return vectors.near_copies(_table(spark, sf, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
+    "op2_ordinal": _ordinal,
     "op3_ngrams": _ngrams,
     "op4_vectors": _vectors,
     "op5_simhash": _simhash,
