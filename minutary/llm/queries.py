@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, langid, lines, ngrams, ordinal, simhash, vectors
+from minutary.llm import bpe, decontaminate, html, langid, lines, ngrams, ordinal, simhash, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,11 @@ def _bpe(spark, sf):
     )
 
 
+def _html(spark, sf):
+    found = html.main_text(_table(spark, sf, "pages"))
+    return found.select("rest.page_id", "rest.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def _langid(spark, sf):
     docs = _table(spark, sf, "documents")
     model = langid.learn(docs.filter(langid.remainder("doc_id", 4) != 2))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": _bpe,
     "op7_langid": _langid,
     "op8_lines": _lines,
+    "op10_html": _html,
 }
 
 SQL: dict[str, str] = {}
