@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, html, langid, lines, ngrams, ordinal, simhash, vectors
+from minutary.llm import bpe, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,22 @@ def _ordinal(spark, sf):
     )
 
 
+def _urls(spark, sf):
+    """Captures are the pages, fetched on a day that follows from the id. Every page also gives
+    a list entry on another day: its host or the first part of its path goes on or off."""
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+
+    def day(number):
+        return F.date_add(F.lit("2024-01-01").cast("date"), (number % 366).cast("int"))
+
+    captures = pages.select("page_id", "url", day(F.col("page_id")).alias("fetched_on"))
+    size = F.length("url")
+    key = F.when(size % 3 == 0, urls.host_of()).otherwise(F.concat_ws("/", urls.host_of(), urls.path_parts()[0]))
+    entries = pages.select(key.alias("key"), day(F.col("page_id") * 7).alias("listed_on"), (size % 2 == 0).alias("listed"))
+    judged = urls.judge(captures, entries)
+    return judged.select("row.page_id", "blocked", "n_entries", "entry", F.col("listed_on").cast("string").alias("listed_on"))
+
+
 def _vectors(spark, sf):
     return vectors.near_copies(_table(spark, sf, "embeddings"))
 
@@ -85,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": _bpe,
     "op7_langid": _langid,
     "op8_lines": _lines,
+    "op9_urls": _urls,
     "op10_html": _html,
 }
 
@@ -150,3 +167,33 @@ counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN parts USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
+
+SQL["op9_urls"] = r"""
+WITH parts AS (
+    SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+        DATE '2024-01-01' + CAST((page_id * 7) % 366 AS INTEGER) AS listed_on, length(url) AS size,
+        rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '.') AS host,
+        list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS path
+    FROM pages
+),
+entries AS (
+    SELECT CASE WHEN size % 3 = 0 THEN host ELSE concat_ws('/', host, path[1]) END AS key, listed_on,
+        bool_or(size % 2 = 0) AS listed
+    FROM parts GROUP BY ALL
+),
+spans AS (SELECT *, lead(listed_on) OVER (PARTITION BY key ORDER BY listed_on) AS until FROM entries),
+asked AS (
+    SELECT page_id, fetched_on, array_to_string(string_split(host, '.')[i:], '.') AS key
+    FROM (SELECT *, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM parts) WHERE host <> ''
+    UNION ALL
+    SELECT page_id, fetched_on, concat_ws('/', host, array_to_string(path[:i], '/'))
+    FROM (SELECT *, unnest(generate_series(1, len(path))) AS i FROM parts) WHERE host <> ''
+),
+hits AS (
+    SELECT page_id, count(*) AS n, max({'size': length(a.key), 'key': a.key, 'since': s.listed_on}) AS best
+    FROM asked a JOIN spans s ON a.key = s.key AND s.listed AND fetched_on >= s.listed_on AND (until IS NULL OR fetched_on < until)
+    GROUP BY page_id
+)
+SELECT page_id, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, best.key AS entry, CAST(best.since AS VARCHAR) AS listed_on
+FROM pages LEFT JOIN hits USING (page_id)
+"""
