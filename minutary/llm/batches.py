@@ -6,18 +6,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 ROWS_IN_HAND = 256
+BYTES_IN_HAND = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_IN_HAND) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most `rows`, so that Python objects of few texts live at once."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], rows: int = ROWS_IN_HAND, text: str | None = None, size: int = BYTES_IN_HAND
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most `rows` and, if `text` names a column, about `size` bytes
+    of it, so that few Python objects live at once. A longer text is a slice of its own."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        cuts = set(range(0, batch.num_rows, rows))
+        if text:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy())
+            cuts |= {int(at) + 1 for at in passed(ends, size)}
+        bounds = [*sorted(cut for cut in cuts if cut < batch.num_rows), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            yield batch.slice(start, end - start)
+
+
+def passed(ends: np.ndarray, size: int) -> np.ndarray:
+    """Rows after which a running total passes another multiple of `size`."""
+    return np.flatnonzero(np.diff(ends // size, prepend=0))
 
 
 def text_bytes(name: str = "text") -> Column:

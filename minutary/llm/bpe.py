@@ -186,7 +186,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def step(source):
         automaton = shared.value
-        for batch in batches.pieces(source, TEXTS_IN_HAND):
+        for batch in batches.pieces(source, TEXTS_IN_HAND, "text"):
             ids = [automaton.encode(text) for text in batch.column("text").to_pylist()]
             yield {
                 "rest": batch.column("rest"),

@@ -103,7 +103,7 @@ def document_hits(docs: DataFrame, flags: np.ndarray, size: int = SHINGLE) -> Da
         return (flags[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def step(source):
-        for batch in batches.pieces(source, 64):
+        for batch in batches.pieces(source, text="text"):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             joined, starts, ends, owner = hashing.shingle_spans(texts, size)
             slots, seconds = filter_places(hashing.rolling_hashes(joined, starts, ends))

@@ -84,7 +84,7 @@ def letter_counts(docs: DataFrame, lang: str = "lang") -> DataFrame:
         lower, script = letter_tables()
         width = BUCKETS + len(SCRIPTS)
         totals: dict[str, np.ndarray] = {}
-        for batch in batches.pieces(source):
+        for batch in batches.pieces(source, text="text"):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for name in dict.fromkeys(langs):
                 codes, letters, _ = _letters([text for text, own in zip(texts, langs) if own == name], lower)
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENA
     def step(source):
         lower, script = letter_tables()
         model = shared.value
-        for batch in batches.pieces(source, DOCS_IN_HAND):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             codes, letters, begins = _letters(texts, lower)
             if model.langs:

@@ -120,7 +120,7 @@ def learn(docs: DataFrame, grades: DataFrame, levels: int, sample_rows: int = SA
     picked = docs.select("doc_id", batches.text_bytes().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
 
     def step(source):
-        for batch in batches.pieces(source, DOCS_IN_HAND):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
             owner, bucket, shares = features(batch.column("text").to_pylist())
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             buckets = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
@@ -161,7 +161,7 @@ def grade_texts(docs: DataFrame, model: GradeModel) -> DataFrame:
 
     def step(source):
         model = shared.value
-        for batch in batches.pieces(source, DOCS_IN_HAND):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
             values = model.values(batch.column("text").to_pylist())
             tails = model.tails(values)
             yield {"rest": batch.column("rest"), "value": values, "expected_grade": tails.sum(axis=1), "tails": tails.tolist()}

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, bits) for every row. No word (also null): zero bits."""
 
     def step(source):
-        for batch in batches.pieces(source, TEXTS_IN_HAND):
+        for batch in batches.pieces(source, TEXTS_IN_HAND, "text"):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             joined, starts, ends, owner = hashing.shingle_spans(texts, size)
             hashes = hashing.xxh64_spans(joined, starts, ends, SEED)
