@@ -21,9 +21,9 @@ from minutary.streaming import feeds, live, sinks as live_sinks, state
 Query = Callable[[SparkSession, str], DataFrame]
 
 MASKS = [
-    publishing.Rule("article", "(^| )(the|die|la) ", "$1* "),
+    publishing.Rule("article", "(?<![^ ])(?:the|die|la)(?= )", "*"),
     publishing.Rule("number", "[0-9]+", "#"),
-    publishing.Rule("preposition", " (of|de|von) ", " ~ "),
+    publishing.Rule("preposition", "(?<= )(?:of|de|von)(?= )", "~"),
 ]
 
 
@@ -31,6 +31,12 @@ def talk_of(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.read_turns(spark, f"{sf}/conversations.parquet", mapping=schemas.CONVERSATIONS_AS_TURNS)
 
 
+def spoken_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Talk in which turns take turns between the languages of the cues."""
+    langs = F.array(*[F.lit(lang) for lang in ("en", "de", "fr", "es")])
+    return talk_of(spark, sf).withColumn("lang", F.get(langs, (F.col("turn") % 4).cast("int")))
+
+
 def activity_of(spark: SparkSession, sf: str) -> DataFrame:
     return transcripts.read_turns(spark, f"{sf}/events.parquet", mapping=schemas.EVENTS_AS_TURNS)
 
@@ -161,7 +167,7 @@ def _assembled(spark, sf):
         joined = F.array_join(F.transform(section, line), "\n")
         return F.coalesce(joined, F.lit("")).alias(section)
 
-    built = minutes.assemble_minutes(talk_of(spark, sf))
+    built = minutes.assemble_minutes(spoken_of(spark, sf))
     return built.select(
         "meeting_id",
         "part",
@@ -177,7 +183,7 @@ def _assembled(spark, sf):
 
 
 def _rendered(spark, sf):
-    return minutes.render_minutes(minutes.assemble_minutes(talk_of(spark, sf)))
+    return minutes.render_minutes(minutes.assemble_minutes(spoken_of(spark, sf)))
 
 
 def _versions(spark, sf, speakers: list[str]) -> DataFrame:
@@ -208,6 +214,41 @@ def _redacted(spark, sf):
     return publishing.redact(talk_of(spark, sf), MASKS).select("meeting_id", "turn", "text")
 
 
+def _redacted_twice(spark, sf):
+    """How many turns a second run changes."""
+    once = publishing.redact(talk_of(spark, sf), MASKS).withColumn("again", F.col("text"))
+    twice = publishing.redact(once, MASKS, column="again")
+    return twice.agg(F.count("*").alias("turns"), F.count_if(F.col("again") != F.col("text")).alias("changed"))
+
+
+def _close(estimate, exact):
+    return F.abs(estimate - exact) <= F.greatest(F.lit(1.0), 0.05 * exact)
+
+
+def _vocabulary_check(spark, sf):
+    """Estimates beside exact counts, by meeting."""
+    turns = talk_of(spark, sf)
+    exact = shaping.tokens(turns).groupBy("meeting_id").agg(F.countDistinct("word").alias("exact"))
+    both = talk.vocabulary(turns).select("meeting_id", "words").join(exact, "meeting_id")
+    return both.select("meeting_id", "exact", _close(F.col("words"), F.col("exact")).alias("close"))
+
+
+def _merged_check(spark, sf):
+    exact = shaping.tokens(talk_of(spark, sf)).agg(F.countDistinct("word").alias("exact"))
+    estimate = _merged_vocabulary(spark, sf).scalar()
+    return exact.select("exact", _close(estimate, F.col("exact")).alias("close"))
+
+
+def _csv_turns(spark, sf):
+    """The transcript written as CSV with its columns in another order, and read back."""
+    path = work_dir(spark, "csv")
+    written = talk_of(spark, sf).select("text", "speaker", "turn", "meeting_id")
+    written.write.option("header", "true").option("escape", '"').csv(path)
+    mapping = {name: name for name in ("meeting_id", "turn", "speaker", "text")}
+    read = transcripts.read_turns(spark, path, "csv", mapping, multiLine="true")
+    return read.select("meeting_id", "turn", "speaker", "text")
+
+
 def _counts(spark, sf):
     counts = live.live_counts(activity_of(spark, sf), "1 hour")
     return counts.select(_clock("begins_at"), "speaker", "turns")
@@ -312,16 +353,22 @@ def _for_each(spark: SparkSession, label: str, stream: DataFrame, make_handler)
 
 
 def _stream_late(spark, sf):
-    """Two batches: clicks, then everything, so that all but the newest events of the
-    second are late. The second comes twice, as after a failure."""
+    """Two batches of one stream: clicks, then everything, so that all but the newest events of
+    the second are late."""
     path = work_dir(spark, "late")
-    handler = live_sinks.split_late(path, 600)
     everything = activity_of(spark, sf)
-    handler(everything.filter("speaker = 'click'"), 0)
-    handler(everything, 1)
-    handler(everything, 1)
-    late = spark.read.parquet(f"{path}/late")
-    return late.select("meeting_id", "turn", "speaker")
+    stored = everything.withColumns({name: F.col(name).cast("timestamp_ntz") for name in transcripts.TIMES})
+    for arrived in (stored.filter("speaker = 'click'"), stored):
+        arrived.write.mode("append").parquet(f"{path}/in")
+        query = (
+            feeds.stream_turns(spark, f"{path}/in", "10 minutes")
+            .writeStream.foreachBatch(live_sinks.split_late(path, 600))
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(f"{path}/late").select("meeting_id", "turn", "speaker")
 
 
 def _stream_upsert(spark, sf):
@@ -353,7 +400,7 @@ def _split(spark, sf):
 
 
 def _measured(spark, sf):
-    reducer = hooks.speaker_measure("mean_commas", lambda text: text.count(","))
+    reducer = hooks.speaker_measure("mean_commas", lambda texts: texts.str.count(","))
     return talk.speaker_stats(talk_of(spark, sf), reducer=reducer).select("meeting_id", "speaker", "turns", "mean_commas")
 
 
@@ -363,6 +410,7 @@ def _merged_vocabulary(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "read_turns": lambda s, d: talk_of(s, d).select("meeting_id", "turn", "speaker", "text"),
+    "read_turns_csv": _csv_turns,
     "turn_rejects": _rejects,
     "turn_gaps": _clean,
     "write_minutes": _written,
@@ -390,6 +438,8 @@ QUERIES: dict[str, Query] = {
     "length_profile": lambda s, d: talk.length_profile(talk_of(s, d)),
     "vocabulary": lambda s, d: talk.vocabulary(talk_of(s, d)).select("meeting_id", "words"),
     "vocabulary_merged": _merged_vocabulary,
+    "vocabulary_check": _vocabulary_check,
+    "vocabulary_merged_check": _merged_check,
     "longest_turns": lambda s, d: talk.longest_turns(talk_of(s, d), 20),
     "key_terms": lambda s, d: terms.key_terms(talk_of(s, d), 5).drop("uses"),
     "key_phrases": lambda s, d: terms.key_terms(talk_of(s, d), 5, n=2).drop("uses"),
@@ -399,7 +449,7 @@ QUERIES: dict[str, Query] = {
     "topic_shifts": lambda s, d: topics.topic_shifts(talk_of(s, d), 2),
     "segments": _segments,
     "topic_threads": lambda s, d: topics.topic_threads(terms.key_terms(talk_of(s, d), 5)),
-    "cue_items": lambda s, d: items.cue_items(shaping.sentences(talk_of(s, d))),
+    "cue_items": lambda s, d: items.cue_items(shaping.sentences(spoken_of(s, d), keep=("meeting_id", "turn", "lang"))),
     "item_fields": _promises,
     "open_items": _open,
     "search_turns": lambda s, d: search.search_turns(talk_of(s, d), "the die la", 20),
@@ -409,6 +459,7 @@ QUERIES: dict[str, Query] = {
     "newer_lines": _newer,
     "kept_lines": _kept,
     "redact": _redacted,
+    "redact_twice": _redacted_twice,
     "redaction_counts": lambda s, d: publishing.redaction_counts(talk_of(s, d), MASKS),
     "live_counts": _counts,
     "live_sliding": _sliding,

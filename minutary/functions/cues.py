@@ -36,6 +36,9 @@ CUES = [
 # Where a sentence names its owner and its due date.
 OWNER_PATTERN = r"(?:[Oo]wner|[Aa]ssigned to|[Aa]ction for)[: ]+(\p{L}+)"
 DOER_PATTERN = r"^(\p{L}+) (?:will|shall|needs to|is to) "
+# Doers that name nobody by themselves.
+FIRST_PERSON = ["i"]
+PRONOUNS = ["we", "you", "he", "she", "it", "they", "this", "that", "these", "those", "there", "who", "what", "which", "everybody", "somebody", "nobody"]
 DUE_PATTERN = r"(?:by|until|before|due) (\d{4}-\d{2}-\d{2})"
 DATE_FORMAT = "yyyy-MM-dd"
 
@@ -51,20 +54,20 @@ def lexicon_from(table: DataFrame, limit: int = MAX_CUES) -> list[Cue]:
     return [Cue(*row) for row in rows]
 
 
-def kind_patterns(lexicon: list[Cue]) -> dict[str, str]:
-    """One whole-word pattern per kind, in order of kind."""
-    found: dict[str, list[str]] = {}
+def patterns(lexicon: list[Cue]) -> dict[tuple[str, str], str]:
+    """One whole-word pattern per kind and language, in order."""
+    found: dict[tuple[str, str], list[str]] = {}
     for cue in lexicon:
-        found.setdefault(cue.kind, []).append(cue.pattern)
-    return {kind: r"(^|[^\p{L}])(" + "|".join(found[kind]) + r")([^\p{L}]|$)" for kind in sorted(found)}
+        found.setdefault((cue.kind, cue.lang), []).append(cue.pattern)
+    return {key: r"(^|[^\p{L}])(" + "|".join(found[key]) + r")([^\p{L}]|$)" for key in sorted(found)}
 
 
-def kinds_of(sentence: Column, lexicon: list[Cue]) -> Column:
-    """The kinds whose cues occur in a sentence, as an array."""
+def kinds_of(sentence: Column, lexicon: list[Cue], lang: Column) -> Column:
+    """The kinds whose cues in the language `lang` occur in a sentence, as an array."""
     lowered = F.lower(sentence)
     hits = [
-        F.when(lowered.rlike(pattern), F.lit(kind)).otherwise(F.lit(""))
-        for kind, pattern in kind_patterns(lexicon).items()
+        F.when((lang == own) & lowered.rlike(pattern), F.lit(kind)).otherwise(F.lit(""))
+        for (kind, own), pattern in patterns(lexicon).items()
     ]
     return F.array_remove(F.array(*hits), "")
 
@@ -73,10 +76,13 @@ def _nullif_blank(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def owner_of(sentence: Column) -> Column:
+def owner_of(sentence: Column, speaker: Column) -> Column:
+    """Who is named as owner, or as the doer; the speaker of a sentence in the first person;
+    nobody if another pronoun is the doer."""
     named = _nullif_blank(F.regexp_extract(sentence, OWNER_PATTERN, 1))
     doing = _nullif_blank(F.regexp_extract(sentence, DOER_PATTERN, 1))
-    return F.coalesce(named, doing)
+    doer = F.when(F.lower(doing).isin(FIRST_PERSON), speaker).when(~F.lower(doing).isin(PRONOUNS), doing)
+    return F.coalesce(named, doer)
 
 
 def due_of(sentence: Column) -> Column:

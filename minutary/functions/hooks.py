@@ -34,8 +34,9 @@ def sentence_splitter(split: Callable[[str], Iterable[str]]):
     return Splitter
 
 
-def speaker_measure(name: str, measure: Callable[[pd.Series], float], text: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """`reducer=` of speaker_stats: a measure of each text, averaged by speaker.
+def speaker_measure(name: str, measure: Callable[[pd.Series], pd.Series], text: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """`reducer=` of speaker_stats: a measure of each text, a batch of texts to a batch of
+    numbers, averaged by speaker.
 
     Python sees batches of texts, not a speaker's whole talk, so a speaker with a third
     of all turns is spread over tasks and only sums meet.
@@ -43,7 +44,7 @@ def speaker_measure(name: str, measure: Callable[[pd.Series], float], text: str
 
     @F.pandas_udf("double")
     def measured(batch: pd.Series) -> pd.Series:
-        return batch.map(measure).astype("float64")
+        return measure(batch).astype("float64")
 
     def reduce(turns: DataFrame) -> DataFrame:
         each = turns.select("meeting_id", "speaker", measured(F.col(text)).alias("_measure"))

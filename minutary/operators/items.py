@@ -7,22 +7,31 @@ from pyspark.sql import DataFrame, functions as F
 from minutary.functions import cues
 
 
-def cue_items(sentences: DataFrame, lexicon: list[cues.Cue] | None = None) -> DataFrame:
-    """One row per sentence and kind of cue found in it.
+LANGUAGE = "en"
+
+
+def cue_items(sentences: DataFrame, lexicon: list[cues.Cue] | None = None, lang: str = LANGUAGE) -> DataFrame:
+    """One row per sentence and kind of cue found in it, with its `speaker` if there is one.
+
+    Only cues of the sentence's language count: that of its column `lang`, or else `lang` for all.
 
     All cues of a kind form one pattern tested in the row, so sentences are not
     multiplied by cues and nothing is shuffled.
     """
-    kinds = cues.kinds_of(F.col("sentence"), cues.CUES if lexicon is None else lexicon)
-    found = sentences.select("meeting_id", "turn", "pos", "sentence", F.explode(kinds).alias("kind"))
+    own = F.col("lang") if "lang" in sentences.columns else F.lit(lang)
+    kinds = cues.kinds_of(F.col("sentence"), cues.CUES if lexicon is None else lexicon, own)
+    kept = [name for name in ("speaker",) if name in sentences.columns]
+    found = sentences.select("meeting_id", "turn", "pos", "sentence", *kept, F.explode(kinds).alias("kind"))
     item_id = F.sha2(F.concat_ws("|", "meeting_id", "turn", "pos", "kind"), 256)
-    return found.select(item_id.alias("item_id"), "meeting_id", "turn", "pos", "kind", "sentence")
+    return found.select(item_id.alias("item_id"), "meeting_id", "turn", "pos", "kind", "sentence", *kept)
 
 
 def item_fields(items: DataFrame) -> DataFrame:
-    """Fill `owner` and `due` from the sentence; what cannot be read is null."""
+    """Fill `owner` and `due` from the sentence; what cannot be read is null. "I" is the
+    `speaker`, if the items have one."""
     sentence = F.col("sentence")
-    return items.withColumn("owner", cues.owner_of(sentence)).withColumn("due", cues.due_of(sentence))
+    speaker = F.col("speaker") if "speaker" in items.columns else F.lit(None).cast("string")
+    return items.withColumn("owner", cues.owner_of(sentence, speaker)).withColumn("due", cues.due_of(sentence))
 
 
 def open_items(items: DataFrame, done: DataFrame, opened: str = "opened_at", closed: str = "done_at") -> DataFrame:

@@ -86,7 +86,8 @@ def interruptions(turns: DataFrame, limit: int = ordering.ROWS_IN_ONE_WINDOW) ->
     Listing the overlapping pairs can grow with the square of a busy meeting. The count
     cannot: starts before the end less starts up to the start, once for everybody and
     once for the turn's own speaker. Each turn becomes three points in time order (its
-    end, its start, and a reading taken after all starts at that instant).
+    end, its start, and a reading taken after all starts at that instant). A turn without a
+    speaker interrupts nobody and has a count of 0.
     """
     timed = turns.filter("started_at IS NOT NULL AND ended_at IS NOT NULL")
     points = F.array(
@@ -98,13 +99,13 @@ def interruptions(turns: DataFrame, limit: int = ordering.ROWS_IN_ONE_WINDOW) ->
     everybody, own = ["meeting_id"], _PERSON
     order = ["_at", "_kind", "turn"]
     placed = ordering.block_by_range(line, everybody, order, limit)
-    start = F.sum((F.col("_kind") == 1).cast("long"))
+    start = F.sum(((F.col("_kind") == 1) & F.col("speaker").isNotNull()).cast("long"))
     counted = ordering.carry(placed, everybody, {"_all_before": (start, "sum")})
     counted = ordering.carry(counted, own, {"_own_before": (start, "sum")})
     by_all = start.over(ordering.so_far(everybody, order)) + F.coalesce("_all_before", F.lit(0))
     by_own = start.over(ordering.so_far(own, order)) + F.coalesce("_own_before", F.lit(0))
     others = counted.withColumn("_others", by_all - by_own)
-    sign = F.when(F.col("_kind") == 0, 1).when(F.col("_kind") == 2, -1).otherwise(0)
+    sign = F.when(F.col("speaker").isNull(), 0).when(F.col("_kind") == 0, 1).when(F.col("_kind") == 2, -1).otherwise(0)
     # A turn that ends at its start (or before) has no inside.
     return others.groupBy("meeting_id", "turn", "speaker").agg(
         F.greatest(F.sum(sign * F.col("_others")), F.lit(0)).alias("interruptions")

@@ -17,7 +17,6 @@ from minutary.session import settle
 BLOCK = "_block"
 TURNS_PER_BLOCK = 1 << 16
 ROWS_IN_ONE_WINDOW = 1 << 20
-MOST_BLOCKS = 50_000
 
 
 def block_by_turn(rows: DataFrame, size: int = TURNS_PER_BLOCK) -> DataFrame:
@@ -40,7 +39,7 @@ def block_by_range(
     found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
     if (found["largest"] or 0) <= limit:
         return rows.withColumn(BLOCK, F.lit(0))
-    partitions = min(MOST_BLOCKS, math.ceil(found["all"] / limit))
+    partitions = math.ceil(found["all"] / limit)
     placed = rows.repartitionByRange(partitions, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
     return settle(placed)
 
@@ -68,7 +67,18 @@ def carry(
     carried = blocks.select(
         *keys, BLOCK, *[folds[fold](name).over(others).alias(name) for name, (_, fold) in parts.items()]
     )
-    return rows.join(carried, [*keys, BLOCK], "left")
+    return join_on(rows, carried, [*keys, BLOCK], "left")
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys meet null keys, as they do in a window or a group."""
+    named = right.select(
+        *[F.col(name).alias(f"_key{at}") for at, name in enumerate(keys)], *[name for name in right.columns if name not in keys]
+    )
+    same = F.lit(True)
+    for at, name in enumerate(keys):
+        same = same & F.col(name).eqNullSafe(F.col(f"_key{at}"))
+    return left.join(named, same, how).drop(*[f"_key{at}" for at in range(len(keys))])
 
 
 def earlier_blocks(keys: list[str]):

@@ -50,8 +50,9 @@ def masked(text: Column, rules: list[Rule]) -> Column:
 
 
 def redact(df: DataFrame, rules: list[Rule], column: str = "text") -> DataFrame:
-    """Apply the publisher's rules in turn to one text column. A rule whose replacement
-    does not match any rule makes a second run change nothing."""
+    """Apply the publisher's rules in turn to one text column. A second run changes nothing if
+    no replacement makes a match of any rule, and patterns look at what is around a match
+    (`(?<= )`, `(?= )`) rather than take it in: a space taken in is not there for the next."""
     return df.withColumn(column, masked(F.col(column), rules))
 
 

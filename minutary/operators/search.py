@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from minutary.functions import text as tx
@@ -10,6 +12,9 @@ from minutary.functions import text as tx
 K1 = 1.2
 B = 0.75
 
+# Words of a query, cut as `text.WORD_BREAK` cuts those of turns: "e-mail" is two.
+_LETTERS = re.compile(r"[^\W\d_]+")
+
 
 def _uses(words: str, wanted: str) -> Column:
     return F.size(words) - F.size(F.array_remove(words, wanted))
@@ -22,8 +27,8 @@ def search_turns(turns: DataFrame, query: str | list[str], k: int) -> DataFrame:
     over by a pattern before they are split. Nothing is shuffled but those sums and k
     rows per task.
     """
-    asked = query.lower().split() if isinstance(query, str) else [word.lower() for word in query]
-    asked = sorted({word for word in asked if word.isalpha()})
+    phrases = [query] if isinstance(query, str) else query
+    asked = sorted({word for phrase in phrases for word in _LETTERS.findall(phrase.lower())})
     if not asked:
         raise ValueError("nothing to search for")
     words = turns.select(tx.word_list(F.col("text")).alias("_words"))

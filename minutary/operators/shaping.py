@@ -30,7 +30,8 @@ def select_turns(
 
 def stretches(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
     """Add `first_turn`, the turn that opens the run of one speaker, and `place`, the
-    position in that run from 0."""
+    position in that run from 0. No row is dropped: turns without a meeting are one meeting,
+    and a turn without a number comes first in it."""
     key, order = ["meeting_id"], ["turn"]
     placed = ordering.with_previous(
         ordering.block_by_turn(turns, block_turns), key, order, {"_speaker_before": "speaker", "_turn_before": "turn"}
@@ -61,7 +62,7 @@ def stretches(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) ->
     window = ordering.so_far(key, order)
     number = F.col("_start") + F.col("_number")
     opened = F.max(F.when(F.col("_opens").isNotNull(), number)).over(window)
-    return rows.join(carried, [*key, ordering.BLOCK]).select(
+    return ordering.join_on(rows, carried, [*key, ordering.BLOCK]).select(
         *turns.columns,
         F.coalesce(F.max("_opens").over(window), F.col("_open_before")).alias("first_turn"),
         (number - F.coalesce(opened, F.col("_at_before"))).alias("place"),

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from minutary.functions import text as tx
 from minutary.operators import ordering, shaping
 
+# The column of `handoffs` for all speakers that have none of their own.
+OTHERS = "others"
+
 
 def _by_speaker(turns: DataFrame) -> DataFrame:
     return turns.groupBy("meeting_id", "speaker").agg(
@@ -76,7 +79,8 @@ def handoffs(
 ) -> DataFrame:
     """How often one speaker follows another, by meeting.
 
-    `wide` names the speakers that become columns; a pair that never occurs is null.
+    `wide` names the speakers that become columns; `others` counts those to speakers not
+    named, or without a name; a pair that never occurs is null.
     """
     narrow = ordering.block_by_turn(turns.select("meeting_id", "turn", "speaker"), block_turns)
     pairs = ordering.with_previous(narrow, ["meeting_id"], ["turn"], {"_before": "speaker", "_turn_before": "turn"})
@@ -85,7 +89,9 @@ def handoffs(
     )
     if wide is None:
         return followed.groupBy("meeting_id", "from_speaker", "to_speaker").agg(F.count(F.lit(1)).alias("times"))
-    return followed.groupBy("meeting_id", "from_speaker").pivot("to_speaker", wide).agg(F.count(F.lit(1)))
+    column = F.when(F.col("to_speaker").isin(wide), F.col("to_speaker")).otherwise(F.lit(OTHERS))
+    named = followed.withColumn("to_speaker", column)
+    return named.groupBy("meeting_id", "from_speaker").pivot("to_speaker", [*wide, OTHERS]).agg(F.count(F.lit(1)))
 
 
 def length_ranks(turns: DataFrame) -> DataFrame:
@@ -124,7 +130,7 @@ def turn_flow(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) ->
     rows = rows.withColumn("running_chars", running).drop("_before", ordering.BLOCK)
     total = F.col("meeting_chars")
     share = F.when(total > 0, tx.rounded(F.col("running_chars") / total)).otherwise(F.lit(0.0))
-    ranked = rows.join(length_ranks(turns), ["meeting_id", "chars"])
+    ranked = ordering.join_on(rows, length_ranks(turns), ["meeting_id", "chars"])
     return ranked.withColumn("running_share", share).drop("meeting_chars")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minutary.functions import text as tx
-from minutary.operators import shaping
+from minutary.operators import ordering, shaping
 
 MEETING = ("meeting_id",)
 
@@ -65,10 +65,12 @@ _SENTENCE = ["meeting_id", "turn", "pos"]
 
 def _with_sentence(best: DataFrame, turns: DataFrame) -> DataFrame:
     """Fetch the text of the few sentences that were picked; until here only ids and
-    words are shuffled."""
+    words are shuffled. If several turns have one key, the sentence is the first in
+    order of those that they have at that place."""
     texts = turns.select("meeting_id", "turn", "text")
-    sentence = tx.sentence_list(F.col("text"))[F.col("pos")]
-    return best.join(texts, ["meeting_id", "turn"]).withColumn("sentence", sentence).drop("text")
+    sentence = F.get(tx.sentence_list(F.col("text")), F.col("pos"))
+    found = ordering.join_on(best, texts, ["meeting_id", "turn"]).withColumn("sentence", sentence)
+    return found.groupBy(*best.columns).agg(F.min("sentence").alias("sentence"))
 
 
 def key_sentences(
@@ -110,10 +112,13 @@ def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame
     found = _sentence_words(turns).select(*_SENTENCE, F.array_distinct("words").alias("words"))
     unit = 1 / F.sqrt(F.size("words"))
     each = found.select(*_SENTENCE, unit.alias("unit"), _each("words", min_words).alias("word"))
-    pull = each.groupBy("meeting_id", "word").agg(F.sum("unit").alias("pull"))
+    unit_parts = F.round(F.col("unit") * 1_000_000_000_000).cast("decimal(38,0)")
+    pull = each.groupBy("meeting_id", "word").agg((F.sum(unit_parts).cast("double") / 1_000_000_000_000).alias("pull"))
     sizes = found.groupBy("meeting_id").agg(F.count_if(F.size("words") >= min_words).alias("_sentences"))
+    # Whole billionths add up the same in any order; decimals hold them at any number.
+    part = F.round(F.col("unit") * F.col("pull") * 1_000_000_000).cast("decimal(38,0)")
     summed = each.join(pull, ["meeting_id", "word"]).groupBy(*_SENTENCE).agg(
-        F.sum(F.col("unit") * F.col("pull")).alias("_with_itself")
+        (F.sum(part).cast("double") / 1_000_000_000).alias("_with_itself")
     )
     others = F.col("_sentences") - 1
     mean = F.when(others > 0, (F.col("_with_itself") - 1) / others).otherwise(F.lit(0.0))

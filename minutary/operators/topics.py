@@ -9,20 +9,6 @@ from minutary.operators import ordering, terms
 from minutary.session import settle
 
 
-# Shifts of one meeting that may be kept in one array, and the size of all such arrays
-# that may be broadcast.
-SHIFTS_IN_ONE_ARRAY = 1000
-BROADCAST_BYTES = 64 << 20
-
-
-def without_gaps(turns: DataFrame) -> bool:
-    """Whether each meeting's turns follow each other by one, from its first to its last."""
-    spans = turns.groupBy("meeting_id").agg(
-        (F.max("turn") - F.min("turn") + 1 - F.count(F.lit(1))).alias("missing")
-    )
-    return not (spans.agg(F.max("missing")).first()[0] or 0)
-
-
 def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
     """Cosine of word counts between each turn and the one before it.
 
@@ -30,14 +16,13 @@ def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK)
     earlier one. Grouping by pair and word then holds both counts side by side, so
     turns are not joined to each other. A blank word marks both ends of a pair.
 
-    Turns have to be unique. If no number is skipped, which a look at the numbers alone
-    tells, the next turn needs no shuffle of the text.
+    Which turn comes next follows from the keys alone, each once; a repeated key is one turn with the
+    words of all its rows. Turns without a key are in no pair.
     """
-    rows = turns.select("meeting_id", "turn", "text")
-    if without_gaps(turns):
-        rows = rows.withColumn("_next", F.col("turn") + 1)
-    else:
-        rows = ordering.with_next(ordering.block_by_turn(rows, block_turns), ["meeting_id"], ["turn"], {"_next": "turn"})
+    rows = turns.select("meeting_id", "turn", "text").filter("meeting_id IS NOT NULL AND turn IS NOT NULL")
+    keys = ordering.block_by_turn(rows.select("meeting_id", "turn").distinct(), block_turns)
+    following = ordering.with_next(keys, ["meeting_id"], ["turn"], {"_next": "turn"})
+    rows = rows.join(following.select("meeting_id", "turn", "_next"), ["meeting_id", "turn"])
     pair = F.array(
         F.struct(F.col("turn").alias("at"), F.lit(1).alias("_late"), F.lit(0).alias("_early")),
         F.struct(F.col("_next").alias("at"), F.lit(0).alias("_late"), F.lit(1).alias("_early")),
@@ -65,39 +50,19 @@ def topic_shifts(turns: DataFrame, k: int, block_turns: int = ordering.TURNS_PER
     return terms.top_per(cosines, ["meeting_id"], [F.col("cosine"), F.col("turn")], k, "rank")
 
 
-def number_segments(
-    turns: DataFrame,
-    shifts: DataFrame,
-    block_turns: int = ordering.TURNS_PER_BLOCK,
-    array_limit: int = SHIFTS_IN_ONE_ARRAY,
-) -> DataFrame:
+def number_segments(turns: DataFrame, shifts: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
     """Add `segment`, from 0: how many shifts lie at or before the turn.
 
-    `shifts` should be a written table, as it is measured first. With few shifts in
-    every meeting, each turn counts them in a short array; the arrays are broadcast if
-    they are known to be small. With many, they are merged into the order of turns.
+    Shifts are merged into the order of turns and counted there, on keys alone.
     """
-    counts = shifts.groupBy("meeting_id").count()
-    size = counts.agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("meetings")).first()
-    if (size["most"] or 0) <= array_limit:
-        arrays = shifts.groupBy("meeting_id").agg(F.collect_list("turn").alias("_shifts"))
-        if size["meetings"] * (64 + 8 * (size["most"] or 0)) <= BROADCAST_BYTES:
-            arrays = F.broadcast(arrays)
-        passed = F.filter("_shifts", lambda shift: shift <= F.col("turn"))
-        segment = F.coalesce(F.size(passed), F.lit(0)).cast("long")
-        found = turns.join(arrays, "meeting_id", "left")
-        return found.select(*turns.columns, F.when(F.col("_shifts").isNull(), 0).otherwise(segment).alias("segment"))
-    return _segments_in_order(turns, shifts, block_turns)
-
-
-def _segments_in_order(turns: DataFrame, shifts: DataFrame, block_turns: int) -> DataFrame:
     marks = shifts.select("meeting_id", "turn").withColumn("_shift", F.lit(1))
-    spoken = turns.withColumn("_shift", F.lit(0))
-    both = ordering.block_by_turn(spoken.unionByName(marks, allowMissingColumns=True), block_turns)
+    spoken = turns.select("meeting_id", "turn").distinct().withColumn("_shift", F.lit(0))
+    both = ordering.block_by_turn(spoken.unionByName(marks), block_turns)
     both = ordering.carry(both, ["meeting_id"], {"_before": (F.sum("_shift"), "sum")})
     window = ordering.so_far(["meeting_id"], [F.col("turn"), F.desc("_shift")])
     numbered = both.withColumn("segment", F.sum("_shift").over(window) + F.coalesce("_before", F.lit(0)))
-    return numbered.filter("_shift = 0").select(*turns.columns, "segment")
+    placed = numbered.filter("_shift = 0").select("meeting_id", "turn", "segment")
+    return ordering.join_on(turns, placed, ["meeting_id", "turn"])
 
 
 def segments(

@@ -13,8 +13,10 @@ SENTENCE_LIST = (
 TALK = "(SELECT conv_id AS meeting_id, turn, role AS speaker, text FROM conversations)"
 ACTIVITY = "(SELECT user_id AS meeting_id, event_id AS turn, event_type AS speaker, props AS text, ts FROM events)"
 
-SENTENCES = f"""(SELECT meeting_id, turn, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence
-  FROM (SELECT meeting_id, turn, {SENTENCE_LIST} AS s FROM {TALK}))"""
+SPOKEN = f"""(SELECT meeting_id, turn, speaker, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence
+  FROM (SELECT meeting_id, turn, speaker, {SENTENCE_LIST} AS s FROM {TALK}))"""
+
+SENTENCES = f"(SELECT meeting_id, turn, pos, sentence FROM {SPOKEN})"
 
 FLAWED = """(SELECT user_id AS meeting_id, CAST(floor(value) AS BIGINT) AS turn,
   nullif(event_type, 'error') AS speaker,
@@ -92,22 +94,52 @@ SEGMENTS = f"""(WITH numbered AS {NUMBERED},
   SELECT spans.*, terms FROM spans LEFT JOIN names ON names.k = (spans.meeting_id, spans.segment))"""
 
 
+# Cues written out anew: kind, phrases by the language of the turn (its number modulo 4).
+PHRASES = {
+    "action": (
+        "action item,to do,todo,will,shall,need to,needs to,follow up,take care of",
+        "aufgabe,muss,müssen,wird,kümmert sich",
+        "à faire,doit,devra,se charge de",
+        "pendiente,debe,deberá,se encarga de",
+    ),
+    "decision": (
+        "decided,agreed,approved,resolved,decision",
+        "beschlossen,entschieden,vereinbart,beschluss",
+        "décidé,convenu,approuvé,décision",
+        "decidido,acordado,aprobado,decisión",
+    ),
+    "done": ("done,completed,finished,closed", "erledigt,abgeschlossen,fertig", "terminé,achevé,clos", "hecho,terminado,cerrado"),
+    "question": (
+        "who,what,when,where,why,how,open question",
+        "wer,was,wann,warum,wie,offene frage",
+        "qui,quand,pourquoi,comment,question ouverte",
+        "quién,cuándo,por qué,cómo,pregunta abierta",
+    ),
+}
+
+
 def _items() -> str:
-    tests = ", ".join(
-        f"CASE WHEN regexp_matches(lower(sentence), '{pattern}') THEN '{kind}' END"
-        for kind, pattern in cues.kind_patterns(cues.CUES).items()
-    )
-    return f"""(SELECT sha256(concat_ws('|', meeting_id, turn, pos, kind)) AS item_id, meeting_id, turn, pos, kind, sentence
-  FROM (SELECT *, unnest(list_filter([{tests}], lambda k: k IS NOT NULL)) AS kind FROM {SENTENCES}))"""
+    """Phrases are looked for between spaces after everything but letters has become a space."""
+    tests = []
+    for kind, spoken in PHRASES.items():
+        for at, phrases in enumerate(spoken):
+            some = " OR ".join(f"contains(plain, ' {phrase} ')" for phrase in phrases.split(","))
+            tests.append(f"CASE WHEN turn % 4 = {at} AND ({some}) THEN '{kind}' END")
+    return f"""(SELECT sha256(concat_ws('|', meeting_id, turn, pos, kind)) AS item_id, meeting_id, turn, pos, kind, sentence, speaker
+  FROM (SELECT *, unnest(list_filter([{", ".join(tests)}], lambda k: k IS NOT NULL)) AS kind
+  FROM (SELECT *, concat(' ', regexp_replace(lower(sentence), '[^\\p{{L}}]', ' ', 'g'), ' ') AS plain FROM {SPOKEN})))"""
 
 
 ITEMS = _items()
 
+_PRONOUNS = "'" + "', '".join("we you he she it they this that these those there who what which everybody somebody nobody".split()) + "'"
+
 
 def _fields(sentence: str) -> tuple[str, str]:
+    doer = f"regexp_extract({sentence}, '{cues.DOER_PATTERN}', 1)"
     owner = (
         f"coalesce(nullif(regexp_extract({sentence}, '{cues.OWNER_PATTERN}', 1), ''), "
-        f"nullif(regexp_extract({sentence}, '{cues.DOER_PATTERN}', 1), ''))"
+        f"CASE WHEN lower({doer}) = 'i' THEN speaker WHEN {doer} <> '' AND lower({doer}) NOT IN ({_PRONOUNS}) THEN {doer} END)"
     )
     due = f"CAST(try_cast(nullif(regexp_extract({sentence}, '{cues.DUE_PATTERN}', 1), '') AS DATE) AS VARCHAR)"
     return owner, due
@@ -115,7 +147,7 @@ def _fields(sentence: str) -> tuple[str, str]:
 
 OWNER, DUE = _fields("sentence")
 
-PROMISES = f"""(SELECT meeting_id, turn, CASE WHEN speaker = 'system' THEN 'Noted for the record' ELSE
+PROMISES = f"""(SELECT meeting_id, turn, NULL AS speaker, CASE WHEN speaker = 'system' THEN 'Noted for the record' ELSE
   concat(speaker, ' will answer by 2024-', lpad(CAST(turn % 12 + 1 AS VARCHAR), 2, '0'), '-',
   lpad(CAST(length(text) % 33 AS VARCHAR), 2, '0')) END AS sentence FROM {TALK})"""
 
@@ -161,7 +193,8 @@ HANDOFFS = f"""SELECT meeting_id, from_speaker, speaker AS to_speaker, count(*)
 WIDE = f"""SELECT meeting_id, from_speaker,
   CAST(sum(times) FILTER (to_speaker = 'assistant') AS BIGINT) AS assistant,
   CAST(sum(times) FILTER (to_speaker = 'system') AS BIGINT) AS system,
-  CAST(sum(times) FILTER (to_speaker = 'user') AS BIGINT) AS "user" FROM ({HANDOFFS}) GROUP BY ALL"""
+  CAST(sum(times) FILTER (to_speaker = 'user') AS BIGINT) AS "user",
+  CAST(sum(times) FILTER (to_speaker NOT IN ('assistant', 'system', 'user')) AS BIGINT) AS others FROM ({HANDOFFS}) GROUP BY ALL"""
 
 
 def _search(words: list[str], k: int) -> str:
@@ -222,13 +255,18 @@ def _remainders(speaker: str) -> str:
     return f"SELECT meeting_id, CAST(length(text) % 50 AS INTEGER) AS remainder FROM {TALK} WHERE speaker = '{speaker}'"
 
 
-MASKED = r"regexp_replace(regexp_replace(regexp_replace(text, '(^| )(the|die|la) ', '\1* ', 'g'), '[0-9]+', '#', 'g'), ' (of|de|von) ', ' ~ ', 'g')"
+# A word is what stands between single spaces; the last has no space after it, the first
+# none before.
+_SPACED = f"(SELECT *, string_split(text, ' ') AS ws FROM {TALK})"
+
+MASKED = f"""SELECT meeting_id, turn, regexp_replace(array_to_string(list_transform(ws, lambda w, i: CASE
+  WHEN i < n AND w IN ('the', 'die', 'la') THEN '*' WHEN i > 1 AND i < n AND w IN ('of', 'de', 'von') THEN '~' ELSE w END), ' '), '[0-9]+', '#', 'g') AS text
+  FROM (SELECT *, len(ws) AS n FROM {_SPACED})"""
 
-REDACTIONS = rf"""WITH t AS (SELECT text, regexp_replace(text, '(^| )(the|die|la) ', '\1* ', 'g') AS t1 FROM {TALK}),
-  u AS (SELECT *, regexp_replace(t1, '[0-9]+', '#', 'g') AS t2 FROM t)
-  SELECT 'article' AS rule, CAST(sum(len(regexp_extract_all(text, '(^| )(the|die|la) '))) AS BIGINT) AS hits FROM u
-  UNION ALL SELECT 'number', CAST(sum(len(regexp_extract_all(t1, '[0-9]+'))) AS BIGINT) FROM u
-  UNION ALL SELECT 'preposition', CAST(sum(len(regexp_extract_all(t2, ' (of|de|von) '))) AS BIGINT) FROM u"""
+REDACTIONS = f"""WITH w AS (SELECT text, ws, len(ws) AS n FROM {_SPACED})
+  SELECT 'article' AS rule, CAST(sum(len(list_filter(ws, lambda w, i: i < n AND w IN ('the', 'die', 'la')))) AS BIGINT) AS hits FROM w
+  UNION ALL SELECT 'number', CAST(sum(len(regexp_extract_all(text, '[0-9]+'))) AS BIGINT) FROM w
+  UNION ALL SELECT 'preposition', CAST(sum(len(list_filter(ws, lambda w, i: i > 1 AND i < n AND w IN ('of', 'de', 'von')))) AS BIGINT) FROM w"""
 
 
 def _windows(minutes: int, step: int, closed: bool = False) -> str:
@@ -265,6 +303,7 @@ def _pairs(closed: bool = False) -> str:
 
 
 SQL: dict[str, str] = {
+    "read_turns_csv": f"SELECT meeting_id, turn, speaker, text FROM {TALK}",
     "read_turns": f"SELECT * FROM {TALK}",
     "turn_rejects": f"SELECT meeting_id, turn, speaker, text, reason FROM {LABELLED} WHERE reason IS NOT NULL",
     "turn_gaps": f"""SELECT meeting_id, turn, speaker, text,
@@ -294,6 +333,8 @@ SQL: dict[str, str] = {
     "balance": f"""SELECT meeting_id, count(*) AS speakers, round(-sum(p * ln(p)), 6) + 0.0 AS evenness FROM (
   SELECT meeting_id, n / sum(n) OVER (PARTITION BY meeting_id) AS p FROM (
   SELECT meeting_id, speaker, count(*) AS n FROM {TALK} GROUP BY ALL)) GROUP BY ALL""",
+    "vocabulary_check": f"SELECT meeting_id, count(DISTINCT w) AS exact, true AS close FROM (SELECT meeting_id, unnest({TEXT_WORDS}) AS w FROM {TALK}) GROUP BY ALL",
+    "vocabulary_merged_check": f"SELECT count(DISTINCT w) AS exact, true AS close FROM (SELECT unnest({TEXT_WORDS}) AS w FROM {TALK})",
     "length_profile": f"""SELECT meeting_id, round(quantile_cont(CAST(length(text) AS DOUBLE), 0.5), 6) AS median_chars,
   round(quantile_cont(CAST(length(text) AS DOUBLE), 0.9), 6) AS p90_chars FROM {TALK} GROUP BY ALL""",
     "longest_turns": f"""SELECT meeting_id, turn, speaker, CAST(length(text) AS INTEGER) AS chars FROM {TALK}
@@ -307,7 +348,7 @@ SQL: dict[str, str] = {
     "segments": f"SELECT * FROM {SEGMENTS}",
     "topic_threads": f"""SELECT k AS meeting_id, term, lag(k) OVER (PARTITION BY term ORDER BY k) AS earlier_meeting
   FROM {_key_terms(TALK, 'meeting_id', 5)}""",
-    "cue_items": f"SELECT * FROM {ITEMS}",
+    "cue_items": f"SELECT item_id, meeting_id, turn, pos, kind, sentence FROM {ITEMS}",
     "item_fields": f"SELECT meeting_id, turn, {OWNER} AS owner, {DUE} AS due FROM {PROMISES}",
     "open_items": f"""SELECT turn AS event_id, meeting_id AS item_id FROM {ACTIVITY} i WHERE speaker = 'signup' AND NOT EXISTS (
   SELECT 1 FROM {ACTIVITY} d WHERE d.speaker = 'purchase' AND d.meeting_id = i.meeting_id AND d.ts >= i.ts)""",
@@ -317,7 +358,8 @@ SQL: dict[str, str] = {
     "compare_minutes": COMPARED,
     "newer_lines": f"{_remainders('user')} EXCEPT ALL {_remainders('assistant')}",
     "kept_lines": f"{_remainders('user')} INTERSECT {_remainders('assistant')}",
-    "redact": f"SELECT meeting_id, turn, {MASKED} AS text FROM {TALK}",
+    "redact": MASKED,
+    "redact_twice": f"SELECT count(*) AS turns, CAST(0 AS BIGINT) AS changed FROM {TALK}",
     "redaction_counts": REDACTIONS,
     "live_counts": _windows(60, 60),
     "live_sliding": _windows(60, 30),

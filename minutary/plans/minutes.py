@@ -55,7 +55,8 @@ def assemble_minutes(
     people = talk.speaker_stats(turns).withColumn("part", _part("first_turn", part_turns))
     speakers = _listed(people, KEYS, ["speaker", "turns", "chars", "share"], "speakers")
 
-    found = it.item_fields(it.cue_items(shaping.sentences(turns), lexicon))
+    own = ["lang"] if "lang" in turns.columns else []
+    found = it.item_fields(it.cue_items(shaping.sentences(turns, keep=["meeting_id", "turn", "speaker", *own]), lexicon))
     found = found.withColumn("part", _part("turn", part_turns))
     listed = _listed(found, KEYS, ["turn", "pos", "kind", "owner", "due", "sentence", "item_id"], "items")
 

@@ -8,6 +8,9 @@ from minutary import schemas
 
 # Timestamps without a zone cannot be read as timestamps from parquet; they are
 # declared as they are stored and cast, in UTC, on the way in.
+TIMES = ("started_at", "ended_at")
+CSV = {"header": "true", "escape": '"', "enforceSchema": "false"}
+
 _STORED_TIME = {"parquet": T.TimestampNTZType(), "orc": T.TimestampType()}
 
 
@@ -23,13 +26,25 @@ def source_schema(fmt: str, mapping: dict[str, str]) -> T.StructType:
     return T.StructType(fields)
 
 
+def csv_schema(spark: SparkSession, path: str, mapping: dict[str, str], options: dict[str, str]) -> T.StructType:
+    """The columns of CSV files as texts, in the order of their header. Names decide what is
+    what; a mapped name that is not there, unless it is a time, or another file with another
+    header, is an error."""
+    header = spark.read.options(**CSV, **options).csv(path).columns
+    missing = sorted(name for ours, name in mapping.items() if name not in header and ours not in TIMES)
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    return T.StructType([T.StructField(name, T.StringType()) for name in header])
+
+
 def as_turns(source: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Rename and cast to TURNS; a column without a source is null."""
+    """Rename and cast to TURNS; a column without a source is null, as is a value that
+    cannot be cast."""
     mapping = mapping or {field.name: field.name for field in schemas.TURNS}
     columns = []
     for field in schemas.TURNS:
-        found = F.col(mapping[field.name]) if field.name in mapping else F.lit(None)
-        columns.append(found.cast(field.dataType).alias(field.name))
+        found = F.col(mapping[field.name]) if mapping.get(field.name) in source.columns else F.lit(None)
+        columns.append(found.try_cast(field.dataType).alias(field.name))
     return source.select(*columns)
 
 
@@ -42,7 +57,8 @@ def read_turns(
 ) -> DataFrame:
     """Load a transcript kept as parquet, ORC, JSON lines or CSV with a header."""
     mapping = mapping or {field.name: field.name for field in schemas.TURNS}
-    reader = spark.read.schema(source_schema(fmt, mapping))
     if fmt == "csv":
-        reader = reader.option("header", "true").option("escape", '"')
+        reader = spark.read.schema(csv_schema(spark, path, mapping, options)).options(**CSV)
+    else:
+        reader = spark.read.schema(source_schema(fmt, mapping))
     return as_turns(reader.options(**options).format(fmt).load(path), mapping)

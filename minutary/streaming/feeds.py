@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from minutary.sources.transcripts import as_turns, source_schema
+from minutary.sources.transcripts import CSV, as_turns, csv_schema, source_schema
 
 
 def stream_turns(
@@ -22,9 +22,11 @@ def stream_turns(
     `files_per_trigger` bounds the work of a micro-batch.
     """
     mapping = mapping or {name: name for name in ("meeting_id", "turn", "speaker", "text", "started_at", "ended_at")}
-    reader = spark.readStream.schema(source_schema(fmt, mapping)).options(**options)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("escape", '"')
+        # By the header of the files that are there; one with another header fails.
+        reader = spark.readStream.schema(csv_schema(spark, path, mapping, options)).options(**CSV, **options)
+    else:
+        reader = spark.readStream.schema(source_schema(fmt, mapping)).options(**options)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return as_turns(reader.format(fmt).load(path), mapping).withWatermark("started_at", delay)

@@ -172,7 +172,9 @@ def _pair_follower(opener: str, reply: str, within_micros: int):
             self.opened = tuple(self.opened_state.get()) if self.opened_state.exists() else None
 
         def store(self):
-            if self.opened is not None:
+            if self.opened is None:
+                self.opened_state.clear()
+            else:
                 self.opened_state.update(self.opened)
 
         def place(self, row):
@@ -187,13 +189,22 @@ def _pair_follower(opener: str, reply: str, within_micros: int):
                 out.append((turn, self.opened[1], at - self.opened[0]))
 
         def settle(self, passed, out):
-            return None
+            """Once no reply can be near enough the opener is forgotten, so nothing is kept of
+            meetings that have gone quiet."""
+            if self.opened is None:
+                return None
+            over = self.opened[0] + within_micros
+            if over < passed:
+                self.opened = None
+                return None
+            return over
 
     return Pair
 
 
 def _followed(turns: DataFrame, follow, schema: str) -> DataFrame:
-    rows = turns.select(
+    # A turn without a time has no place in the order.
+    rows = turns.filter(F.col("started_at").isNotNull()).select(
         "meeting_id",
         "turn",
         "speaker",

@@ -55,18 +55,15 @@ def test_one_meeting_and_one_instant_are_split(spark):
 
 
 @pytest.mark.parametrize("block", [1, 2, 1000])
-def test_segments_counted_either_way(make_turns, spark, rows, block):
+def test_segments_counted_in_order(make_turns, spark, rows, block):
     turns = make_turns(*[(m, t, "a", "x") for m in (1, 2) for t in range(6)])
     shifts = spark.createDataFrame([(1, 2), (1, 5)], "meeting_id long, turn long")
     expected = [(1, t, (t >= 2) + (t >= 5)) for t in range(6)] + [(2, t, 0) for t in range(6)]
-    for limit in (0, 10):
-        found = topics.number_segments(turns, shifts, block, array_limit=limit)
-        assert rows(found, "meeting_id", "turn", "segment") == expected
+    assert rows(topics.number_segments(turns, shifts, block), "meeting_id", "turn", "segment") == expected
 
 
 def test_gaps_in_turn_numbers(make_turns, rows):
     turns = make_turns((1, 0, "a", "red red blue"), (1, 4, "b", "red"), (1, 5, "a", "green"), (2, 3, "a", "red"))
-    assert not topics.without_gaps(turns)
     for block in (1, 3, 100):
         assert rows(topics.turn_cosines(turns, block)) == [(1, 4, 0.894427), (1, 5, 0.0)]
 
@@ -102,3 +99,28 @@ def test_partition_count_changes_nothing(spark, sf, rows):
         assert rows(minutes.assemble_minutes(turns), "meeting_id", "part", "version") == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 5, 2])
+def test_interruptions_without_speakers_at_any_limit(make_turns, rows, limit):
+    spans = [(1, t, None if t % 3 == 0 else "ab"[t % 2], "x", f"10:{t:02}:00", f"10:{t + 3:02}:30") for t in range(12)]
+    found = rows(joins.interruptions(make_turns(*spans), limit), "turn", "interruptions")
+    expected = [
+        (t, sum(u != t and t < u <= t + 3 and u % 3 != 0 and u % 2 != t % 2 for u in range(12)) if t % 3 else 0) for t in range(12)
+    ]
+    assert found == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_null_keys_stay(make_turns, rows, block):
+    turns = make_turns((None, 0, "a", "x"), (None, 1, "a", "yy"), (1, 0, None, "z"), (1, None, "b", "w"))
+    stitched = shaping.stitch_turns(turns, block_turns=block)
+    assert rows(stitched, "meeting_id", "speaker", "turns", "text") == sorted(
+        [(None, "a", 2, "x\nyy"), (1, None, 1, "z"), (1, "b", 1, "w")], key=repr
+    )
+    assert talk.turn_flow(turns, block).count() == 4
+
+
+def test_a_repeated_turn_does_not_cancel_a_gap(make_turns, rows):
+    turns = make_turns((1, 0, "a", "red blue"), (1, 2, "b", "red"), (1, 2, "b", ""))
+    assert rows(topics.turn_cosines(turns)) == [(1, 2, 0.707107)]

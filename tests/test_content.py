@@ -74,7 +74,9 @@ def cued(spark):
 
 
 def test_cues(cued, rows):
-    found = items.cue_items(cued, LEXICON)
+    spoken = cued.selectExpr("*", "if(turn = 1 AND pos = 0, 'de', 'en') AS lang")
+    assert rows(items.cue_items(cued, LEXICON, lang="de"), "turn", "pos") == [(1, 0)]
+    found = items.cue_items(spoken, LEXICON)
     assert rows(found, "turn", "pos", "kind") == [
         (0, 0, "action"),
         (0, 0, "decision"),
@@ -158,3 +160,42 @@ def test_minutes_as_text(make_turns):
     assert "- ann: 1 turns" in text and "## Topics\n\n- turns 0 to 0: " in text
     assert "- action: Bob will check the budget by 2024-06-01 (owner Bob) (due 2024-06-01)" in text
     assert "- decision: We agreed on a larger hall" in text
+
+
+def test_cues_of_other_languages_are_none(spark):
+    sentences = spark.createDataFrame(
+        [(1, 0, 0, "It was raining"), (1, 0, 1, "the e-mail was sent"), (1, 0, 2, "please comment on it")],
+        "meeting_id long, turn long, pos int, sentence string",
+    )
+    assert items.cue_items(sentences).count() == 0
+
+
+def test_pronouns_own_nothing(spark, rows):
+    table = spark.createDataFrame(
+        [(0, "ann", "I will send it"), (1, "ann", "We will see"), (2, None, "I will go"), (3, "ann", "This is to end"), (4, "ann", "Bob will pay")],
+        "turn int, speaker string, sentence string",
+    )
+    found = rows(items.item_fields(table), "turn", "owner")
+    assert found == [(0, "ann"), (1, None), (2, None), (3, None), (4, "Bob")]
+    assert rows(items.item_fields(table.drop("speaker")), "turn", "owner")[0] == (0, None)
+
+
+def test_search_cuts_words_as_turns_do(make_turns, rows):
+    turns = make_turns((1, 0, "a", "The e-mail, the budget"), (1, 1, "a", "a mail"), (1, 2, "a", "none"))
+    assert rows(search.search_turns(turns, "e-mail", 5), "turn") == [(0,), (1,)]
+    with pytest.raises(ValueError):
+        search.search_turns(turns, " - 7 ", 5)
+
+
+def test_summaries_with_a_repeated_key(make_turns, rows):
+    turns = make_turns((1, 0, "a", "one two three. four five six."), (1, 0, "b", "seven eight nine"), (2, 0, "a", "other words here"))
+    for found in (terms.key_sentences(turns, 5), terms.central_sentences(turns, 5)):
+        assert {r.sentence for r in found.collect()} >= {"one two three", "four five six", "other words here"}
+
+
+def test_word_rules_leave_nothing_between_matches(make_turns, rows):
+    rule = publishing.Rule("article", "(?<![^ ])(?:the|die)(?= )", "*")
+    turns = make_turns((1, 0, "a", "the die the end, bathe the"))
+    once = publishing.redact(turns, [rule])
+    assert rows(once, "text") == [("* * * end, bathe the",)]
+    assert rows(publishing.redact(once, [rule])) == rows(once)

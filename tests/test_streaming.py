@@ -174,3 +174,49 @@ def test_upsert_keeps_the_newest(spark, feed, rows):
     again = feeds.as_turns(spark.read.schema(feed.turns().schema).json(str(feed.folder / "in/001.json")))
     handler(again, 1)
     assert rows(spark.read.parquet(path), "meeting_id", "speaker", "text") == expected
+
+
+def test_turns_without_a_time_are_set_aside(spark, feed):
+    feed.add((1, 0, "ann", "one", "10:00:00"), (1, 1, "bob", "two", "10:02:00"))
+    path = feed.folder / "in" / "000.json"
+    path.write_text(path.read_text() + json.dumps({"meeting_id": 1, "turn": 9, "speaker": "ann", "text": "no time"}) + "\n")
+    os.utime(path, (1_700_000_000,) * 2)
+    for turn, clock in enumerate(("18:00:00", "19:00:00", "20:00:00", "21:00:00")):
+        feed.add((2, turn, "zoe", "far", clock))
+    found = feed.run(state.running_minutes(feed.turns(), 1800)).filter("meeting_id = 1")
+    assert sorted((r.speaker, r.turns) for r in found.collect()) == [("ann", 1), ("bob", 1)]
+
+
+def test_pairs_forget_openers_that_no_reply_can_reach():
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return value
+
+    value = Value()
+    follow = state._pair_follower("open", "reply", 100)()
+    follow.open(Handle())
+    follow.load()
+    follow.take((10, 0, "open", 0), [])
+    assert follow.settle(50, []) == 110
+    follow.store()
+    assert value.held == (10, 0)
+    follow.load()
+    assert follow.settle(111, []) is None
+    follow.store()
+    assert value.held is None

@@ -23,6 +23,22 @@ def test_formats_read_alike(spark, make_turns, rows, tmp_path):
         assert rows(transcripts.read_turns(spark, path, fmt)) == rows(turns), fmt
 
 
+def test_csv_goes_by_the_names_in_its_header(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("turn,meeting_id,speaker,text\n7,1,ann,hello\nx,2,bob,\n")
+    found = sorted(map(tuple, transcripts.read_turns(spark, str(path), "csv").collect()))
+    assert found == [(1, 7, "ann", "hello", None, None), (2, None, "bob", None, None, None)]
+    path.write_text("turn,meeting,speaker,text\n7,1,ann,hello\n")
+    with pytest.raises(ValueError):
+        transcripts.read_turns(spark, str(path), "csv")
+
+
+def test_handoffs_to_speakers_without_a_column(make_turns, rows):
+    turns = make_turns((1, 0, "a", "x"), (1, 1, "b", "x"), (1, 2, "c", "x"), (1, 3, "b", "x"), (1, 4, None, "x"))
+    wide = talk.handoffs(turns, wide=["b"])
+    assert rows(wide, "from_speaker", "b", "others") == [("a", 1, None), ("b", None, 2), ("c", 1, None)]
+
+
 def test_mapping_leaves_missing_columns_null(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(7, 0, "x", "hi")], "room long, n long, who string, said string").write.json(path)
@@ -170,7 +186,7 @@ def test_balance(make_turns, rows):
 
 def test_measure_of_speakers(make_turns, rows):
     turns = make_turns((1, 0, "a", "x!"), (1, 1, "a", "y"), (1, 2, "b", "!!"))
-    reducer = hooks.speaker_measure("shouts", lambda text: text.count("!"))
+    reducer = hooks.speaker_measure("shouts", lambda texts: texts.str.count("!"))
     assert rows(talk.speaker_stats(turns, reducer), "speaker", "shouts") == [("a", 0.5), ("b", 2.0)]
 
 
