@@ -20,21 +20,38 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING) -> DataFrame:
+def sentence_terms(turns: DataFrame) -> DataFrame:
+    """(meeting_id, turn, pos, term, n): the different words of each sentence and how often it
+    has them, counted in the row. Written once, it serves weights, summaries, cosines and
+    segments in place of the text."""
+    words = F.col("words")
+    counted = F.transform(
+        F.array_distinct(words), lambda word: F.struct(word.alias("term"), F.size(F.filter(words, lambda other: other == word)).alias("n"))
+    )
+    return _sentence_words(turns).select(*_SENTENCE, F.inline(counted))
+
+
+def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING, words: DataFrame | None = None) -> DataFrame:
     """Count x ln(meetings / meetings with the term), for each term of each meeting.
 
+    `words`, from `sentence_terms` and with the columns of `keys`, spares the text a reading.
+
     A word used in every meeting is a hot key of the join. It is one row on the small
     side and split on the large one by adaptive execution. Meetings are counted from the
     turns, so one without words counts too.
     """
     for name in keys:
         turns = turns.filter(F.col(name).isNotNull())
-    if n == 1:
+        words = words if words is None else words.filter(F.col(name).isNotNull())
+    if words is not None:
+        phrases = words.select(*keys, "term", "n")
+    elif n == 1:
         phrases = turns.select(*keys, F.explode(tx.word_list(F.col("text"))).alias("term"))
     else:
-        words = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
-        phrases = words.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
-    counts = phrases.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("uses"))
+        split = turns.select(*keys, tx.word_list(F.col("text")).alias("_words"))
+        phrases = split.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
+    uses = F.count(F.lit(1)) if words is None else F.sum("n")
+    counts = phrases.groupBy(*keys, "term").agg(uses.alias("uses"))
     # Counted by way of `uses`, and keys known not to be null above, so that both sides
     # need the same of `counts` and Spark splits and shuffles the text once.
     spread = counts.groupBy("term").agg(F.sum((F.col("uses") > 0).cast("long")).alias("meetings"))
@@ -79,6 +96,7 @@ def key_sentences(
     min_words: int = 3,
     weights: DataFrame | None = None,
     scorer=None,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Extractive summary: the k sentences of each meeting with the highest mean word
     weight. `place` is the rank; sort by turn and pos for reading order.
@@ -91,11 +109,12 @@ def key_sentences(
         scored = found.filter(F.size("words") >= min_words).select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
     else:
         weights = term_weights(turns) if weights is None else weights
-        each = found.select(*_SENTENCE, _each("words", min_words).alias("term"))
+        each = sentence_terms(turns) if words is None else words
         weighed = each.join(weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
         # Weights have six places, so millionths add up exactly in any order.
-        millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long")) / F.count(F.lit(1))
-        scored = weighed.groupBy(*_SENTENCE).agg((F.round(millionths) / 1_000_000).alias("score"))
+        millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long") * F.col("n")) / F.sum("n")
+        sized = weighed.groupBy(*_SENTENCE).agg((F.round(millionths) / 1_000_000).alias("score"), F.sum("n").alias("_words"))
+        scored = sized.filter(F.col("_words") >= min_words).drop("_words")
     best = top_per(scored, ["meeting_id"], [F.desc("score"), F.col("turn"), F.col("pos")], k, "place")
     return _with_sentence(best, turns)
 

@@ -9,7 +9,9 @@ from minutary.operators import ordering, terms
 from minutary.session import settle
 
 
-def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
+def turn_cosines(
+    turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK, words: DataFrame | None = None
+) -> DataFrame:
     """Cosine of word counts between each turn and the one before it.
 
     Each word goes into two sums: its turn as the later one of a pair, and as the
@@ -19,18 +21,19 @@ def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK)
     Which turn comes next follows from the keys alone, each once; a repeated key is one turn with the
     words of all its rows. Turns without a key are in no pair.
     """
-    rows = turns.select("meeting_id", "turn", "text").filter("meeting_id IS NOT NULL AND turn IS NOT NULL")
-    keys = ordering.block_by_turn(rows.select("meeting_id", "turn").distinct(), block_turns)
-    following = ordering.with_next(keys, ["meeting_id"], ["turn"], {"_next": "turn"})
-    rows = rows.join(following.select("meeting_id", "turn", "_next"), ["meeting_id", "turn"])
+    known = turns.filter("meeting_id IS NOT NULL AND turn IS NOT NULL")
+    keys = known.select("meeting_id", "turn").distinct()
+    following = ordering.with_next(ordering.block_by_turn(keys, block_turns), ["meeting_id"], ["turn"], {"_next": "turn"})
+    spoken = (terms.sentence_terms(known) if words is None else words).select("meeting_id", "turn", F.col("term").alias("word"), "n")
+    ends = keys.select("meeting_id", "turn", F.lit("").alias("word"), F.lit(1).alias("n"))
+    rows = spoken.unionByName(ends).join(following.select("meeting_id", "turn", "_next"), ["meeting_id", "turn"])
     pair = F.array(
         F.struct(F.col("turn").alias("at"), F.lit(1).alias("_late"), F.lit(0).alias("_early")),
         F.struct(F.col("_next").alias("at"), F.lit(0).alias("_late"), F.lit(1).alias("_early")),
     )
-    words = F.concat(F.array(F.lit("")), tx.word_list(F.coalesce("text", F.lit(""))))
-    each = rows.select("meeting_id", pair.alias("_pair"), F.explode(words).alias("word"))
-    sides = each.select("meeting_id", "word", F.inline("_pair")).filter("at IS NOT NULL")
-    counts = sides.groupBy("meeting_id", "at", "word").agg(F.sum("_late").alias("a"), F.sum("_early").alias("b"))
+    sides = rows.select("meeting_id", "word", "n", F.inline(pair)).filter("at IS NOT NULL")
+    late, early = F.sum(F.col("_late") * F.col("n")), F.sum(F.col("_early") * F.col("n"))
+    counts = sides.groupBy("meeting_id", "at", "word").agg(late.alias("a"), early.alias("b"))
     real = F.col("word") != ""
     sums = counts.groupBy("meeting_id", "at").agg(
         F.sum(F.when(real, F.col("a") * F.col("b")).otherwise(0)).alias("ab"),
@@ -43,10 +46,12 @@ def turn_cosines(turns: DataFrame, block_turns: int = ordering.TURNS_PER_BLOCK)
     return sums.filter("_pairs > 0").select("meeting_id", F.col("at").alias("turn"), cosine.alias("cosine"))
 
 
-def topic_shifts(turns: DataFrame, k: int, block_turns: int = ordering.TURNS_PER_BLOCK) -> DataFrame:
+def topic_shifts(
+    turns: DataFrame, k: int, block_turns: int = ordering.TURNS_PER_BLOCK, words: DataFrame | None = None
+) -> DataFrame:
     """The k turns of each meeting least like the one before (after TextTiling, Hearst
     1997); ties by turn."""
-    cosines = turn_cosines(turns, block_turns)
+    cosines = turn_cosines(turns, block_turns, words)
     return terms.top_per(cosines, ["meeting_id"], [F.col("cosine"), F.col("turn")], k, "rank")
 
 
@@ -66,21 +71,29 @@ def number_segments(turns: DataFrame, shifts: DataFrame, block_turns: int = orde
 
 
 def segments(
-    turns: DataFrame, shifts: DataFrame, terms_each: int = 3, block_turns: int = ordering.TURNS_PER_BLOCK
+    turns: DataFrame,
+    shifts: DataFrame,
+    terms_each: int = 3,
+    block_turns: int = ordering.TURNS_PER_BLOCK,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """First and last turn, counts and key terms of each stretch between shifts. Terms
-    are weighed against all other stretches; there are never more than `terms_each`."""
+    are weighed against all other stretches; there are never more than `terms_each`. `words`,
+    from `terms.sentence_terms`, spares the text a reading."""
     key = ["meeting_id", "segment"]
     # A few rows per meeting, read several times below.
     shifts = settle(shifts.select("meeting_id", "turn"))
-    numbered = number_segments(turns.select("meeting_id", "turn", "speaker", "text"), shifts, block_turns)
+    numbered = number_segments(turns.select("meeting_id", "turn", "speaker"), shifts, block_turns)
     spans = numbered.groupBy(*key).agg(
         F.min("turn").alias("first_turn"),
         F.max("turn").alias("last_turn"),
         F.count(F.lit(1)).alias("turns"),
         F.countDistinct("speaker").alias("speakers"),
     )
-    best = terms.key_terms(numbered, terms_each, keys=("meeting_id", "segment"))
+    places = numbered.select("meeting_id", "turn", "segment").distinct()
+    spoken = (terms.sentence_terms(turns) if words is None else words).join(places, ["meeting_id", "turn"])
+    weights = terms.term_weights(numbered, keys=("meeting_id", "segment"), words=spoken)
+    best = terms.key_terms(numbered, terms_each, keys=("meeting_id", "segment"), weights=weights)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
     names = best.groupBy(*key).agg(F.array_join(F.transform(ranked, lambda row: row["term"]), ", ").alias("terms"))
     return spans.join(names, key, "left")

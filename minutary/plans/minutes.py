@@ -36,23 +36,28 @@ def assemble_minutes(
     shifts_each: int = 2,
     part_turns: int = TURNS_PER_PART,
     block_turns: int = ordering.TURNS_PER_BLOCK,
-    write_weights: bool = True,
+    write_tables: bool = True,
 ) -> DataFrame:
     """One row per meeting and part, with arrays in a fixed order and a `version`.
 
-    Word weights feed both key terms and the summary. They are far smaller than the
-    text, and `write_weights` has them written to the shared folder, so the text is
-    split into words once for the two.
+    The words of each sentence with their counts feed key terms, summary, cosines and
+    segments; with `write_tables` they are written to the shared folder once, and so are
+    the keys, speakers and lengths of turns and the weights of words. The text itself is then
+    read for cues and for the sentences picked.
     """
-    weights = terms.term_weights(turns)
-    if write_weights:
+    words = terms.sentence_terms(turns)
+    keys = turns.select("meeting_id", "turn", "speaker", F.length("text").alias("chars"))
+    if write_tables:
+        words, keys = settle(words), settle(keys)
+    weights = terms.term_weights(keys, words=words)
+    if write_tables:
         weights = settle(weights)
-    spine = turns.groupBy("meeting_id", _part("turn", part_turns)).agg(
+    spine = keys.groupBy("meeting_id", _part("turn", part_turns)).agg(
         F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("turns")
     )
-    opening = turns.groupBy("meeting_id").agg(F.min("turn").alias("turn")).select("meeting_id", _part("turn", part_turns))
+    opening = keys.groupBy("meeting_id").agg(F.min("turn").alias("turn")).select("meeting_id", _part("turn", part_turns))
 
-    people = talk.speaker_stats(turns).withColumn("part", _part("first_turn", part_turns))
+    people = talk.speaker_stats(keys).withColumn("part", _part("first_turn", part_turns))
     speakers = _listed(people, KEYS, ["speaker", "turns", "chars", "share"], "speakers")
 
     own = ["lang"] if "lang" in turns.columns else []
@@ -61,16 +66,16 @@ def assemble_minutes(
     listed = _listed(found, KEYS, ["turn", "pos", "kind", "owner", "due", "sentence", "item_id"], "items")
 
     key_terms = _listed(
-        terms.key_terms(turns, terms_each, weights=weights), ["meeting_id"], ["rank", "term", "weight"], "key_terms"
+        terms.key_terms(keys, terms_each, weights=weights), ["meeting_id"], ["rank", "term", "weight"], "key_terms"
     )
     summary = _listed(
-        terms.key_sentences(turns, sentences_each, weights=weights),
+        terms.key_sentences(turns, sentences_each, weights=weights, words=words),
         ["meeting_id"],
         ["turn", "pos", "sentence", "score"],
         "summary",
     )
-    shifts = topics.topic_shifts(turns, shifts_each, block_turns)
-    parts = topics.segments(turns, shifts, block_turns=block_turns)
+    shifts = topics.topic_shifts(keys, shifts_each, block_turns, words)
+    parts = topics.segments(keys, shifts, block_turns=block_turns, words=words)
     stretches = _listed(parts, ["meeting_id"], ["segment", "first_turn", "last_turn", "speakers", "terms"], "topics")
 
     whole = opening

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from minutary import catalog
 from minutary.operators import items, joins, search, shaping, talk, terms, topics
+from minutary.plans import minutes
 
 
 def plan_of(df) -> str:
@@ -48,6 +49,12 @@ def test_words_are_split_and_shuffled_once(spark, sf):
     assert final.count("Generate explode") == 1
 
 
+def test_minutes_read_the_source_three_times(spark, sf):
+    shown = run_plan_of(minutes.assemble_minutes(catalog.talk_of(spark, sf)))
+    final = shown[: shown.rindex("== Initial Plan ==")]
+    assert 1 <= len(re.findall(r"FileScan parquet [^\n]*conversations", final)) <= 3
+
+
 def test_items_need_no_shuffle(spark, sf):
     assert "Exchange" not in plan_of(items.cue_items(shaping.sentences(catalog.talk_of(spark, sf))))
 
