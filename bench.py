@@ -42,13 +42,16 @@ HEADLINE = [
     "live_counts",
     "live_sessions",
     "session_minutes",
+    "redact",
+    "stream_counts",
+    "stream_running_minutes",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else HEADLINE
     spark = build_session("bench", cores)
