@@ -68,12 +68,19 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder once and read it from there.
 
     Later steps then see fixed rows whatever executors are lost, read only the columns
-    they need, and Spark knows the size. The folder may be cleared between jobs.
+    they need, and Spark knows the size. The folder may be cleared between jobs; whoever
+    knows when a table is no longer read gives its `path` (from `work_dir`) and removes it.
     """
-    path = work_dir(df.sparkSession, "settled")
+    path = path or work_dir(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of `work_dir` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.session import settle
+from minutary.session import remove, settle, work_dir
 from minutary.sources.sinks import with_bucket, write_minutes
 
 
@@ -68,8 +68,16 @@ def upsert_sink(path: str, keys: list[str], order: list[str], buckets: int = 64)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        drafts = [work_dir(spark, "upsert"), work_dir(spark, "upsert")]
+        try:
+            merge(spark, batch, drafts)
+        finally:
+            for draft in drafts:
+                remove(spark, draft)
+
+    def merge(spark: SparkSession, batch: DataFrame, drafts: list[str]) -> None:
         # Reduced and written out first: it is needed for the bucket list and the merge.
-        fresh = settle(with_bucket(newest_rows(batch, keys, order), keys, buckets))
+        fresh = settle(with_bucket(newest_rows(batch, keys, order), keys, buckets), drafts[0])
         touched = [row["bucket"] for row in fresh.select("bucket").distinct().collect()]
         if not touched:
             return
@@ -79,7 +87,7 @@ def upsert_sink(path: str, keys: list[str], order: list[str], buckets: int = 64)
             kept = table.filter(F.col("bucket").isin(touched)).select(*fresh.columns)
             merged = newest_rows(kept.unionByName(fresh), [*keys, "bucket"], order)
             # The partitions read here are the ones replaced below.
-            merged = settle(merged)
+            merged = settle(merged, drafts[1])
         write_minutes(merged, path, ["bucket"])
 
     return handle

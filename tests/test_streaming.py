@@ -220,3 +220,18 @@ def test_pairs_forget_openers_that_no_reply_can_reach():
     assert follow.settle(111, []) is None
     follow.store()
     assert value.held is None
+
+
+def test_upsert_leaves_only_its_table(spark, tmp_path, make_turns):
+    from minutary.session import shared_dir
+
+    handler = sinks.upsert_sink(str(tmp_path / "table"), ["meeting_id", "speaker"], ["turn"], 2)
+
+    def folders():
+        return len(os.listdir(shared_dir(spark).removeprefix("file:")))
+
+    before = folders()
+    for number in range(4):
+        handler(make_turns((1, number, "ann", "x"), (2, number, "bob", "y")), number)
+    assert folders() == before
+    assert sorted((r.meeting_id, r.turn) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(1, 3), (2, 3)]
