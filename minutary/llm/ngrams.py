@@ -26,7 +26,7 @@ from minutary.session import settle, work_dir
 
 ORDER = 2
 TEXT_PER_SHARD = 16 << 20
-TOKENS_PER_CHUNK = 2_000_000
+TOKENS_PER_CHUNK = 1_500_000
 DOCS_IN_HAND = 256
 OPEN_FILES = 1024
 WORD_BYTES = 6
@@ -75,18 +75,40 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return key
 
 
-def _pack(grams: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(grams).view(np.uint8).reshape(*grams.shape, 8)
-    return raw[:, :, :WORD_BYTES].tobytes()
+def _narrow_words(words: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(words).view(np.uint8).reshape(*words.shape, 8)
+    return np.ascontiguousarray(raw[..., :WORD_BYTES]).tobytes()
 
 
-def _unpack(raw: bytes, order: int) -> np.ndarray:
-    narrow = np.frombuffer(raw, dtype=np.uint8).reshape(-1, order, WORD_BYTES)
+def _wide_words(raw: bytes, columns: int) -> np.ndarray:
+    narrow = np.frombuffer(raw, dtype=np.uint8).reshape(-1, columns, WORD_BYTES)
     wide = np.zeros((*narrow.shape[:2], 8), dtype=np.uint8)
     wide[:, :, :WORD_BYTES] = narrow
     return wide.view(np.uint64)[:, :, 0]
 
 
+def _pack(grams: np.ndarray) -> bytes:
+    """Rows in order of their first word: that word once per run of at most 255 rows, the
+    lengths of the runs, and the other words of all rows."""
+    starts = batches.run_starts(grams[:, 0])
+    sizes = np.diff(np.append(starts, len(grams)))
+    whole = (sizes - 1) // 255 + 1
+    heads = np.repeat(grams[starts, 0], whole)
+    lengths = np.full(len(heads), 255, dtype=np.uint8)
+    lengths[np.cumsum(whole) - 1] = sizes - (whole - 1) * 255
+    return np.uint32(len(heads)).tobytes() + _narrow_words(heads[:, None]) + lengths.tobytes() + _narrow_words(grams[:, 1:])
+
+
+def _unpack(raw: bytes, order: int) -> np.ndarray:
+    runs = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
+    cut = 4 + runs * WORD_BYTES
+    heads = _wide_words(raw[4:cut], 1)[:, 0]
+    first = np.repeat(heads, np.frombuffer(raw, dtype=np.uint8, count=runs, offset=cut))
+    if order == 1:
+        return first[:, None]
+    return np.concatenate([first[:, None], _wide_words(raw[cut + runs :], order - 1)], axis=1)
+
+
 def _combined(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """(keys in order, index of one row for each, sums of the values)."""
     order = np.argsort(keys, kind="stable")
@@ -109,16 +131,28 @@ def _cut(keys: np.ndarray, bits: int):
 
 def _rows(kind: str, bits: int, keys: np.ndarray, grams: np.ndarray | None, counts: np.ndarray) -> list[dict]:
     """Rows of sorted keys for their shards. Without `grams` the keys themselves are sent."""
-    return [
-        {
-            "kind": kind,
-            "shard": shard,
-            "grams": keys[part].tobytes() if grams is None else _pack(grams[part]),
-            "counts": np.ascontiguousarray(counts[part]).tobytes(),
-            "stats": None,
-        }
-        for shard, part in _cut(keys, bits)
-    ]
+    rows = []
+    for shard, part in _cut(keys, bits):
+        own, values = None if grams is None else grams[part], counts[part]
+        if own is not None:
+            order = np.argsort(own[:, 0], kind="stable")
+            own, values = own[order], values[order]
+        packed = keys[part].tobytes() if own is None else _pack(own)
+        rows.append({"kind": kind, "shard": shard, "grams": packed, "counts": _small(values).tobytes(), "stats": None})
+    return rows
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    """In four bytes if all fit, else in eight."""
+    most = counts.max() if counts.size else 0
+    return np.ascontiguousarray(counts, dtype=np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _counts(raw: bytes, rows: int, width: int = 1) -> np.ndarray:
+    """What `_small` packed, for a known number of rows."""
+    kind = np.uint32 if len(raw) == 4 * rows * width else np.uint64
+    found = np.frombuffer(raw, dtype=kind).astype(np.int64)
+    return found.reshape(rows, width) if width > 1 else found
 
 
 def _columns(rows: list[dict]) -> dict[str, list]:
@@ -135,17 +169,18 @@ def counted_chunks(docs: DataFrame, order: int, bits: int) -> DataFrame:
 
         def flush():
             grams = np.concatenate(held)
+            held.clear()
             keys, at, counts = _combined(keys_of(grams), np.ones(len(grams), dtype=np.uint32))
-            return _columns(_rows(f"g{order}", bits, keys, grams[at], counts.astype(np.uint32)))
+            return _columns(_rows(f"g{order}", bits, keys, grams[at], counts))
 
-        for batch in batches.pieces(source, DOCS_IN_HAND):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             grams, _ = gram_columns(*token_hashes(texts, order), order)
             held.append(grams)
             waiting += len(grams)
             if waiting >= TOKENS_PER_CHUNK:
                 yield flush()
-                held, waiting = [], 0
+                waiting = 0
         if waiting:
             yield flush()
 
@@ -167,7 +202,7 @@ def _count_classes(counts: np.ndarray) -> list[int]:
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
-    most = counts.max() if len(counts) else 0
+    most = counts.max() if counts.size else 0
     return counts.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
@@ -176,8 +211,9 @@ def _reduce_grams(order: int, top: bool, bits: int, folder: str):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        grams = np.concatenate([_unpack(raw, order) for raw in table.column("grams").to_pylist()])
-        counts = np.concatenate([np.frombuffer(raw, dtype=np.uint32) for raw in table.column("counts").to_pylist()])
+        pieces = [_unpack(raw, order) for raw in table.column("grams").to_pylist()]
+        counts = np.concatenate([_counts(raw, len(own)) for raw, own in zip(table.column("counts").to_pylist(), pieces)])
+        grams = np.concatenate(pieces)
         keys, at, counts = _combined(keys_of(grams), counts)
         grams = grams[at]
         _save(folder, f"g{order}", shard, keys=keys, counts=_narrow(counts))
@@ -192,7 +228,7 @@ def _reduce_grams(order: int, top: bool, bits: int, folder: str):
             both = np.stack([before, whole if top else np.zeros_like(whole)], axis=1)
             rows += _rows("w", bits, tails, None, both)
         else:
-            rows += _rows(f"g{order - 1}", bits, tails, lower[at], before.astype(np.uint32))
+            rows += _rows(f"g{order - 1}", bits, tails, lower[at], before)
             if top:
                 words, _, raw = _combined(keys_of(grams[:, -1:]), counts.astype(np.int64))
                 rows += _rows("w", bits, words, None, np.stack([np.zeros_like(raw), raw], axis=1))
@@ -213,10 +249,10 @@ def _reduce_keys(bits: int, folder: str, width: int):
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(raw, dtype=np.uint64) for raw in table.column("grams").to_pylist()])
-        values = np.concatenate([np.frombuffer(raw, dtype=np.int64).reshape(-1, width) for raw in table.column("counts").to_pylist()])
-        keys, _, sums = _combined(keys, values)
-        _save(folder, kind, shard, keys=keys, counts=sums)
+        pieces = [np.frombuffer(raw, dtype=np.uint64) for raw in table.column("grams").to_pylist()]
+        values = [_counts(raw, len(own), width) for raw, own in zip(table.column("counts").to_pylist(), pieces)]
+        keys, _, sums = _combined(np.concatenate(pieces), np.concatenate(values))
+        _save(folder, kind, shard, keys=keys, counts=_narrow(sums))
         stats = [len(keys), *sums.sum(axis=0).tolist(), *_count_classes(sums[:, 0]), int((sums[:, 0] >= 3).sum())]
         return _table([{"kind": f"t{kind}", "shard": shard, "grams": None, "counts": None, "stats": np.array(stats, dtype=np.int64).tobytes()}])
 
@@ -348,7 +384,7 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
     def step(source):
         model = shared.value
         order = model.order
-        for batch in batches.pieces(source, DOCS_IN_HAND):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             words, full = token_hashes(texts, order)
             grams, owner = gram_columns(words, full, order)
