@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from minutary.session import settle
+from minutary.session import remove, settle, work_dir
 
 
 def _mark(edges: DataFrame):
@@ -34,11 +34,15 @@ def components(links: DataFrame) -> DataFrame:
     the shared folder. Rounds go on until nothing changes. Nulls and loops are no links.
     """
     ends = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = settle(ends.distinct())
+    spark = links.sparkSession
+    path = work_dir(spark, "edges")
+    edges = settle(ends.distinct(), path)
     mark = _mark(edges)
     while True:
-        edges = settle(_smaller_to_smallest(_largest_to_smallest(edges)))
+        before, path = path, work_dir(spark, "edges")
+        edges = settle(_smaller_to_smallest(_largest_to_smallest(edges)), path)
         found = _mark(edges)
+        remove(spark, before)
         if found == mark:
             break
         mark = found

@@ -111,18 +111,15 @@ def _compare_blocks(kind: np.dtype, cosine: float, tables: int, projections: int
             ends = np.append(starts[1:], len(rows["node"]))
             nodes, roots, links = [], [], []
             # Most buckets hold two points that met by chance: one product for all of these.
-            two = starts[ends - starts == 2]
-            for size in np.unique(rows["dims"][two]):
-                at = two[rows["dims"][two] == size]
-                a, b = (unit(_matrix([rows["raw"][k] for k in each], kind)) for each in (at, at + 1))
-                close = np.flatnonzero((a * b).sum(axis=1) >= cosine - 1e-9)
-                starts_close = at[close]
-                two = np.setdiff1d(two, at)
-                two = np.concatenate([two, starts_close])
-            kept = np.sort(np.concatenate([two, starts[ends - starts > 2]]))
-            end_of = dict(zip(starts.tolist(), ends.tolist()))
-            for start in kept.tolist():
-                at = np.arange(start, end_of[start])
+            wanted = ends - starts > 1
+            pairs = np.flatnonzero(ends - starts == 2)
+            dims = rows["dims"][starts[pairs]]
+            for size in np.unique(dims):
+                own = pairs[dims == size]
+                a, b = (unit(_matrix([rows["raw"][k] for k in each], kind)) for each in (starts[own], starts[own] + 1))
+                wanted[own] = (a * b).sum(axis=1) >= cosine - 1e-9
+            for start, end in zip(starts[wanted], ends[wanted]):
+                at = np.arange(start, end)
                 near, i, j = linked(rows, at, rows["first"][start] == rows["second"][start])
                 if not near.any():
                     continue
