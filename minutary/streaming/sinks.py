@@ -24,9 +24,9 @@ def split_late(path: str, delay_seconds: int, at: str = "started_at") -> Callabl
     """A `foreachBatch` function: rows later than the delay go to `path`/late, the others
     to `path`/ontime, and none is lost.
 
-    Lateness is against the highest time of earlier batches, kept in `path`/marks by
-    batch. Everything is written under the batch's own partition, so a batch that runs
-    again after a failure reads the same marks and replaces its own rows.
+    Lateness is against the highest time of all earlier batches, kept in `path`/marks for
+    the last two. Everything is written under the batch's own partition, so a batch that
+    runs again after a failure reads the same mark and replaces its own rows.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -44,8 +44,9 @@ def split_late(path: str, delay_seconds: int, at: str = "started_at") -> Callabl
         try:
             write_minutes(rows.filter("_late").drop("_late"), f"{path}/late", ["batch_id"])
             write_minutes(rows.filter("NOT _late").drop("_late"), f"{path}/ontime", ["batch_id"])
-            top = rows.groupBy("batch_id").agg(F.max(F.unix_micros(at)).alias("high_micros"))
-            write_minutes(top, f"{path}/marks", ["batch_id"])
+            top = F.greatest(F.max(F.unix_micros(at)), F.lit(high).cast("long")).alias("high_micros")
+            write_minutes(rows.agg(top).withColumn("batch_id", F.lit(batch_id)), f"{path}/marks", ["batch_id"])
+            remove(spark, f"{path}/marks/batch_id={batch_id - 2}")
         finally:
             rows.unpersist()
 

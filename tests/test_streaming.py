@@ -235,3 +235,15 @@ def test_upsert_leaves_only_its_table(spark, tmp_path, make_turns):
         handler(make_turns((1, number, "ann", "x"), (2, number, "bob", "y")), number)
     assert folders() == before
     assert sorted((r.meeting_id, r.turn) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(1, 3), (2, 3)]
+
+
+def test_marks_of_lateness_do_not_pile_up(spark, tmp_path, make_turns):
+    handler = sinks.split_late(str(tmp_path), 60)
+    clocks = ["10:00:00", "10:10:00", None, "10:09:30", "10:08:00", "10:20:00"]
+    for number, clock in enumerate(clocks):
+        for _ in range(2):
+            handler(make_turns((1, number, "ann", "x", clock)), number)
+    assert len([name for name in os.listdir(tmp_path / "marks") if name.startswith("batch_id=")]) == 2
+    late = spark.read.parquet(str(tmp_path / "late"))
+    assert [r.turn for r in late.collect()] == [4]
+    assert spark.read.parquet(str(tmp_path / "ontime")).count() == 5
