@@ -26,11 +26,12 @@ PAGES_IN_HAND = 64
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|iframe|noscript|template|svg|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?][^>]*+>",
     re.I | re.S,
 )
+# Elements whose content holds no tags, and their ends.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in "script style textarea title iframe noscript xmp".split()}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -41,7 +42,7 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-NOT_MAIN = set("nav footer aside form button select dialog menu head object canvas audio video datalist".split())
+NOT_MAIN = set("nav footer aside form button select dialog menu head object canvas audio video datalist svg template".split())
 PART_NAMES = set(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus replies respond "
@@ -51,6 +52,30 @@ PART_NAMES = set(
 HEAD_NAMES = set("header banner masthead".split())
 LAYOUT_NAMES = set("with has no without wrap wrapper layout free".split())
 
+# HTML's rules for end tags that may be left out (fixed values).
+SPECIAL = BLOCKS | NOT_MAIN
+IN_HEAD = set("base link meta title script style noscript template".split())
+FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
+TABLE_PARTS = set("table caption colgroup thead tbody tfoot tr td th".split())
+END_P = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split()
+)
+# A start tag ends the nearest of the first tags that is not beyond one of the second.
+ENDS = {
+    "li": ({"li"}, SPECIAL - {"address", "div", "p"}),
+    "dd": ({"dd", "dt"}, SPECIAL - {"address", "div", "p"}),
+    "option": ({"option"}, SPECIAL),
+    "button": ({"button"}, {"table", "td", "th", "caption"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
+}
+ENDS |= {"dt": ENDS["dd"], "th": ENDS["td"], "thead": ENDS["tbody"], "tfoot": ENDS["tbody"]}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Tags that cannot stand in svg and end it.
+END_SVG = (BLOCKS | FORMATTING | {"br", "img", "span", "embed", "sub", "sup", "var", "ruby"}) - {"a", "font"}
+
 
 def _names(attributes: str) -> list[list[str]]:
     """Names in class, id and role, each as its parts in lower case."""
@@ -76,54 +101,161 @@ def _is_part(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_blocks(html: str) -> tuple[list[str], bool]:
-    """The texts of a page's blocks in order, and whether its tags name them the article."""
-    found: list[tuple[int, str]] = []
+class _Open:
+    """Open elements, outermost first, and which of them is skipped with all that it holds."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.counts: dict[str, int] = {}
+        self.skipped: int | None = None
+
+    def has(self, tag: str) -> bool:
+        return self.counts.get(tag, 0) > 0
+
+    def push(self, tag: str, skip: bool) -> None:
+        if skip and self.skipped is None:
+            self.skipped = len(self.tags)
+        self.tags.append(tag)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        for tag in self.tags[at:]:
+            self.counts[tag] -= 1
+        del self.tags[at:]
+        if self.skipped is not None and self.skipped >= at:
+            self.skipped = None
+
+    def nearest(self, wanted: set[str], bounds: set[str]) -> int | None:
+        if any(map(self.has, wanted)):
+            for at in range(len(self.tags) - 1, -1, -1):
+                if self.tags[at] in wanted:
+                    return at
+                if self.tags[at] in bounds:
+                    return None
+        return None
+
+    def start(self, tag: str) -> None:
+        """Ends what the start tag `tag` ends."""
+        if self.has("head") and tag not in IN_HEAD:
+            self.cut(self.tags.index("head"))
+        if tag in END_SVG and self.has("svg"):
+            at = self.nearest({"svg"}, {"foreignobject", "desc"})
+            if at is not None:
+                self.cut(at)
+        if tag in ENDS:
+            at = self.nearest(*ENDS[tag])
+            if at is not None:
+                self.cut(at)
+        if tag in END_P:
+            at = self.nearest({"p"}, {"table", "td", "th", "caption", "button", "object", "template", "svg"})
+            if at is not None:
+                self.cut(at)
+        if tag in HEADINGS and self.tags and self.tags[-1] in HEADINGS:
+            self.cut(len(self.tags) - 1)
+
+    def end(self, tag: str) -> None:
+        """The end tag `tag`, which also ends all elements within. One without a start is passed over."""
+        if not self.has(tag):
+            return
+        if tag in FORMATTING:
+            at = self.nearest({tag}, {"table", "td", "th", "caption"})
+            if at is not None:
+                self._take_out(at)
+            return
+        if tag in TABLE_PARTS:
+            bounds = {"table"} - {tag}
+        elif tag not in SPECIAL:
+            bounds = SPECIAL
+        elif self.skipped is not None:
+            # The end of what holds a skipped element ends that too.
+            bounds = set()
+        else:
+            bounds = {"table", "td", "th", "caption"} | ({"ul", "ol"} if tag == "li" else {"button"} if tag == "p" else set())
+        at = self.nearest({tag}, bounds)
+        if at is not None:
+            self.cut(at)
+
+    def _take_out(self, at: int) -> None:
+        """One element goes; those within stay open."""
+        self.counts[self.tags.pop(at)] -= 1
+        if self.skipped is not None and at <= self.skipped:
+            self.skipped = None if at == self.skipped else self.skipped - 1
+
+
+def page_parts(html: str) -> tuple[list[str], list[str], bool]:
+    """The texts of a page's main blocks and of its other unskipped blocks, in order, and whether
+    its tags name the main ones.
+
+    Where there are both, `article` is the main text if it holds at least as much text as `main` holds
+    outside of articles; else `main` with all in it.
+    """
+    found: list[tuple[bool, bool, str]] = []
     parts: list[str] = []
-    articles = mains = 0
-    skipped, depth = "", 0
+    tree = _Open()
+    inside = False, False
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            found.append((2 if articles else 1 if mains else 0, text))
+            found.append((*inside, text))
 
-    at = 0
-    for match in _MARKUP.finditer(html):
-        if not skipped and match.start() > at:
-            text = html[at : match.start()]
+    def read(text: str) -> None:
+        nonlocal inside
+        if tree.has("head") and text.strip():
+            tree.cut(tree.tags.index("head"))
+        if tree.skipped is None:
+            if not parts:
+                inside = tree.has("article"), tree.has("main")
             parts.append(unescape(text) if "&" in text else text)
+
+    at = 0
+    while match := _MARKUP.search(html, at):
+        if match.start() > at:
+            read(html[at : match.start()])
         at = match.end()
         tag = (match["tag"] or "").lower()
         if not tag:
             continue
-        closing = bool(match["close"])
-        if skipped:
-            if tag == skipped:
-                depth += -1 if closing else 1
-                if not depth:
-                    skipped = ""
+        attributes = match["rest"]
+        if match["close"]:
+            if tag not in ("html", "body"):
+                tree.end(tag)
+            if tag in BLOCKS and tree.skipped is None:
+                flush()
+            continue
+        if tag in RAW and not (tree.has("svg") and attributes.endswith("/")):
+            end = RAW[tag].search(html, at)
+            at = end.end() if end else len(html)
             continue
+        tree.start(tag)
+        if tag in BLOCKS and tree.skipped is None:
+            flush()
         if tag == "br":
-            parts.append(" ")
+            read(" ")
+        if tag in VOID or tag in ("html", "body") or (tag == "head" and tree.tags):
             continue
-        attributes = match["rest"]
-        part = not closing and tag not in VOID and _is_part(tag, attributes, articles > 0)
-        if part or tag in BLOCKS:
+        if attributes.endswith("/") and (tag == "svg" or tree.has("svg")):
+            continue
+        part = tree.skipped is None and _is_part(tag, attributes, tree.has("article"))
+        if part and tag not in ("svg", "template"):
             flush()
-        if part:
-            skipped, depth = tag, 1
-        elif tag == "article":
-            articles = max(0, articles - 1) if closing else articles + 1
-        elif tag == "main":
-            mains = max(0, mains - 1) if closing else mains + 1
-    if not skipped:
-        text = html[at:]
-        parts.append(unescape(text) if "&" in text else text)
+        tree.push(tag, part)
+    read(html[at:])
     flush()
-    best = max((level for level, _ in found), default=0)
-    return [text for level, text in found if level == best], best > 0
+
+    in_articles = sum(len(text) for article, _, text in found if article)
+    in_main = sum(len(text) for article, main, text in found if main and not article)
+    known = in_articles + in_main > 0
+    chosen = [not known or (article if in_articles >= in_main else main) for article, main, _ in found]
+    blocks = [text for (_, _, text), own in zip(found, chosen) if own]
+    return blocks, [text for (_, _, text), own in zip(found, chosen) if not own], known
+
+
+def page_blocks(html: str) -> tuple[list[str], bool]:
+    """The texts of a page's main blocks in order, and whether its tags name them so."""
+    blocks, _, known = page_parts(html)
+    return blocks, known
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -176,7 +308,7 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
     """(rest, text) for every row of `pages` (url, html, anything else); `rest` holds all columns but html.
 
     Blocks are joined by one line feed; white space within a block is one space; character references are
-    decoded; a line break within a block is white space. Text inside `article`, else inside `main`,
+    decoded; a line break within a block is white space. Text inside `article` or `main` (`page_parts`)
     stays whole, repeated or not. On pages with neither, tokens covered by a substring of `run`
     or more tokens found on `least_pages` pages of the host go; pages with equal open text count as one.
     Pages without a host share one. Null and empty pages have an empty text; repeated rows are

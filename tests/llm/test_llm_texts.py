@@ -245,6 +245,29 @@ def test_odd_pages(text, blocks):
     assert html.page_blocks(text)[0] == blocks
 
 
+@pytest.mark.parametrize("text, blocks", [
+    ('<article><p class="ad">buy<p>body one<p>body two</article>', ["body one", "body two"]),
+    ('<article><ul><li class="share">s<li>x<li>y</ul><p>z</article>', ["x", "y", "z"]),
+    ('<article><dl><dt class="notice">s<dd>x</dl><p>z</article>', ["x", "z"]),
+    ('<article><table><tr><td class="related">s<td>x<tr class="ad"><td>t<tr><td>y</table>z</article>', ["x", "y", "z"]),
+    ('<div><article><div class="ads"><p>buy</article></div><article>z</article>', ["z"]),
+    ('<div><aside>side</div><p>z</p>', ["z"]),
+    ('<article><ul class="menu"><li>a<ul><li>b</ul></ul>z</article>', ["z"]),
+    ('<article><a class="ad">buy<p>more</a>z</article>', ["z"]),
+    ('<head><meta charset="x"><title>t</title><body><p>z', ["z"]),
+    ('<article><svg-icon></svg-icon>x<style-guide>y</style-guide><title-bar>z</title-bar></article>', ["xyz"]),
+    ('<article>x<template-part>y</template-part><svg class="i" /> z</article>', ["xy z"]),
+    ('<article>x<svg><g/><title/><path d="m"/></svg>y<template><p>no</p></template>z<style>p{}</style >!</article>', ["xyz!"]),
+    ('<div><article>x<svg><path></article>y</div>', ["x"]),
+    ('<article>x<svg><path><p>y</article>', ["x", "y"]),
+    ('<main><p>the long text of a page</p><article>card</article></main>', ["the long text of a page", "card"]),
+    ('<main><p>the long text of a page</p></main><article>card</article>', ["the long text of a page"]),
+    ('<main><p>by me</p><article>the long text of a page</article></main>', ["the long text of a page"]),
+])
+def test_ends_left_out_and_names_alike(text, blocks):
+    assert html.page_blocks(text) == (blocks, "<article" in text or "<main" in text)
+
+
 def test_pages_without_an_article(spark):
     menu = "home news sport weather travel money food about us"
 
