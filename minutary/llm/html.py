@@ -1,11 +1,12 @@
 """Main text of web pages: structure first, then what a host repeats from page to page.
 
 Tags say of most blocks whether they are the article (inside `article` or `main`) or not (menus, footers,
-adverts and so on). A page without any article leaves its remaining blocks open. For
-these, the token streams of a host's pages are taken as one text, whose suffixes are put together by
+adverts and so on). A page without any article leaves its remaining blocks open. The
+token streams of all of a host's pages are taken as one text, whose suffixes are put together by
 their first RUN tokens, as in a suffix array cut at that depth: suffixes of different pages with
 one prefix are a repeated substring of at least RUN tokens. Tokens covered by such substrings go;
-the runs between them stay.
+the runs between them stay. An article is evidence against that: in it only what most of the host's
+pages repeat goes, and never all of it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from html import unescape
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from minutary.llm import batches, hashing
@@ -22,6 +24,8 @@ from minutary.session import settle
 # Tokens that make a repeated substring long, and pages of a host that make it boilerplate.
 RUN = 8
 PAGES = 3
+# Share of a host's pages that makes it so within an article too.
+SHARE = 0.5
 PAGES_IN_HAND = 64
 
 _MARKUP = re.compile(
@@ -259,22 +263,23 @@ def page_blocks(html: str) -> tuple[list[str], bool]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(rest, host, blocks, settled) for every page."""
+    """(rest, host, blocks, others, settled) for every page."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     others = [F.col(name) for name in pages.columns if name != "html"]
     packed = pages.select(F.struct(*others).alias("rest"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def step(source):
         for batch in batches.pieces(source, PAGES_IN_HAND):
-            found = [page_blocks(html) for html in batch.column("html").to_pylist()]
+            found = [page_parts(html) for html in batch.column("html").to_pylist()]
             yield {
                 "rest": batch.column("rest"),
                 "host": batch.column("host"),
-                "blocks": [blocks for blocks, _ in found],
-                "settled": [known for _, known in found],
+                "blocks": [blocks for blocks, _, _ in found],
+                "others": [others for _, others, _ in found],
+                "settled": [known for _, _, known in found],
             }
 
-    return batches.with_fields(packed, ["rest", "host"], step, "blocks array<string>, settled boolean")
+    return batches.with_fields(packed, ["rest", "host"], step, "blocks array<string>, others array<string>, settled boolean")
 
 
 def _prefixes(blocks: list[str], run: int) -> np.ndarray:
@@ -287,6 +292,11 @@ def _prefixes(blocks: list[str], run: int) -> np.ndarray:
     return hashing.rolling_hashes(joined, starts, ends).view(np.int64)
 
 
+def _of_host(host: str, prefixes: np.ndarray) -> np.ndarray:
+    """Prefixes as keys that are the host's own."""
+    return prefixes ^ np.uint64(xxhash.xxh64_intdigest(host)).view(np.int64)
+
+
 def _without_repeats(blocks: list[str], prefixes: np.ndarray, repeated: np.ndarray, run: int) -> list[str]:
     """The blocks without the tokens that repeated prefixes cover; blocks left empty go."""
     hits = np.flatnonzero(np.isin(prefixes, repeated))
@@ -308,45 +318,58 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
     """(rest, text) for every row of `pages` (url, html, anything else); `rest` holds all columns but html.
 
     Blocks are joined by one line feed; white space within a block is one space; character references are
-    decoded; a line break within a block is white space. Text inside `article` or `main` (`page_parts`)
-    stays whole, repeated or not. On pages with neither, tokens covered by a substring of `run`
-    or more tokens found on `least_pages` pages of the host go; pages with equal open text count as one.
+    decoded; a line break within a block is white space. Every page of a host takes part in the search
+    with all its blocks but the skipped ones; pages with equal text count as one. Where neither
+    `article` nor `main` names the text (`page_parts`), tokens covered by a substring of `run` or more
+    tokens found on `least_pages` pages go. Where one does, only those of substrings on SHARE of the host's
+    pages as well, and the text stays whole if nothing would be left.
     Pages without a host share one. Null and empty pages have an empty text; repeated rows are
     each returned. An empty table gives an empty one.
     """
     # Written, so that a page keeps its number.
     parsed = settle(_parsed(pages).withColumn("page", F.monotonically_increasing_id()))
-    joined = F.array_join("blocks", "\n").alias("text")
-    ready = parsed.filter("settled").select("rest", joined)
-    unclear = parsed.filter(~F.col("settled"))
+    # One page for each different text of a host; a prefix counts once per page, in tasks first.
+    told = parsed.filter(F.size("blocks") > 0)
+    singles = told.groupBy("host", F.xxhash64("blocks").alias("_text")).agg(F.min("page").alias("page"))
+    hosts = singles.groupBy("host").agg(F.count("*").alias("pages"))
 
     def suffixes(source):
-        for batch in batches.pieces(source):
-            for row in range(batch.num_rows):
-                prefixes = np.unique(_prefixes(batch.column("blocks")[row].as_py(), run))
-                if len(prefixes):
-                    yield {
-                        "host": [batch.column("host")[row].as_py()] * len(prefixes),
-                        "prefix": prefixes,
-                        "page": np.full(len(prefixes), batch.column("page")[row].as_py()),
-                    }
+        for batch in batches.pieces(source, PAGES_IN_HAND):
+            columns = [batch.column(name).to_pylist() for name in ("host", "blocks", "others")]
+            found = [
+                _of_host(host, np.unique(np.concatenate([_prefixes(blocks, run), _prefixes(others, run)])))
+                for host, blocks, others in zip(*columns)
+            ]
+            sizes = [len(own) for own in found]
+            yield {
+                "key": np.concatenate(found) if found else np.zeros(0, dtype=np.int64),
+                "page": np.repeat(batch.column("page").to_numpy(), sizes),
+                "once": np.repeat(batch.column("once").to_numpy(zero_copy_only=False), sizes),
+            }
 
-    # One page for each different text of a host; a prefix counts once per page, in tasks first.
-    singles = unclear.groupBy("host", F.xxhash64("blocks").alias("_text")).agg(F.min("page").alias("page")).select("page")
-    own = unclear.select("host", "blocks", "page")
-    rows = settle(batches.map_arrow(own, suffixes, "host string, prefix long, page long"))
-    often = rows.join(singles, "page", "left_semi").groupBy("host", "prefix").count().filter(F.col("count") >= least_pages)
+    once = singles.select("page", F.lit(True).alias("_once"))
+    own = parsed.join(once, "page", "left").select("host", "blocks", "others", "page", F.col("_once").isNotNull().alias("once"))
+    rows = settle(batches.map_arrow(own, suffixes, "key long, page long, once boolean"))
+    often = rows.filter("once").groupBy("key").agg(F.count("*").alias("seen")).filter(F.col("seen") >= least_pages)
     # A page's repeated prefixes, never more than the page's tokens.
-    marked = rows.join(often, ["host", "prefix"]).groupBy("page").agg(F.collect_list("prefix").alias("repeated"))
+    repeats = F.collect_list(F.struct("key", "seen")).alias("repeated")
+    marked = rows.join(often, "key").groupBy("page").agg(repeats)
 
     def cut(source):
         for batch in batches.pieces(source, PAGES_IN_HAND):
-            blocks, repeated = batch.column("blocks").to_pylist(), batch.column("repeated").to_pylist()
-            texts = [
-                own if not gone else _without_repeats(own, _prefixes(own, run), np.array(gone, dtype=np.int64), run)
-                for own, gone in zip(blocks, repeated)
-            ]
-            yield {"rest": batch.column("rest"), "text": ["\n".join(own) for own in texts]}
-
-    opened = unclear.join(marked, "page", "left").select("rest", "blocks", "repeated")
-    return ready.unionByName(batches.with_fields(opened, ["rest"], cut, "text string"))
+            names = ("host", "blocks", "settled", "pages")
+            texts = []
+            for row, (host, own, known, of_host) in enumerate(zip(*(batch.column(name).to_pylist() for name in names))):
+                repeated = batch.column("repeated")[row].values
+                if repeated is not None and own:
+                    seen = repeated.field("seen").to_numpy()
+                    enough = seen >= SHARE * of_host if known else seen >= least_pages
+                    gone = repeated.field("key").to_numpy()[enough]
+                    left = _without_repeats(own, _of_host(host, _prefixes(own, run)), gone, run) if len(gone) else own
+                    own = left or ([] if not known else own)
+                texts.append("\n".join(own))
+            yield {"rest": batch.column("rest"), "text": texts}
+
+    opened = parsed.join(marked, "page", "left").join(hosts, "host", "left")
+    opened = opened.select("rest", "host", "blocks", "settled", "pages", "repeated")
+    return batches.with_fields(opened, ["rest"], cut, "text string")

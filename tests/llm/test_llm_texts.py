@@ -290,6 +290,25 @@ def test_pages_without_an_article(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_repeats_are_sought_on_all_pages(spark):
+    """Menus of pages with an article tell what goes on one without; a line on most pages goes from articles
+    too, one on few stays, and no article is emptied."""
+    menu, letter = "home news sport weather travel money food about us", "read more stories like this one in our letter"
+    quote = "a line that some but not most pages quote"
+
+    def story(n):
+        return " ".join(f"s{n}w{at}" for at in range(12))
+
+    def article(n, more=""):
+        return f"<div>{menu}</div><article><p>{story(n)}</p>{more}<div>{letter}</div></article>"
+
+    html_of = {n: article(n, f"<p>{quote}</p>" if n < 3 else "") for n in range(8)}
+    html_of |= {8: f"<div>{menu}</div><p>{story(8)}</p>", 9: f"<article>{letter}</article>"}
+    pages = spark.createDataFrame([(n, "http://a.example/", page) for n, page in html_of.items()], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.main_text(pages).select("rest.page_id", "text").collect()}
+    assert found == {n: story(n) + (f"\n{quote}" if n < 3 else "") for n in range(9)} | {9: letter}
+
+
 def test_sample_pages_keep_their_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = queries.QUERIES["op10_html"](spark, sf).collect()
