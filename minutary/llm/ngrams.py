@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from minutary.llm import batches, hashing
 from minutary.session import settle, work_dir
 
-ORDER = 2
+ORDER = 3
 TEXT_PER_SHARD = 16 << 20
 TOKENS_PER_CHUNK = 1_500_000
 DOCS_IN_HAND = 256
 OPEN_FILES = 1024
-WORD_BYTES = 6
-_WORD_MASK = np.uint64((1 << 8 * WORD_BYTES) - 1)
 # No word holds white space, so these texts stand for no word.
-_END, _START = (np.uint64(h) & _WORD_MASK for h in (0x656E64206F662074, 0x7374617274206F66))
+_END, _START = (np.uint64(h) for h in (0x656E64206F662074, 0x7374617274206F66))
 ROWS = "kind string, shard int, grams binary, counts binary, stats binary"
 
 
@@ -44,7 +42,7 @@ def token_hashes(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.n
     token, and how many tokens each text has, start tokens included."""
     counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     joined, starts, ends, _ = hashing.shingle_spans(texts, 1)
-    hashes = hashing.xxh64_spans(joined, starts, ends, 0) & _WORD_MASK
+    hashes = hashing.xxh64_spans(joined, starts, ends, 0)
     full = counts + order
     firsts = np.cumsum(full) - full
     words = np.full(int(full.sum()), _START, dtype=np.uint64)
@@ -75,18 +73,6 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return key
 
 
-def _narrow_words(words: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(words).view(np.uint8).reshape(*words.shape, 8)
-    return np.ascontiguousarray(raw[..., :WORD_BYTES]).tobytes()
-
-
-def _wide_words(raw: bytes, columns: int) -> np.ndarray:
-    narrow = np.frombuffer(raw, dtype=np.uint8).reshape(-1, columns, WORD_BYTES)
-    wide = np.zeros((*narrow.shape[:2], 8), dtype=np.uint8)
-    wide[:, :, :WORD_BYTES] = narrow
-    return wide.view(np.uint64)[:, :, 0]
-
-
 def _pack(grams: np.ndarray) -> bytes:
     """Rows in order of their first word: that word once per run of at most 255 rows, the
     lengths of the runs, and the other words of all rows."""
@@ -96,17 +82,17 @@ def _pack(grams: np.ndarray) -> bytes:
     heads = np.repeat(grams[starts, 0], whole)
     lengths = np.full(len(heads), 255, dtype=np.uint8)
     lengths[np.cumsum(whole) - 1] = sizes - (whole - 1) * 255
-    return np.uint32(len(heads)).tobytes() + _narrow_words(heads[:, None]) + lengths.tobytes() + _narrow_words(grams[:, 1:])
+    return np.uint32(len(heads)).tobytes() + heads.tobytes() + lengths.tobytes() + np.ascontiguousarray(grams[:, 1:]).tobytes()
 
 
 def _unpack(raw: bytes, order: int) -> np.ndarray:
     runs = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-    cut = 4 + runs * WORD_BYTES
-    heads = _wide_words(raw[4:cut], 1)[:, 0]
+    cut = 4 + runs * 8
+    heads = np.frombuffer(raw[4:cut], dtype=np.uint64)
     first = np.repeat(heads, np.frombuffer(raw, dtype=np.uint8, count=runs, offset=cut))
     if order == 1:
         return first[:, None]
-    return np.concatenate([first[:, None], _wide_words(raw[cut + runs :], order - 1)], axis=1)
+    return np.concatenate([first[:, None], np.frombuffer(raw[cut + runs :], dtype=np.uint64).reshape(-1, order - 1)], axis=1)
 
 
 def _combined(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -3,11 +3,13 @@
 import datetime as dt
 import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import example, given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -54,6 +56,20 @@ def test_ngram_chances_sum_to_one():
         assert sum(plain.chance((context, word)) for word in [*plain.raw, "new"]) == pytest.approx(1.0)
 
 
+def test_the_query_scores_with_trigrams(make_docs, spark, tmp_path):
+    make_docs(TEXTS).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {row.doc_id: row.score for row in queries.QUERIES["op3_ngrams"](spark, str(tmp_path)).collect()}
+    plain = brute.KneserNey([text for doc, text in TEXTS.items() if zlib.crc32(str(doc).encode()) % 10], 3)
+    assert found == {doc: pytest.approx(plain.score(text), rel=1e-9) for doc, text in TEXTS.items()}
+
+
+def test_hashes_of_words_keep_all_bits():
+    words, _ = ngrams.token_hashes([[b"cat", b"dog"]], 3)
+    assert words[2:4].tolist() == [xxhash.xxh64_intdigest(b"cat"), xxhash.xxh64_intdigest(b"dog")]
+    grams = np.sort(np.array([[3 << 60, 5 << 61, 7], [3 << 60, 1, 2 << 62]], dtype=np.uint64), axis=0)
+    assert (ngrams._unpack(ngrams._pack(grams), 3) == grams).all()
+
+
 def test_ngrams_of_nothing(make_docs):
     docs = make_docs(TEXTS)
     empty = ngrams.learn(docs.limit(0))
