@@ -19,8 +19,11 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, or without text, go. The model is learned from the
-    three quarters of labelled rows that crc32 of the id names."""
+    three quarters of labelled rows that crc32 of the id names. If these teach no language, none can
+    be told, and a text stays if it has a letter."""
     model = langid.learn(docs.filter(langid.remainder("doc_id", 4) != 2))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
     return _columns(named, docs)
 

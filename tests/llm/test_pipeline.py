@@ -46,6 +46,14 @@ def test_pipeline_equals_its_plain_version(spark, make_docs, tmp_path):
     assert found == wanted
 
 
+def test_texts_stay_when_no_language_is_learned(spark, make_docs, tmp_path):
+    texts = documents()
+    make_docs([(n, text, None) for n, text in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(BENCHMARK.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {row.doc_id for row in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert found == set(plain(texts)) != set()
+
+
 def test_stages_keep_the_columns(spark, make_docs, tmp_path):
     spark.createDataFrame(list(BENCHMARK.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(1, "a plain text with letters"), (1, "a plain text with letters"), (None, None), (2, "x" * 100_000)]
