@@ -173,8 +173,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             packed = [_pack(np.asarray(each)) for each in batch.column("gone").to_pylist()]
             yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "keep": packed}
 
-    # One document's lines, never more than the document itself.
-    gone = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("gone"))
+    # One document's lines, each once however often its row is repeated: never more than the document itself.
+    gone = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
     return batches.map_arrow(gone, step, "doc_id long, text_hash long, keep binary")
 
 

@@ -149,6 +149,15 @@ def test_lines_odd_rows(make_docs):
     assert lines.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_give_each_line_once(make_docs, monkeypatch):
+    notice = "all rights reserved by the owners"
+    inputs, run = [], lines.batches.map_arrow
+    monkeypatch.setattr(lines.batches, "map_arrow", lambda df, *more: inputs.append(df) or run(df, *more))
+    keep = lines.keep_bitmaps(make_docs([(1, f"a\n{notice}\nb")] * 50 + [(n, notice) for n in (2, 3)]))
+    assert {row.doc_id: list(row.gone) for row in inputs[-1].collect()} == {1: [1], 2: [0]}
+    assert keep.count() == 2
+
+
 def test_bitmaps_keep_lines_beyond_them():
     keep = lines._pack(np.array([1, 3]))
     text = "\n".join("abcdefghijkl").encode()
