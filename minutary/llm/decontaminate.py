@@ -125,7 +125,8 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: f
     """(doc_id, text_hash, item_id, shingles, found, containment): items held by documents.
 
     Words are as in `batches.words_of`; an item or document of fewer than `size` words is one
-    shingle. Null, empty and wordless texts hold nothing and are held by nothing. Repeated rows of
+    shingle. So an item of fewer words, as in the SQL, is found only in documents of just these
+    words and is not searched inside longer ones. Null, empty and wordless texts hold nothing and are held by nothing. Repeated rows of
     `docs` give one row (equal texts) or one per text; `text_hash` is Spark's xxhash64 of it.
     Rows of `items` with one item_id and different texts are different items. Null ids are ids
     of their own. Empty tables give an empty one.
