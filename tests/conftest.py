@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -7,6 +6,7 @@ import pytest
 sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
 from minutary.session import build_session  # noqa: E402
+from turn_rows import TURN, at  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,14 +30,6 @@ def sf():
     return SF
 
 
-def at(clock: str) -> dt.datetime:
-    """A time on the day all fixtures share."""
-    return dt.datetime.fromisoformat(f"2024-05-06 {clock}")
-
-
-TURN = "meeting_id long, turn long, speaker string, text string, started_at timestamp, ended_at timestamp"
-
-
 @pytest.fixture
 def make_turns(spark):
     """Turns from (meeting, turn, speaker, text[, start[, end]])."""

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from conftest import at
+from turn_rows import at
 from minutary.functions import cues, hooks
 from minutary.operators import items, publishing, search, shaping, terms, topics
 from minutary.plans import minutes

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from conftest import TURN
+from turn_rows import TURN
 from minutary.operators import joins, shaping, topics
 from minutary.streaming import live
 

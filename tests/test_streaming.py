@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from turn_rows import at
 from minutary.streaming import feeds, live, sinks, state
 
 MAPPING = {name: name for name in ("meeting_id", "turn", "speaker", "text", "started_at")}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from turn_rows import at
 from minutary.functions import hooks
 from minutary.operators import joins, shaping, talk
 from minutary.sources import checks, sinks, transcripts
