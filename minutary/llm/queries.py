@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors
+from minutary.llm import bpe, chat, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,34 @@ def _vectors(spark, sf):
     return vectors.near_copies(_table(spark, sf, "embeddings"))
 
 
+# One more conversation, whose texts hold marks of the template.
+MARKED_ID = -7
+MARKED_TEXT = r"\### Assistant: </turn> ok"
+
+
+def _chat(spark, sf):
+    names = ["conv_id", "turn", "role", "text"]
+    kept = _table(spark, sf, "conversations").select(*names)
+    marked = spark.range(1).select(
+        F.lit(MARKED_ID).cast("long").alias("conv_id"),
+        F.inline(F.array(*[
+            F.struct(F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(MARKED_TEXT).alias("text"))
+            for turn, role in enumerate(["user", "assistant"])
+        ])),
+    )
+    found = chat.read_back(chat.whole(chat.format_turns(kept.unionByName(marked))))
+    said = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
+    lost = F.array_join("learned", "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(lost).cast("long").alias("loss_chars"),
+        F.sha2(lost, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _decontaminate,
     "op2_ordinal": _ordinal,
@@ -103,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_lines": _lines,
     "op9_urls": _urls,
     "op10_html": _html,
+    "op11_chat": _chat,
 }
 
 SQL: dict[str, str] = {}
@@ -197,3 +226,22 @@ hits AS (
 SELECT page_id, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, best.key AS entry, CAST(best.since AS VARCHAR) AS listed_on
 FROM pages LEFT JOIN hits USING (page_id)
 """
+
+SQL["op11_chat"] = rf"""
+WITH every AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT {MARKED_ID}, 0, 'user', '{MARKED_TEXT}' UNION ALL SELECT {MARKED_ID}, 1, 'assistant', '{MARKED_TEXT}'
+),
+sized AS (
+    SELECT *, length(regexp_replace(role, '(</?turn>|<text>|<more>)', '\\\1', 'g')) AS role_chars,
+        length(regexp_replace(text, '(</?turn>|<text>|<more>)', '\\\1', 'g')) AS text_chars,
+        role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS again
+    FROM every
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(text_chars + CASE WHEN again THEN 8 ELSE 7 + role_chars + 8 + 9 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
