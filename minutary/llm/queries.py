@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, chat, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors
+from minutary.llm import bpe, chat, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op9_urls": _urls,
     "op10_html": _html,
     "op11_chat": _chat,
+    "op13_whitening": lambda spark, sf: whitening.whiten(_table(spark, sf, "embeddings")),
 }
 
 SQL: dict[str, str] = {}

@@ -1,13 +1,15 @@
 """Chat formatting, prefix trie and whitening against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import given, settings, strategies as st
 
-from minutary.llm import chat, queries
+from minutary.llm import chat, queries, whitening
 
 TURNS = "conv_id long, turn long, role string, text string, chunk double, mask string, _turns long"
 
@@ -109,3 +111,88 @@ def test_chat_query_digests(spark, make_talk, tmp_path):
         assert (row.n_turns, row.loss_chars, row.formatted_chars) == (len(turns), len(learned), len(plain_format(turns)))
         assert row.turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert row.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+
+
+# ---- whitening ----
+
+
+def plain_axes(vectors, components):
+    """Of vectors of whole numbers, by numpy."""
+    matrix = np.array(vectors, dtype=float)
+    off = matrix - matrix.mean(axis=0)
+    spread = off.T @ off / len(matrix)
+    values, axes = np.linalg.eigh(spread)
+    best = np.argsort(-values)[:components]
+    return values[best], axes[:, best], spread.trace(), off
+
+
+def planted(rng, n, dims):
+    return rng.normal(size=(n, dims)) * np.linspace(3, 0.2, dims) @ np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+
+
+VECTORS = "vec_id long, embedding array<double>, whitened string, n double, deviation string, label int"
+
+
+@pytest.fixture
+def make_vectors(spark):
+    return lambda rows: spark.createDataFrame([(*row, "x", 0.5, "y", 3) for row in rows], VECTORS)
+
+
+@pytest.mark.parametrize("dims", [1, 3, 20])
+def test_whitening_equals_numpy(make_vectors, dims):
+    rng = np.random.default_rng(dims)
+    good = [(n, [float(c) for c in row]) for n, row in enumerate(planted(rng, 300, dims))]
+    good += [(7, good[7][1]), (None, good[3][1])]
+    bad = [(1000, None), (1001, []), (1002, [None] * dims), (1003, [float("nan")] * dims), (1004, [float("inf")] * dims)]
+    bad += [(1005, [1.0] * (dims + 1)), (1006, [1e300] * dims)]
+    found = whitening.whiten(make_vectors(good + bad)).collect()
+    whole = [[math.floor(1024 * c) + 100_000 for c in row] for _, row in good]
+    values, axes, trace, off = plain_axes(whole, 8)
+    n, sums = len(whole), [sum(column) for column in zip(*whole)]
+    assert len(found) == n * min(8, dims) and {row.n for row in found} == {n}
+    assert all(row.identity_error < 1e-9 for row in found)
+    expected = {}
+    for (key, _), row, apart in zip(good, whole, off):
+        deviation = sum((n * x - total) ** 2 for x, total in zip(row, sums))
+        expected.setdefault(key, []).append((deviation, apart @ axes / np.sqrt(values)))
+    signs = {}
+    for row in found:
+        deviation, coordinates = expected[row.vec_id][0]
+        assert row.deviation == deviation
+        assert row.explained == pytest.approx(values[row.component - 1] / trace, rel=1e-9)
+        own = coordinates[row.component - 1]
+        sign = signs.setdefault(row.component, np.sign(own * row.whitened))
+        assert row.whitened == pytest.approx(sign * own, abs=1e-8)
+
+
+def test_whitening_of_too_little(make_vectors):
+    assert whitening.whiten(make_vectors([])).collect() == []
+    assert whitening.whiten(make_vectors([(1, None), (2, [])])).collect() == []
+    assert whitening.whiten(make_vectors([(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
+    line = whitening.whiten(make_vectors([(n, [float(n), 2.0 * n]) for n in range(5)])).collect()
+    assert {row.component for row in line} == {1} and len(line) == 5
+    assert all(row.explained == pytest.approx(1) for row in line)
+
+
+def test_whitening_of_far_apart_entries(make_vectors):
+    far = [(n, [(-1.0) ** n * 1e10, float(n)]) for n in range(4)]
+    found = whitening.whiten(make_vectors(far)).collect()
+    assert {row.deviation for row in found} == {None}
+    assert all(row.identity_error < 1e-9 for row in found)
+
+
+@given(st.integers(1, 12), st.integers(0, 10**6))
+@settings(max_examples=40, deadline=None)
+def test_factor_and_rotations(size, seed):
+    rng = np.random.default_rng(seed)
+    root = rng.integers(-3, 4, size=(size, rng.integers(1, size + 1))).astype(float)
+    matrix = root @ root.T
+    order, factor = whitening.pivoted_cholesky(matrix)
+    assert np.allclose(factor @ factor.T, matrix[order][:, order], atol=1e-9)
+    assert np.allclose(np.triu(factor, 1), 0) and factor.shape[1] == np.linalg.matrix_rank(matrix)
+    turned = whitening.orthogonal_columns(factor)
+    inner = turned.T @ turned
+    assert np.allclose(inner, np.diag(inner.diagonal()), atol=1e-12 * max(1.0, np.abs(inner).max(initial=0)))
+    assert np.allclose(turned @ turned.T, factor @ factor.T, atol=1e-9)
+    pairs = [pair for a, b in whitening._rounds(size) for pair in zip(a.tolist(), b.tolist())]
+    assert sorted(pairs) == [(a, b) for a in range(size) for b in range(a + 1, size)]
