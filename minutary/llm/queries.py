@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minutary.llm import bpe, chat, decontaminate, html, langid, lines, ngrams, ordinal, simhash, urls, vectors, whitening
+from minutary.llm import bpe, chat, decontaminate, html, langid, lines, ngrams, ordinal, simhash, trie, urls, vectors, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op9_urls": _urls,
     "op10_html": _html,
     "op11_chat": _chat,
+    "op12_prefixes": lambda spark, sf: trie.nodes(trie.shared_start_paths(_table(spark, sf, "conversations"))),
     "op13_whitening": lambda spark, sf: whitening.whiten(_table(spark, sf, "embeddings")),
 }
 
@@ -246,3 +247,39 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(text_chars + CASE WHEN again THEN 8 ELSE 7 + role_chars + 8 + 9 END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+# h of a conversation: crc32, bit by bit.
+_CRC = """list_reduce(list_concat([4294967295], [ord(c)::BIGINT FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+SQL["op12_prefixes"] = f"""
+WITH talk AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+marked AS (SELECT *, sha256(length(role) || ':' || role || text)[:32] AS mark FROM talk),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS place FROM marked),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor({_CRC}, 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM talk)),
+rebuilt AS (
+    SELECT c.conv_id, p.place, p.mark, p.text FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place <= c.h
+    UNION ALL SELECT c.conv_id, p.place + 1000000, p.mark, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h
+),
+steps AS (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(mark, '') OVER w AS key, strlen(text) AS size
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+),
+lengths AS (SELECT conv_id, max(depth) AS n FROM steps GROUP BY conv_id),
+nodes AS (
+    SELECT key, any_value(depth) AS depth, min(s.conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        bool_and(depth = n) AS leaf,
+        sha256(coalesce(string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256
+    FROM steps s JOIN lengths l ON s.conv_id = l.conv_id GROUP BY key
+),
+above AS (SELECT n.key, n.depth, n.leaf, n.n_convs, n.size, s.key AS top FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth),
+sums AS (
+    SELECT top, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM above GROUP BY top
+),
+parents AS (SELECT a.key, a.top FROM above a JOIN nodes t ON t.key = a.top WHERE t.depth = a.depth - 1),
+children AS (SELECT top, count(*) AS n_children FROM parents GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.key LEFT JOIN children c ON c.top = n.key LEFT JOIN parents q ON q.key = n.key LEFT JOIN nodes p ON p.key = q.top
+"""
