@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from minutary.llm import chat, queries, whitening
+from minutary.llm import chat, parens, queries, trie, whitening
 
 TURNS = "conv_id long, turn long, role string, text string, chunk double, mask string, _turns long"
 
@@ -196,3 +197,101 @@ def test_factor_and_rotations(size, seed):
     assert np.allclose(turned @ turned.T, factor @ factor.T, atol=1e-9)
     pairs = [pair for a, b in whitening._rounds(size) for pair in zip(a.tolist(), b.tolist())]
     assert sorted(pairs) == [(a, b) for a in range(size) for b in range(a + 1, size)]
+
+
+# ---- prefix trie ----
+
+
+def plain_trie(sequences):
+    """Nodes by their beginning, from {conversation: [(role, text), ...]} or pairs of these."""
+    pairs = list(sequences.items()) if isinstance(sequences, dict) else sequences
+    members, ends = {}, {}
+    for conv, turns in pairs:
+        for depth in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:depth]), []).append(conv)
+        ends.setdefault(tuple(turns), []).append(conv)
+    rows = []
+    for key, own in members.items():
+        under = [other for other in members if other[: len(key)] == key]
+        kids = [other for other in under if len(other) == len(key) + 1]
+        leaves = [other for other in under if not any(more[:-1] == other for more in members if more)]
+        saved = sum((len(members[other]) - 1) * len(other[-1][1].encode()) for other in under if other)
+        ids = ",".join(map(str, sorted(ends.get(key, []))))
+        parent = min(members[key[:-1]]) if key else None
+        rows.append((min(own), len(key), parent, len(own), len(kids), len(leaves), saved, hashlib.sha256(ids.encode()).hexdigest()))
+    return sorted(rows, key=str)
+
+
+def talk_of(seed, convs=60):
+    rng = random.Random(seed)
+    said = [("user", "hi"), ("user", "hé"), ("assistant", "hi"), ("", ""), ("user", "hi ho" * 9)]
+    found = {conv: [rng.choice(said[: 2 + conv % 4]) for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9]))] for conv in range(convs)}
+    found |= {1000 + n: found[3] for n in range(40)}
+    return found | {2000: [said[n % 5] for n in range(90)], -4: [said[n % 5] for n in range(80)]}
+
+
+def encoded_path(turns):
+    marks = [hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()[:16] + len(text.encode()).to_bytes(8, "big") for role, text in turns]
+    return b"".join(marks)
+
+
+def rows_of_nodes(frame):
+    return sorted((tuple(row) for row in frame.select(*trie.NAMES).collect()), key=str)
+
+
+@pytest.mark.parametrize("turns_per_shard", [1, 7, 1 << 17])
+def test_trie_equals_plain_trie(spark, turns_per_shard):
+    talk = talk_of(turns_per_shard)
+    rows = [(conv, bytearray(encoded_path(turns))) for conv, turns in talk.items()]
+    paths = spark.createDataFrame(rows, "conv_id long, path binary")
+    assert rows_of_nodes(trie.nodes(paths, turns_per_shard)) == plain_trie(talk)
+
+
+def test_trie_counts_repeated_rows(spark):
+    path = encoded_path([("user", "a")])
+    twice = spark.createDataFrame([(1, bytearray(path)), (1, bytearray(path)), (2, bytearray())], "conv_id long, path binary")
+    assert rows_of_nodes(trie.nodes(twice, 1)) == plain_trie([(1, [("user", "a")]), (1, [("user", "a")]), (2, [])])
+
+
+def test_trie_of_nothing(make_talk):
+    assert trie.nodes(trie.shared_start_paths(make_talk([]))).collect() == []
+    assert trie.nodes(trie.shared_start_paths(make_talk([(None, 1, "user", "nobody's")]))).collect() == []
+
+
+def test_trie_query_rebuilds_conversations(spark, make_talk, tmp_path):
+    talk = {conv: turns for conv, turns in talk_of(5, 90).items() if turns and conv % 10 != 5}
+    rows = [(conv, n, role or None, text or None) for conv, turns in talk.items() for n, (role, text) in enumerate(turns)]
+    rows = [(conv, None if n == 0 and conv % 3 == 0 else n, role, text) for conv, n, role, text in rows]
+    random.Random(1).shuffle(rows)
+    make_talk(rows + [(None, 3, "user", "nobody's")]).write.parquet(str(tmp_path / "conversations.parquet"))
+    rebuilt = {}
+    for conv, turns in talk.items():
+        h = zlib.crc32(str(conv).encode()) % 9
+        base = int(math.fmod(conv, 5))
+        rebuilt[conv] = [*talk.get(conv - base, [])[:h], *turns[h:]]
+    assert rows_of_nodes(queries.QUERIES["op12_prefixes"](spark, str(tmp_path))) == plain_trie(rebuilt)
+
+
+@given(st.integers(0, 10**6), st.integers(1, 400))
+@settings(max_examples=30, deadline=None)
+def test_close_parentheses(seed, pairs):
+    rng = random.Random(seed)
+    bits, opened, left = [], 0, pairs
+    while left or opened:
+        if left and (not opened or rng.random() < 0.5 + 0.4 * (seed % 2)):
+            bits, opened, left = [*bits, True], opened + 1, left - 1
+        else:
+            bits, opened = [*bits, False], opened - 1
+    stack, close = [], {}
+    for at, bit in enumerate(bits):
+        if bit:
+            stack.append(at)
+        else:
+            close[stack.pop()] = at
+    tree = parens.Parens(np.array(bits))
+    assert tree.find_close().tolist() == [close[at] for at in sorted(close)]
+    assert tree.leaf_rank()[-1] == sum(close[at] == at + 1 for at in close)
+    values = np.array([rng.randrange(1000) for _ in range(pairs)])
+    starts = np.array([rng.randrange(pairs) for _ in range(20)])
+    ends = np.array([rng.randint(start + 1, pairs) for start in starts])
+    assert parens.least_between(values, starts, ends).tolist() == [values[a:b].min() for a, b in zip(starts, ends)]
