@@ -387,4 +387,9 @@ SQL: dict[str, str] = {
   FROM (SELECT meeting_id, turn, string_split(text, chr(10)) AS s FROM {TALK})""",
     "hook_measure": f"""SELECT meeting_id, speaker, count(*) AS turns,
   round(avg(length(text) - length(replace(text, ',', ''))), 6) AS mean_commas FROM {TALK} GROUP BY ALL""",
+    "related_meetings": """WITH pairs AS (
+  SELECT a.vec_id, b.vec_id AS related_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  SELECT * FROM (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, related_id) AS INTEGER) AS rank, related_id, cosine
+  FROM pairs) WHERE rank <= 5""",
 }
