@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minutary import schemas
 from minutary.functions import hooks
-from minutary.operators import items, joins, publishing, related, search, shaping, talk, terms, topics
+from minutary.operators import copies, items, joins, publishing, related, search, shaping, talk, terms, topics
 from minutary.plans import minutes
 from minutary.session import tune, work_dir
 from minutary.sources import checks, sinks, transcripts
@@ -408,6 +408,10 @@ def _merged_vocabulary(spark, sf):
     return talk.merged_vocabulary(talk.vocabulary(talk_of(spark, sf)))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
@@ -454,6 +458,7 @@ QUERIES: dict[str, Query] = {
     "segments": _segments,
     "topic_threads": lambda s, d: topics.topic_threads(terms.key_terms(talk_of(s, d), 5)),
     "related_meetings": lambda s, d: related.related_meetings(_vectors(s, d), 5),
+    "near_copies": lambda s, d: copies.near_copies(_documents(s, d)),
     "cue_items": lambda s, d: items.cue_items(shaping.sentences(spoken_of(s, d), keep=("meeting_id", "turn", "lang"))),
     "item_fields": _promises,
     "open_items": _open,

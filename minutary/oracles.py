@@ -392,4 +392,16 @@ SQL: dict[str, str] = {
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
   SELECT * FROM (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, related_id) AS INTEGER) AS rank, related_id, cosine
   FROM pairs) WHERE rank <= 5""",
+    "near_copies": f"""WITH RECURSIVE split AS (SELECT doc_id, {TEXT_WORDS} AS words FROM documents),
+  cut AS (SELECT doc_id, array_to_string(words, ' ') AS said, unnest(CASE WHEN len(words) >= 5 THEN
+    list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) ELSE [array_to_string(words, ' ')] END) AS run FROM split),
+  texts AS (SELECT said, min(doc_id) AS id, count(DISTINCT run) AS n FROM cut GROUP BY said),
+  runs AS (SELECT DISTINCT id, run FROM cut JOIN texts USING (said)),
+  sized AS (SELECT id, n FROM texts),
+  links AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.run = b.run AND a.id <> b.id
+    JOIN sized s ON s.id = a.id JOIN sized t ON t.id = b.id
+    GROUP BY a.id, b.id HAVING count(*) >= 0.8 * (any_value(s.n) + any_value(t.n) - count(*))),
+  reached AS (SELECT id AS a, id AS b FROM texts UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+  parts AS (SELECT a AS id, min(b) AS group_id FROM reached GROUP BY a)
+  SELECT doc_id, group_id, texts FROM parts JOIN (SELECT group_id, count(*) AS texts FROM parts GROUP BY group_id) USING (group_id) JOIN texts USING (id) JOIN (SELECT DISTINCT said, doc_id FROM cut) USING (said)""",
 }
