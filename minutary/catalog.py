@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minutary import schemas
 from minutary.functions import hooks
-from minutary.operators import copies, items, joins, publishing, related, search, shaping, talk, terms, topics
+from minutary.operators import copies, items, joins, likeness, publishing, related, search, shaping, talk, terms, topics
 from minutary.plans import minutes
 from minutary.session import tune, work_dir
 from minutary.sources import checks, sinks, transcripts
@@ -453,6 +453,8 @@ QUERIES: dict[str, Query] = {
     "key_phrases": lambda s, d: terms.key_terms(talk_of(s, d), 5, n=2).drop("uses"),
     "key_sentences": lambda s, d: terms.key_sentences(talk_of(s, d), 3),
     "central_sentences": lambda s, d: terms.central_sentences(talk_of(s, d), 3),
+    "sentence_degrees": lambda s, d: likeness.sentence_degrees(talk_of(s, d), 0.2),
+    "linked_sentences": lambda s, d: likeness.linked_sentences(talk_of(s, d), 3, 0.2),
     "turn_cosines": lambda s, d: topics.turn_cosines(talk_of(s, d)),
     "topic_shifts": lambda s, d: topics.topic_shifts(talk_of(s, d), 2),
     "segments": _segments,

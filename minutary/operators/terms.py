@@ -80,7 +80,7 @@ def _each(words: str, at_least: int) -> Column:
 _SENTENCE = ["meeting_id", "turn", "pos"]
 
 
-def _with_sentence(best: DataFrame, turns: DataFrame) -> DataFrame:
+def with_sentence(best: DataFrame, turns: DataFrame) -> DataFrame:
     """Fetch the text of the few sentences that were picked; until here only ids and
     words are shuffled. If several turns have one key, the sentence is the first in
     order of those that they have at that place."""
@@ -116,7 +116,7 @@ def key_sentences(
         sized = weighed.groupBy(*_SENTENCE).agg((F.round(millionths) / 1_000_000).alias("score"), F.sum("n").alias("_words"))
         scored = sized.filter(F.col("_words") >= min_words).drop("_words")
     best = top_per(scored, ["meeting_id"], [F.desc("score"), F.col("turn"), F.col("pos")], k, "place")
-    return _with_sentence(best, turns)
+    return with_sentence(best, turns)
 
 
 def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame:
@@ -143,4 +143,4 @@ def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame
     mean = F.when(others > 0, (F.col("_with_itself") - 1) / others).otherwise(F.lit(0.0))
     scored = summed.join(sizes, "meeting_id").select(*_SENTENCE, tx.rounded(mean).alias("centrality"))
     best = top_per(scored, ["meeting_id"], [F.desc("centrality"), F.col("turn"), F.col("pos")], k, "place")
-    return _with_sentence(best, turns)
+    return with_sentence(best, turns)

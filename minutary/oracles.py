@@ -302,6 +302,14 @@ def _pairs(closed: bool = False) -> str:
   WHERE r.speaker = 'purchase' {only} GROUP BY ALL) WHERE ts - opened <= INTERVAL 6 HOUR"""
 
 
+# Sentences and how many others of the meeting have word sets at a Jaccard similarity of 0.2.
+DEGREES = f"""(WITH sized AS (SELECT row_number() OVER () AS id, meeting_id, turn, pos, sentence, list_distinct({WORDS.format(text="sentence")}) AS words FROM {SENTENCES}),
+  each AS (SELECT id, meeting_id, unnest(words) AS word FROM sized),
+  common AS (SELECT a.id, b.id AS other, count(*) AS n FROM each a JOIN each b ON a.meeting_id = b.meeting_id AND a.word = b.word AND a.id <> b.id GROUP BY ALL),
+  degrees AS (SELECT c.id, count(*) AS degree FROM common c JOIN sized s ON s.id = c.id JOIN sized t ON t.id = c.other
+    WHERE n / (len(s.words) + len(t.words) - n) >= 0.2 GROUP BY c.id)
+  SELECT sized.*, coalesce(degree, 0) AS degree FROM sized LEFT JOIN degrees USING (id))"""
+
 SQL: dict[str, str] = {
     "read_turns_csv": f"SELECT meeting_id, turn, speaker, text FROM {TALK}",
     "read_turns": f"SELECT * FROM {TALK}",
@@ -404,4 +412,7 @@ SQL: dict[str, str] = {
   reached AS (SELECT id AS a, id AS b FROM texts UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
   parts AS (SELECT a AS id, min(b) AS group_id FROM reached GROUP BY a)
   SELECT doc_id, group_id, texts FROM parts JOIN (SELECT group_id, count(*) AS texts FROM parts GROUP BY group_id) USING (group_id) JOIN texts USING (id) JOIN (SELECT DISTINCT said, doc_id FROM cut) USING (said)""",
+    "sentence_degrees": f"SELECT meeting_id, turn, pos, degree FROM {DEGREES}",
+    "linked_sentences": f"""SELECT * FROM (SELECT meeting_id, turn, pos, degree,
+  CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY degree DESC, turn, pos) AS INTEGER) AS place, sentence FROM {DEGREES}) WHERE place <= 3""",
 }
