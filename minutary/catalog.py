@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minutary import schemas
 from minutary.functions import hooks
-from minutary.operators import copies, items, joins, likeness, publishing, related, search, shaping, talk, terms, topics
+from minutary.operators import copies, index, items, joins, likeness, publishing, related, search, shaping, talk, terms, topics
 from minutary.plans import minutes
 from minutary.session import tune, work_dir
 from minutary.sources import checks, sinks, transcripts
@@ -408,6 +408,14 @@ def _merged_vocabulary(spark, sf):
     return talk.merged_vocabulary(talk.vocabulary(talk_of(spark, sf)))
 
 
+def _indexed(spark, sf):
+    """Turns added to an index in two parts, and asked for."""
+    path, turns = work_dir(spark, "index"), talk_of(spark, sf)
+    for part in (0, 1):
+        index.add_to_index(turns.filter(F.col("meeting_id") % 2 == part), path)
+    return index.search_index(spark, path, "the die la", 20)
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
@@ -465,6 +473,7 @@ QUERIES: dict[str, Query] = {
     "item_fields": _promises,
     "open_items": _open,
     "search_turns": lambda s, d: search.search_turns(talk_of(s, d), "the die la", 20),
+    "search_index": _indexed,
     "assemble_minutes": _assembled,
     "render_minutes": _rendered,
     "compare_minutes": _compared,

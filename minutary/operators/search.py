@@ -20,6 +20,15 @@ def _uses(words: str, wanted: str) -> Column:
     return F.size(words) - F.size(F.array_remove(words, wanted))
 
 
+def asked_words(query: str | list[str]) -> list[str]:
+    """The different words of a query."""
+    phrases = [query] if isinstance(query, str) else query
+    asked = sorted({word for phrase in phrases for word in _LETTERS.findall(phrase.lower())})
+    if not asked:
+        raise ValueError("nothing to search for")
+    return asked
+
+
 def search_turns(turns: DataFrame, query: str | list[str], k: int) -> DataFrame:
     """The k turns that match best by BM25, ties by key. Words are runs of letters.
 
@@ -27,10 +36,7 @@ def search_turns(turns: DataFrame, query: str | list[str], k: int) -> DataFrame:
     over by a pattern before they are split. Nothing is shuffled but those sums and k
     rows per task.
     """
-    phrases = [query] if isinstance(query, str) else query
-    asked = sorted({word for phrase in phrases for word in _LETTERS.findall(phrase.lower())})
-    if not asked:
-        raise ValueError("nothing to search for")
+    asked = asked_words(query)
     words = turns.select(tx.word_list(F.col("text")).alias("_words"))
     figures = words.agg(
         F.struct(

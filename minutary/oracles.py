@@ -416,3 +416,4 @@ SQL: dict[str, str] = {
     "linked_sentences": f"""SELECT * FROM (SELECT meeting_id, turn, pos, degree,
   CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY degree DESC, turn, pos) AS INTEGER) AS place, sentence FROM {DEGREES}) WHERE place <= 3""",
 }
+SQL["search_index"] = SQL["search_turns"]
