@@ -14,7 +14,7 @@ from minutary import schemas
 from minutary.functions import hooks
 from minutary.operators import copies, index, items, joins, likeness, publishing, related, search, shaping, talk, terms, topics
 from minutary.plans import minutes
-from minutary.session import tune, work_dir
+from minutary.session import settle, tune, work_dir
 from minutary.sources import checks, sinks, transcripts
 from minutary.streaming import feeds, live, sinks as live_sinks, state
 
@@ -141,7 +141,8 @@ def _totals(mode: str) -> Query:
 
 def _segments(spark, sf):
     turns = talk_of(spark, sf)
-    return topics.segments(turns, topics.topic_shifts(turns, 2))
+    words = settle(terms.sentence_terms(turns))
+    return topics.segments(turns, topics.topic_shifts(turns, 2, words=words), words=words)
 
 
 def _promises(spark, sf):

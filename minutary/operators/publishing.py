@@ -23,14 +23,19 @@ def compare_minutes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     """Each key with `added`, `removed`, `changed` or `same`. Only keys and hashes are
     shuffled, not the minutes."""
     before = old.select(*keys, F.col("version").alias("_old"))
-    after = new.select(*keys, F.col("version").alias("_new"))
+    after = new.select(*[F.col(name).alias(f"_{name}") for name in keys], F.col("version").alias("_new"))
     change = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), "removed")
         .when(F.col("_old") != F.col("_new"), "changed")
         .otherwise("same")
     )
-    return before.join(after, keys, "full_outer").select(*keys, change.alias("change"))
+    # A null key meets a null key.
+    same = F.lit(True)
+    for name in keys:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    either = [F.coalesce(name, f"_{name}").alias(name) for name in keys]
+    return before.join(after, same, "full_outer").select(*either, change.alias("change"))
 
 
 def newer_lines(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -36,11 +36,11 @@ def speaker_stats(turns: DataFrame, reducer=None) -> DataFrame:
     )
     share = F.when(F.col("_chars") > 0, tx.rounded(F.col("chars") / F.col("_chars"))).otherwise(F.lit(0.0))
     turn_share = tx.rounded(F.col("turns") / F.col("_turns"))
-    stats = people.join(totals, "meeting_id").select(
+    stats = ordering.join_on(people, totals, ["meeting_id"]).select(
         "meeting_id", "speaker", "turns", "chars", "first_turn", share.alias("share"), turn_share.alias("turn_share")
     )
     if reducer is not None:
-        stats = stats.join(reducer(turns), ["meeting_id", "speaker"], "left")
+        stats = ordering.join_on(stats, reducer(turns), ["meeting_id", "speaker"], "left")
     return stats
 
 

@@ -22,13 +22,10 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank:
 
 def sentence_terms(turns: DataFrame) -> DataFrame:
     """(meeting_id, turn, pos, term, n): the different words of each sentence and how often it
-    has them, counted in the row. Written once, it serves weights, summaries, cosines and
+    has them. Written once, it serves weights, summaries, cosines and
     segments in place of the text."""
-    words = F.col("words")
-    counted = F.transform(
-        F.array_distinct(words), lambda word: F.struct(word.alias("term"), F.size(F.filter(words, lambda other: other == word)).alias("n"))
-    )
-    return _sentence_words(turns).select(*_SENTENCE, F.inline(counted))
+    each = shaping.sentences(turns).select(*_SENTENCE, F.explode(tx.word_list(F.col("sentence"))).alias("term"))
+    return each.groupBy(*_SENTENCE, "term").agg(F.count("*").cast("int").alias("n"))
 
 
 def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING, words: DataFrame | None = None) -> DataFrame:
@@ -40,9 +37,6 @@ def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING,
     side and split on the large one by adaptive execution. Meetings are counted from the
     turns, so one without words counts too.
     """
-    for name in keys:
-        turns = turns.filter(F.col(name).isNotNull())
-        words = words if words is None else words.filter(F.col(name).isNotNull())
     if words is not None:
         phrases = words.select(*keys, "term", "n")
     elif n == 1:
@@ -52,10 +46,11 @@ def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING,
         phrases = split.select(*keys, F.explode(tx.phrase_list(F.col("_words"), n)).alias("term"))
     uses = F.count(F.lit(1)) if words is None else F.sum("n")
     counts = phrases.groupBy(*keys, "term").agg(uses.alias("uses"))
-    # Counted by way of `uses`, and keys known not to be null above, so that both sides
-    # need the same of `counts` and Spark splits and shuffles the text once.
+    # Counted by way of `uses`, so that both sides need the same of `counts` and Spark splits and
+    # shuffles the text once.
     spread = counts.groupBy("term").agg(F.sum((F.col("uses") > 0).cast("long")).alias("meetings"))
-    every = turns.agg(F.count_distinct(*[F.col(name) for name in keys])).scalar()
+    # As a struct, so that a null key counts as one.
+    every = turns.agg(F.count_distinct(F.struct(*keys))).scalar()
     weight = tx.rounded(F.col("uses") * F.ln(every / F.col("meetings")))
     return counts.join(spread, "term").select(*keys, "term", "uses", weight.alias("weight"))
 
@@ -110,7 +105,7 @@ def key_sentences(
     else:
         weights = term_weights(turns) if weights is None else weights
         each = sentence_terms(turns) if words is None else words
-        weighed = each.join(weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
+        weighed = ordering.join_on(each, weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
         # Weights have six places, so millionths add up exactly in any order.
         millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long") * F.col("n")) / F.sum("n")
         sized = weighed.groupBy(*_SENTENCE).agg((F.round(millionths) / 1_000_000).alias("score"), F.sum("n").alias("_words"))
@@ -119,6 +114,13 @@ def key_sentences(
     return with_sentence(best, turns)
 
 
+def _sum_of(whole: Column) -> Column:
+    """Sum of whole numbers as a double, from two sums of which neither leaves a long for some
+    10^12 rows."""
+    million = F.lit(1_000_000)
+    return F.sum(F.floor(whole / million)).cast("double") * million + F.sum(F.pmod(whole, million)).cast("double")
+
+
 def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame:
     """Another summary: the k sentences most like the rest of their meeting, by mean
     cosine of word sets with every other sentence (degree centrality with similarities
@@ -131,16 +133,16 @@ def central_sentences(turns: DataFrame, k: int, min_words: int = 1) -> DataFrame
     found = _sentence_words(turns).select(*_SENTENCE, F.array_distinct("words").alias("words"))
     unit = 1 / F.sqrt(F.size("words"))
     each = found.select(*_SENTENCE, unit.alias("unit"), _each("words", min_words).alias("word"))
-    unit_parts = F.round(F.col("unit") * 1_000_000_000_000).cast("decimal(38,0)")
-    pull = each.groupBy("meeting_id", "word").agg((F.sum(unit_parts).cast("double") / 1_000_000_000_000).alias("pull"))
+    # Whole numbers add up the same in any order.
+    unit_parts = F.round(F.col("unit") * 1_000_000_000_000).cast("long")
+    pull = each.groupBy("meeting_id", "word").agg((_sum_of(unit_parts) / 1_000_000_000_000).alias("pull"))
     sizes = found.groupBy("meeting_id").agg(F.count_if(F.size("words") >= min_words).alias("_sentences"))
-    # Whole billionths add up the same in any order; decimals hold them at any number.
-    part = F.round(F.col("unit") * F.col("pull") * 1_000_000_000).cast("decimal(38,0)")
-    summed = each.join(pull, ["meeting_id", "word"]).groupBy(*_SENTENCE).agg(
-        (F.sum(part).cast("double") / 1_000_000_000).alias("_with_itself")
+    part = F.round(F.col("unit") * F.col("pull") * 1_000_000_000).cast("long")
+    summed = ordering.join_on(each, pull, ["meeting_id", "word"]).groupBy(*_SENTENCE).agg(
+        (_sum_of(part) / 1_000_000_000).alias("_with_itself")
     )
     others = F.col("_sentences") - 1
     mean = F.when(others > 0, (F.col("_with_itself") - 1) / others).otherwise(F.lit(0.0))
-    scored = summed.join(sizes, "meeting_id").select(*_SENTENCE, tx.rounded(mean).alias("centrality"))
+    scored = ordering.join_on(summed, sizes, ["meeting_id"]).select(*_SENTENCE, tx.rounded(mean).alias("centrality"))
     best = top_per(scored, ["meeting_id"], [F.desc("centrality"), F.col("turn"), F.col("pos")], k, "place")
     return with_sentence(best, turns)

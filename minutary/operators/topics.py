@@ -91,12 +91,13 @@ def segments(
         F.countDistinct("speaker").alias("speakers"),
     )
     places = numbered.select("meeting_id", "turn", "segment").distinct()
-    spoken = (terms.sentence_terms(turns) if words is None else words).join(places, ["meeting_id", "turn"])
+    spoken = terms.sentence_terms(turns) if words is None else words
+    spoken = ordering.join_on(spoken, places, ["meeting_id", "turn"])
     weights = terms.term_weights(numbered, keys=("meeting_id", "segment"), words=spoken)
     best = terms.key_terms(numbered, terms_each, keys=("meeting_id", "segment"), weights=weights)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))
     names = best.groupBy(*key).agg(F.array_join(F.transform(ranked, lambda row: row["term"]), ", ").alias("terms"))
-    return spans.join(names, key, "left")
+    return ordering.join_on(spans, names, key, "left")
 
 
 def topic_threads(key_terms: DataFrame, limit: int = ordering.ROWS_IN_ONE_WINDOW) -> DataFrame:

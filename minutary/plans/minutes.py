@@ -80,10 +80,10 @@ def assemble_minutes(
 
     whole = opening
     for section in (key_terms, stretches, summary):
-        whole = whole.join(section, "meeting_id", "left")
+        whole = ordering.join_on(whole, section, ["meeting_id"], "left")
     rows = spine
     for section in (speakers, whole, listed):
-        rows = rows.join(section, KEYS, "left")
+        rows = ordering.join_on(rows, section, KEYS, "left")
     columns = [*KEYS, "first_turn", "last_turn", "turns", "speakers", "key_terms", "topics", "summary", "items"]
     return publishing.with_version(rows.select(*columns), KEYS)
 

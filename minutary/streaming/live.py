@@ -118,6 +118,6 @@ def session_minutes(turns: DataFrame, gap_seconds: int, limit: int = ordering.RO
     ends = people.groupBy(*key).agg(
         F.max(F.struct(F.col("_last.started_at"), F.col("_last.turn"), F.col("speaker"))).alias("_end")
     )
-    return people.join(ends, key).select(
+    return ordering.join_on(people, ends, key).select(
         *key, F.col("_end.started_at").alias("last_at"), "speaker", "turns", "chars", F.col("_end.speaker").alias("last_speaker")
     )

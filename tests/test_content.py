@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from turn_rows import at
 from minutary.functions import cues, hooks
-from minutary.operators import items, publishing, search, shaping, terms, topics
+from minutary.operators import items, publishing, search, shaping, talk, terms, topics
 from minutary.plans import minutes
 
 
@@ -199,3 +201,39 @@ def test_word_rules_leave_nothing_between_matches(make_turns, rows):
     once = publishing.redact(turns, [rule])
     assert rows(once, "text") == [("* * * end, bathe the",)]
     assert rows(publishing.redact(once, [rule])) == rows(once)
+
+
+# ---- turns without a meeting ----
+
+
+def test_turns_without_a_meeting_are_a_meeting(make_turns, rows):
+    """The same figures as if the null meeting had a number."""
+    said = ["we agreed on the red plan. the plan is red", "red red plan. we will paint it", "a blue sky. blue is the sky", "the sky will fall"]
+    named = make_turns(*[(1 + n // 2, n % 2, "ab"[n % 2], text) for n, text in enumerate(said)])
+    nobody = make_turns(*[(None if n < 2 else 2, n % 2, "ab"[n % 2], text) for n, text in enumerate(said)])
+    runs = {
+        "stats": lambda turns: talk.speaker_stats(turns),
+        "terms": lambda turns: terms.key_terms(turns, 3),
+        "key": lambda turns: terms.key_sentences(turns, 2),
+        "central": lambda turns: terms.central_sentences(turns, 2),
+        "minutes": lambda turns: minutes.assemble_minutes(turns).select("meeting_id", "speakers", "key_terms", "summary", F.size("items").alias("n")),
+    }
+    for name, run in runs.items():
+        as_null = [(1 if row[0] is None else row[0], *row[1:]) for row in rows(run(nobody))]
+        assert sorted(as_null, key=repr) == rows(run(named)), name
+
+
+def test_comparing_a_null_key(spark):
+    old = spark.createDataFrame([(None, "x"), (1, "y")], "meeting_id long, version string")
+    new = spark.createDataFrame([(None, "x"), (2, "y")], "meeting_id long, version string")
+    found = {tuple(row) for row in publishing.compare_minutes(old, new, ["meeting_id"]).collect()}
+    assert found == {(None, "same"), (1, "removed"), (2, "added")}
+
+
+def test_counting_a_long_sentence_is_quick(make_turns):
+    words = [f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in range(16_000)]
+    turns = make_turns((1, 1, "a", " ".join(words + words[:10])))
+    begun = time.perf_counter()
+    found = terms.sentence_terms(turns).groupBy("n").count().collect()
+    assert {row.n: row["count"] for row in found} == {1: 15_990, 2: 10}
+    assert time.perf_counter() - begun < 5
