@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minutary import schemas
-from minutary.functions import hooks
+from minutary.functions import cues, hooks
 from minutary.operators import copies, index, items, joins, likeness, publishing, related, search, shaping, talk, terms, topics
 from minutary.plans import minutes
 from minutary.session import settle, tune, work_dir
@@ -409,6 +409,20 @@ def _merged_vocabulary(spark, sf):
     return talk.merged_vocabulary(talk.vocabulary(talk_of(spark, sf)))
 
 
+def _cued_by_table(spark, sf):
+    """The built-in cues as a table."""
+    table = spark.createDataFrame([tuple(cue) for cue in cues.CUES], "kind string, lang string, pattern string")
+    return items.cue_items(shaping.sentences(spoken_of(spark, sf), keep=("meeting_id", "turn", "lang")), table)
+
+
+def _closed(spark, sf):
+    """What users first say in a turn as actions, and what assistants do as reports; a tenth of the words is enough."""
+    kind = F.when(F.col("speaker") == "user", F.lit("action")).when(F.col("speaker") == "assistant", F.lit("done"))
+    first = shaping.sentences(talk_of(spark, sf), keep=("meeting_id", "turn", "speaker")).filter("pos = 0 AND speaker <> 'system'")
+    told = first.select(F.concat_ws("-", "meeting_id", "turn").alias("item_id"), "meeting_id", "turn", "pos", kind.alias("kind"), "sentence")
+    return items.closed_items(told, least=0.1).select("item_id", "closed_by")
+
+
 def _indexed(spark, sf):
     """Turns added to an index in two parts, and asked for."""
     path, turns = work_dir(spark, "index"), talk_of(spark, sf)
@@ -471,6 +485,8 @@ QUERIES: dict[str, Query] = {
     "related_meetings": lambda s, d: related.related_meetings(_vectors(s, d), 5),
     "near_copies": lambda s, d: copies.near_copies(_documents(s, d)),
     "cue_items": lambda s, d: items.cue_items(shaping.sentences(spoken_of(s, d), keep=("meeting_id", "turn", "lang"))),
+    "cue_items_table": _cued_by_table,
+    "closed_items": _closed,
     "item_fields": _promises,
     "open_items": _open,
     "search_turns": lambda s, d: search.search_turns(talk_of(s, d), "the die la", 20),

@@ -42,18 +42,35 @@ PRONOUNS = ["we", "you", "he", "she", "it", "they", "this", "that", "these", "th
 DUE_PATTERN = r"(?:by|until|before|due) (\d{4}-\d{2}-\d{2})"
 DATE_FORMAT = "yyyy-MM-dd"
 
-MAX_CUES = 10_000
+LISTED_CUES = 10_000
+OPTIONAL_LETTERS = 4
 
 
-def lexicon_from(table: DataFrame, limit: int = MAX_CUES) -> list[Cue]:
-    """Cues kept in a table. They become one pattern per kind, so the table has to be
-    small, and this refuses one that is not."""
+def lexicon_from(table: DataFrame, limit: int = LISTED_CUES) -> list[Cue]:
+    """Cues of a table as a list, for those who want one pattern per kind; not for a table of more than
+    `limit`. `items.cue_items` takes a table of any size as it is."""
     rows = table.select("kind", "lang", "pattern").orderBy("kind", "lang", "pattern").take(limit + 1)
     if len(rows) > limit:
         raise ValueError(f"more than {limit} cues")
     return [Cue(*row) for row in rows]
 
 
+def phrases(table: DataFrame) -> DataFrame:
+    """(kind, lang, phrase, words) for a table of cues (kind, lang, pattern): a pattern is phrases between `|`, and a
+    letter before `?` may be missing, at most four times in a phrase. Phrases without a letter find nothing."""
+    cut = table.select("kind", "lang", F.explode(F.split("pattern", r"\|")).alias("phrase"))
+    for _ in range(OPTIONAL_LETTERS):
+        both = F.array(F.regexp_replace("phrase", r"^([^?]*)\?", "$1"), F.regexp_replace("phrase", r"^([^?]*)[^?]\?", "$1"))
+        cut = cut.select("kind", "lang", F.explode(F.array_distinct(both)).alias("phrase"))
+    words = F.array_distinct(F.array_remove(F.split("phrase", r"[^\p{L}]+"), ""))
+    return cut.distinct().withColumn("words", words).filter(F.size("words") > 0)
+
+
+def holds_phrase(sentence: Column, phrase: Column) -> Column:
+    """Whether the phrase stands in the sentence with no letter before or after it."""
+    return F.rlike(F.lower(sentence), F.concat(F.lit(r"(^|[^\p{L}])\Q"), phrase, F.lit(r"\E([^\p{L}]|$)")))
+
+
 def patterns(lexicon: list[Cue]) -> dict[tuple[str, str], str]:
     """One whole-word pattern per kind and language, in order."""
     found: dict[tuple[str, str], list[str]] = {}

@@ -4,24 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from minutary.functions import cues
+from minutary.functions import cues, text as tx
+from minutary.operators import joins, ordering
+from minutary.operators.terms import top_per
+from minutary.session import settle
 
+_PLACE = ["meeting_id", "turn", "pos"]
+CLOSES_AT = 0.5
+RARE_WORDS = 3
 
 LANGUAGE = "en"
 
 
-def cue_items(sentences: DataFrame, lexicon: list[cues.Cue] | None = None, lang: str = LANGUAGE) -> DataFrame:
+def _by_rarest_word(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Sentences, which have a `lang`, with `kind` for each kind of phrase found in them.
+
+    A phrase is looked for where the rarest of its words is, rarest in the sentences. Only ids and words are shuffled
+    for that; the text comes in for the sentences that have such a word. Spark broadcasts the phrases if they are few.
+    """
+    phrases = settle(cues.phrases(lexicon))
+    wanted = phrases.select("lang", F.explode("words").alias("word")).distinct()
+    spoken = sentences.select(*_PLACE, "lang", F.explode(F.array_distinct(tx.word_list(F.col("sentence")))).alias("word"))
+    known = spoken.join(wanted, ["lang", "word"], "left_semi")
+    counts = known.groupBy("lang", "word").count()
+    each = phrases.select("kind", "lang", "phrase", F.explode("words").alias("word")).join(counts, ["lang", "word"], "left")
+    # A word that no sentence has is the rarest, and finds nothing.
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word"))["word"]
+    keyed = each.groupBy("kind", "lang", "phrase").agg(rarest.alias("word"))
+    met = known.join(keyed, ["lang", "word"]).select(*_PLACE, "kind", "lang", "phrase")
+    checked = ordering.join_on(met, sentences, [*_PLACE, "lang"]).filter(cues.holds_phrase(F.col("sentence"), F.col("phrase")))
+    return checked.drop("phrase").distinct()
+
+
+def cue_items(sentences: DataFrame, lexicon: list[cues.Cue] | DataFrame | None = None, lang: str = LANGUAGE) -> DataFrame:
     """One row per sentence and kind of cue found in it, with its `speaker` if there is one.
 
     Only cues of the sentence's language count: that of its column `lang`, or else `lang` for all.
 
-    All cues of a kind form one pattern tested in the row, so sentences are not
-    multiplied by cues and nothing is shuffled.
+    Listed cues of a kind form one pattern tested in the row, so sentences are not multiplied by cues and nothing is
+    shuffled. A table of cues (kind, lang, pattern), of any size, holds phrases (`cues.phrases`) and is joined by words;
+    sentences of the same place and text then count once.
     """
     own = F.col("lang") if "lang" in sentences.columns else F.lit(lang)
-    kinds = cues.kinds_of(F.col("sentence"), cues.CUES if lexicon is None else lexicon, own)
     kept = [name for name in ("speaker",) if name in sentences.columns]
-    found = sentences.select("meeting_id", "turn", "pos", "sentence", *kept, F.explode(kinds).alias("kind"))
+    if isinstance(lexicon, DataFrame):
+        found = _by_rarest_word(sentences.select(*_PLACE, "sentence", *kept, own.alias("lang")), lexicon)
+    else:
+        kinds = cues.kinds_of(F.col("sentence"), cues.CUES if lexicon is None else lexicon, own)
+        found = sentences.select(*_PLACE, "sentence", *kept, F.explode(kinds).alias("kind"))
     item_id = F.sha2(F.concat_ws("|", "meeting_id", "turn", "pos", "kind"), 256)
     return found.select(item_id.alias("item_id"), "meeting_id", "turn", "pos", "kind", "sentence", *kept)
 
@@ -43,3 +73,65 @@ def open_items(items: DataFrame, done: DataFrame, opened: str = "opened_at", clo
     latest = done.groupBy("item_id").agg(F.max(closed).alias("_closed"))
     joined = items.join(latest, "item_id", "left")
     return joined.filter(F.col("_closed").isNull() | (F.col("_closed") < F.col(opened))).drop("_closed")
+
+
+def _word_sets(items: DataFrame) -> DataFrame:
+    """Items with their words and an id of the set of these."""
+    words = F.array_sort(F.array_distinct(tx.word_list(F.col("sentence"))))
+    return items.withColumn("_words", words).withColumn("_set", F.xxhash64("_words"))
+
+
+def _closing_sets(actions: DataFrame, reports: DataFrame, least: float) -> DataFrame:
+    """(action_set, report_set, score): which wordings report which actions.
+
+    A wording of an action is looked for by its three rarest words. The score is the share of its words' weight,
+    ln(wordings / wordings with the word), that the report has too.
+    """
+    sets = lambda items: items.select("_set", "_words").distinct()
+    wanted, there = sets(actions), sets(reports)
+    every = wanted.unionByName(there).distinct()
+    total = every.count()
+    counts = every.select("_set", F.explode("_words").alias("word")).groupBy("word").count()
+    weight = F.ln(F.lit(float(total + 1)) / F.col("count"))
+    of_actions = wanted.select("_set", F.explode("_words").alias("word")).join(counts, "word")
+    ranked = of_actions.groupBy("_set").agg(
+        F.array_sort(F.collect_list(F.struct("count", "word"))).alias("_ranked"), F.sum(weight).alias("_whole")
+    )
+    keys = ranked.select(F.col("_set").alias("action_set"), F.inline(F.slice("_ranked", 1, RARE_WORDS))).drop("count")
+    of_reports = there.select(F.col("_set").alias("report_set"), F.explode("_words").alias("word"))
+    met = keys.join(of_reports, "word").select("action_set", "report_set").distinct()
+    shared = (
+        met.join(of_actions.select(F.col("_set").alias("action_set"), "word", weight.alias("w")), "action_set")
+        .join(of_reports, ["report_set", "word"])
+        .groupBy("action_set", "report_set").agg(F.sum(F.round(F.col("w") * 1_000_000).cast("long")).alias("_w"))
+    )
+    whole = ranked.select(F.col("_set").alias("action_set"), "_whole")
+    score = tx.rounded(F.col("_w") / 1_000_000 / F.col("_whole"), 4)
+    return shared.join(whole, "action_set").select("action_set", "report_set", score.alias("score")).filter(F.col("score") >= least)
+
+
+def closed_items(items: DataFrame, opening: str = "action", closing: str = "done", least: float = CLOSES_AT) -> DataFrame:
+    """Items of kind `opening`, with `closed_by`, the id of the first report (an item of kind `closing`) that closes it in this or a
+    later meeting, or null while it is open. Meetings stand in order of their ids.
+
+    A report closes one item: of the earlier ones whose wording it shares to at least `least`, the one with the highest
+    score, of these the latest, and then the smallest id. Only wordings are matched, so a wording
+    used very often is one, and of its items the latest before the report is found in order, without pairs.
+    Items without a meeting or turn stay open and close nothing; sentences without words match nothing.
+    """
+    placed = _word_sets(items.filter("meeting_id IS NOT NULL AND turn IS NOT NULL AND pos IS NOT NULL"))
+    at = lambda late: F.struct(*_PLACE, F.lit(late).alias("late"))
+    actions = settle(placed.filter(F.col("kind") == opening).select("item_id", "_set", "_words", at(1).alias("opened_at")))
+    reports = settle(placed.filter(F.col("kind") == closing).select("item_id", "_set", "_words", at(0).alias("told_at")))
+    pairs = settle(_closing_sets(actions, reports, least))
+    asking = reports.select(F.col("item_id").alias("report"), F.col("_set").alias("report_set"), "told_at").join(pairs, "report_set")
+    # One mark per wording and place: of several the smallest id.
+    marks = actions.groupBy(F.col("_set").alias("action_set"), "opened_at").agg(F.min("item_id").alias("closes"))
+    latest = joins.latest_before(
+        asking.select("action_set", "report", "told_at", "score"), marks, at="told_at", row_id="report",
+        mark_at="opened_at", mark_id="closes", values=["closes", "opened_at"], keys=["action_set"],
+    ).filter("closes IS NOT NULL")
+    order = [F.desc("score"), F.desc("opened_at"), F.col("closes")]
+    best = top_per(latest, ["report"], order, 1, "_rank")
+    first = best.groupBy(F.col("closes").alias("item_id")).agg(F.min(F.struct("told_at", "report"))["report"].alias("closed_by"))
+    return items.filter(F.col("kind") == opening).join(first, "item_id", "left")
