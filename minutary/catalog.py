@@ -6,6 +6,7 @@ events: a user is a meeting, an event a turn, its type the speaker.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -405,6 +406,21 @@ def _measured(spark, sf):
     return talk.speaker_stats(talk_of(spark, sf), reducer=reducer).select("meeting_id", "speaker", "turns", "mean_commas")
 
 
+def _aggregated(spark, sf):
+    """The median length of a speaker's texts, from counts of lengths."""
+
+    def add(counts, texts):
+        return counts + Counter(texts.dropna().str.len().tolist())
+
+    def median(counts):
+        lengths = sorted(counts.elements())
+        middle = len(lengths) // 2
+        return (lengths[middle] + lengths[~middle]) / 2.0 if lengths else None
+
+    reducer = hooks.speaker_aggregate("median_chars", Counter, add, lambda a, b: a + b, median)
+    return talk.speaker_stats(talk_of(spark, sf), reducer=reducer).select("meeting_id", "speaker", "turns", "median_chars")
+
+
 def _merged_vocabulary(spark, sf):
     return talk.merged_vocabulary(talk.vocabulary(talk_of(spark, sf)))
 
@@ -517,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "hook_scorer": _scored,
     "hook_splitter": _split,
     "hook_measure": _measured,
+    "hook_aggregate": _aggregated,
 }
 
 

@@ -433,3 +433,4 @@ SQL["closed_items"] = f"""WITH told AS (SELECT concat(meeting_id, '-', turn) AS
     FROM scored s JOIN told t ON t.item_id = s.item_id JOIN told r ON r.item_id = s.report WHERE score >= 0.1),
   closed AS (SELECT item_id, arg_min(report, (meeting_id, turn)) AS closed_by FROM best WHERE rank = 1 GROUP BY item_id)
   SELECT item_id, closed_by FROM told LEFT JOIN closed USING (item_id) WHERE speaker = 'user'"""
+SQL["hook_aggregate"] = f"SELECT meeting_id, speaker, count(*) AS turns, median(length(text)) AS median_chars FROM {TALK} GROUP BY ALL"

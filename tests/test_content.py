@@ -237,3 +237,17 @@ def test_counting_a_long_sentence_is_quick(make_turns):
     found = terms.sentence_terms(turns).groupBy("n").count().collect()
     assert {row.n: row["count"] for row in found} == {1: 15_990, 2: 10}
     assert time.perf_counter() - begun < 5
+
+
+def test_a_user_aggregate_merges_states(make_turns, rows):
+    said = [(1, n, "ab"[n % 7 == 0], "x" * (n * 37 % 50)) for n in range(300)] + [(None, 1, "a", "xx"), (None, 2, None, "x"), (2, 1, "a", None)]
+    longest = hooks.speaker_aggregate(
+        "lengths", set, lambda state, texts: state | set(texts.dropna().str.len()), lambda a, b: a | b, len, "int", keys_in_hand=2
+    )
+    turns = make_turns(*said).repartition(6)
+    expected = {}
+    for meeting, _, speaker, text in said:
+        own = expected.setdefault((meeting, speaker), set())
+        own |= {len(text)} if text is not None else set()
+    found = rows(talk.speaker_stats(turns, reducer=longest), "meeting_id", "speaker", "lengths")
+    assert found == sorted(((*key, len(lengths)) for key, lengths in expected.items()), key=repr)
