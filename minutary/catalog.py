@@ -509,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "search_index": _indexed,
     "assemble_minutes": _assembled,
     "render_minutes": _rendered,
+    "minutes_lines": lambda s, d: minutes.render_lines(minutes.minutes_tables(spoken_of(s, d))),
     "compare_minutes": _compared,
     "newer_lines": _newer,
     "kept_lines": _kept,

@@ -434,3 +434,9 @@ SQL["closed_items"] = f"""WITH told AS (SELECT concat(meeting_id, '-', turn) AS
   closed AS (SELECT item_id, arg_min(report, (meeting_id, turn)) AS closed_by FROM best WHERE rank = 1 GROUP BY item_id)
   SELECT item_id, closed_by FROM told LEFT JOIN closed USING (item_id) WHERE speaker = 'user'"""
 SQL["hook_aggregate"] = f"SELECT meeting_id, speaker, count(*) AS turns, median(length(text)) AS median_chars FROM {TALK} GROUP BY ALL"
+SQL["minutes_lines"] = f"""SELECT meeting_id, 0 AS section, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS pos, concat('# Meeting ', meeting_id) AS text FROM (SELECT DISTINCT meeting_id FROM {TALK})
+  UNION ALL SELECT meeting_id, 1, 0, 0, concat('- ', speaker, ': ', turns, ' turns') FROM {SPEAKERS}
+  UNION ALL SELECT k, 2, rank - 1, 0, concat('- ', term) FROM {_key_terms(TALK, "meeting_id", 5)}
+  UNION ALL SELECT meeting_id, 3, row_number() OVER (PARTITION BY meeting_id ORDER BY segment) - 1, 0, concat('- turns ', first_turn, ' to ', last_turn, ': ', terms) FROM {SEGMENTS}
+  UNION ALL SELECT meeting_id, 4, row_number() OVER (PARTITION BY meeting_id ORDER BY turn, pos) - 1, 0, concat('- ', sentence) FROM {KEY_SENTENCES}
+  UNION ALL SELECT meeting_id, 5, turn, pos, concat('- ', kind, ': ', sentence, ' (owner ' || {OWNER} || ')', ' (due ' || {DUE} || ')') FROM {ITEMS}"""

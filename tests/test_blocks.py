@@ -90,6 +90,18 @@ def test_parts_hold_the_whole_meeting(spark, sf):
     assert all(len(r.speakers or []) <= 2 for r in parts.collect())
 
 
+def test_gaps_in_numbers_make_no_parts(make_turns):
+    turns = make_turns((1, 0, "a", "red will"), (1, 2000, "b", "blue"), (1, 5000, "a", "we agreed"), (None, 7, "a", "who"))
+    whole = minutes.assemble_minutes(turns)
+    assert sorted(((r.meeting_id, r.part, r.turns) for r in whole.collect()), key=repr) == [(1, 0, 3), (None, 0, 1)]
+    cut = minutes.assemble_minutes(turns, part_turns=2, block_turns=1000)
+    assert sorted(((r.meeting_id, r.part, r.turns) for r in cut.collect()), key=repr) == [(1, 0, 2), (1, 1, 1), (None, 0, 1)]
+    lines = minutes.render_lines(minutes.minutes_tables(turns)).filter("meeting_id = 1").orderBy("section", "place", "pos", "text").collect()
+    assert [row.text for row in lines if row.section in (0, 1, 5)] == [
+        "# Meeting 1", "- a: 2 turns", "- b: 1 turns", "- action: red will", "- decision: we agreed",
+    ]
+
+
 def test_partition_count_changes_nothing(spark, sf, rows):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     turns = catalog.talk_of(spark, sf)
