@@ -6,7 +6,7 @@ token streams of all of a host's pages are taken as one text, whose suffixes are
 their first RUN tokens, as in a suffix array cut at that depth: suffixes of different pages with
 one prefix are a repeated substring of at least RUN tokens. Tokens covered by such substrings go;
 the runs between them stay. An article is evidence against that: in it only what most of the host's
-pages repeat goes, and never all of it.
+pages repeat goes, and never half of it or more.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ SHARE = 0.5
 PAGES_IN_HAND = 64
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?][^>]*+>",
     re.I | re.S,
 )
 # Elements whose content holds no tags, and their ends.
-RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in "script style textarea title iframe noscript xmp".split()}
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in "script style textarea title iframe noscript noframes noembed xmp".split()}
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 # HTML's elements and the usual names of parts of pages (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +51,15 @@ PART_NAMES = set(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus replies respond "
     "share sharing social related newsletter subscribe subscription popup modal overlay toolbar pagination complementary contentinfo "
-    "search dialog masthead".split()
+    "search dialog masthead adsbygoogle advertorial commentlist commentform discussion reviews".split()
+)
+# What may stand beside them in the name of such a part.
+BESIDE_NAMES = set(
+    "area bar block blocks body bottom box button buttons content container desktop form group holder inner item items left link links list "
+    "main mobile outer page panel placeholder post posts primary right row secondary section site slot social star stories sub text title "
+    "top unit user users widget widgets wrap wrapper".split()
 )
 HEAD_NAMES = set("header banner masthead".split())
-LAYOUT_NAMES = set("with has no without wrap wrapper layout free".split())
 
 # HTML's rules for end tags that may be left out (fixed values).
 SPECIAL = BLOCKS | NOT_MAIN
@@ -81,12 +86,19 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 END_SVG = (BLOCKS | FORMATTING | {"br", "img", "span", "embed", "sub", "sup", "var", "ruby"}) - {"a", "font"}
 
 
-def _names(attributes: str) -> list[list[str]]:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by name in lower case; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for match in _ATTRIBUTE.finditer(text):
+        found.setdefault(match[1].lower(), match[2] or match[3] or match[4] or "")
+    return found
+
+
+def _names(attributes: dict[str, str]) -> list[list[str]]:
     """Names in class, id and role, each as its parts in lower case."""
     found = []
-    for match in _NAMES.finditer(attributes):
-        for name in (match[2] or match[3] or match[4] or "").split():
-            found.append([part for part in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if part])
+    for name in " ".join(attributes.get(each, "") for each in ("class", "id", "role")).split():
+        found.append([part for part in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if part])
     return found
 
 
@@ -96,11 +108,13 @@ def _is_part(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    named = _attributes(attributes)
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(named.get("style", "")):
         return True
-    for parts in _names(attributes):
+    for parts in _names(named):
         names = PART_NAMES if in_article else PART_NAMES | HEAD_NAMES
-        if names & set(parts) and not LAYOUT_NAMES & set(parts):
+        # All of a name has to speak of such a part: "related-links", not "related-work".
+        if names & set(parts) and set(parts) <= names | BESIDE_NAMES:
             return tag != "article" or bool({"comment", "comments"} & set(parts))
     return False
 
@@ -314,6 +328,10 @@ def _without_repeats(blocks: list[str], prefixes: np.ndarray, repeated: np.ndarr
     return left
 
 
+def _words_in(blocks: list[str]) -> int:
+    return sum(len(block.split()) for block in blocks)
+
+
 def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> DataFrame:
     """(rest, text) for every row of `pages` (url, html, anything else); `rest` holds all columns but html.
 
@@ -322,7 +340,7 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
     with all its blocks but the skipped ones; pages with equal text count as one. Where neither
     `article` nor `main` names the text (`page_parts`), tokens covered by a substring of `run` or more
     tokens found on `least_pages` pages go. Where one does, only those of substrings on SHARE of the host's
-    pages as well, and the text stays whole if nothing would be left.
+    pages as well, and the text stays whole if no more than half of it would be left, as in copies of an article.
     Pages without a host share one. Null and empty pages have an empty text; repeated rows are
     each returned. An empty table gives an empty one.
     """
@@ -366,7 +384,8 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
                     enough = seen >= SHARE * of_host if known else seen >= least_pages
                     gone = repeated.field("key").to_numpy()[enough]
                     left = _without_repeats(own, _of_host(host, _prefixes(own, run)), gone, run) if len(gone) else own
-                    own = left or ([] if not known else own)
+                    # What repeats most of an article is a copy of it.
+                    own = own if known and 2 * _words_in(left) <= _words_in(own) else left
                 texts.append("\n".join(own))
             yield {"rest": batch.column("rest"), "text": texts}
 

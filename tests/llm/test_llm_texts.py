@@ -325,6 +325,32 @@ def test_repeats_are_sought_on_all_pages(spark):
     assert found == {n: story(n) + (f"\n{quote}" if n < 3 else "") for n in range(9)} | {9: letter}
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ('<article><p>a</p><section class="related-work">w</section></article>', ["a", "w"]),
+        ('<article><div class="social-science">s</div><p id="notice-period">n</p></article>', ["s", "n"]),
+        ('<article><p title="a hidden gem" data-hidden-at="3">g</p></article>', ["g"]),
+        ("<article>x<!-- c --!>y<!-->z<!--->w</article>", ["xyzw"]),
+        ("<article>a<p hidden>n<p HIDDEN=''>n<p style='display: none'>n<p aria-hidden=true>n</article>", ["a"]),
+        ('<article>x<div class="ad-wrapper">n</div><div class="sidebarWrapper">n</div><ins class="adsbygoogle">n</ins></article>', ["x"]),
+        ('<article>x<ul class="commentlist">n</ul><div class="user-reviews">n</div><div id="comment-12">n</div></article>', ["x"]),
+        ("<article>x<noframes><p>n</p></noframes><noembed>n</noembed></article>", ["x"]),
+        ('<div class="with-sidebar no-ads"><article>x</article></div>', ["x"]),
+    ],
+)
+def test_names_attributes_and_comments(page, blocks):
+    assert html.page_blocks(page) == (blocks, True)
+
+
+def test_copies_of_a_story_on_a_small_host_stay(spark):
+    story = " ".join(f"word{n}" for n in range(30))
+    html_of = {n: f"<article><p>Edition {n}</p><p>{story if n < 3 else f'other{n} ' * 20}</p><p>writer{n}</p></article>" for n in range(6)}
+    pages = spark.createDataFrame([(n, "http://s.example/", page) for n, page in html_of.items()], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.main_text(pages).select("rest.page_id", "text").collect()}
+    assert all(found[n] == f"Edition {n}\n{story}\nwriter{n}" for n in range(3))
+
+
 def test_sample_pages_keep_their_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = queries.QUERIES["op10_html"](spark, sf).collect()
