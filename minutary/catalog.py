@@ -241,6 +241,27 @@ def _merged_check(spark, sf):
     return exact.select("exact", _close(estimate, F.col("exact")).alias("close"))
 
 
+SHARES = [0.1, 0.5, 0.9]
+
+
+def _sketched_lengths(spark, sf):
+    """Quantiles from the merged sketches of all meetings: whether each has its rank, to within 0.03."""
+    turns = talk_of(spark, sf)
+    merged = talk.merged_lengths(talk.length_sketches(turns), SHARES).first()
+    below = [F.avg((F.length("text") < merged[f"q{at}"]).cast("double")) for at in range(len(SHARES))]
+    upto = [F.avg((F.length("text") <= merged[f"q{at}"]).cast("double")) for at in range(len(SHARES))]
+    close = [(low <= share + 0.03) & (high >= share - 0.03) for low, high, share in zip(below, upto, SHARES)]
+    rows = F.array(*[F.struct(F.lit(share).alias("share"), F.lit(merged.turns).alias("turns"), each.alias("close")) for share, each in zip(SHARES, close)])
+    return turns.agg(rows.alias("rows")).select(F.inline("rows"))
+
+
+def _without_mail(spark, sf):
+    """Documents without e-mail addresses: a digest of the text, and how many there were."""
+    mails = F.size(F.regexp_extract_all("text", F.lit(publishing.MAIL.pattern), F.lit(0))).cast("long")
+    counted = _documents(spark, sf).select("doc_id", "text", mails.alias("mails"))
+    return publishing.redact(counted, [publishing.MAIL]).select("doc_id", "mails", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _csv_turns(spark, sf):
     """The transcript written as CSV with its columns in another order, and read back."""
     path = work_dir(spark, "csv")
@@ -487,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "vocabulary_merged": _merged_vocabulary,
     "vocabulary_check": _vocabulary_check,
     "vocabulary_merged_check": _merged_check,
+    "length_sketch_check": _sketched_lengths,
     "longest_turns": lambda s, d: talk.longest_turns(talk_of(s, d), 20),
     "key_terms": lambda s, d: terms.key_terms(talk_of(s, d), 5).drop("uses"),
     "key_phrases": lambda s, d: terms.key_terms(talk_of(s, d), 5, n=2).drop("uses"),
@@ -515,6 +537,7 @@ QUERIES: dict[str, Query] = {
     "kept_lines": _kept,
     "redact": _redacted,
     "redact_twice": _redacted_twice,
+    "redact_mail": _without_mail,
     "redaction_counts": lambda s, d: publishing.redaction_counts(talk_of(s, d), MASKS),
     "live_counts": _counts,
     "live_sliding": _sliding,

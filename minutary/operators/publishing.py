@@ -13,6 +13,10 @@ class Rule(NamedTuple):
     replacement: str
 
 
+# Fixed value: what is taken for an e-mail address.
+MAIL = Rule("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[mail]")
+
+
 def with_version(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add `version`, a hash of all columns but the keys; equal content, equal hash."""
     rest = [name for name in df.columns if name not in keys]

