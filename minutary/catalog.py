@@ -287,16 +287,18 @@ def _sessions(spark, sf):
     return spans.select("meeting_id", F.unix_micros("begins_at").alias("begins_micros"), "turns")
 
 
-def _live_roster(spark, sf):
-    everything = activity_of(spark, sf)
-    invited = everything.filter("speaker = 'signup'").select("meeting_id").distinct()
-    roster = invited.select(
+def _guests(spark, sf):
+    invited = activity_of(spark, sf).filter("speaker = 'signup'").select("meeting_id").distinct()
+    return invited.select(
         "meeting_id",
         F.lit("click").alias("speaker"),
         F.concat_ws(" ", F.lit("guest"), "meeting_id").alias("name"),
         F.lit("guest").alias("role"),
     )
-    return live.live_roster(everything, roster).select("meeting_id", "turn", "speaker", "name")
+
+
+def _live_roster(spark, sf):
+    return live.live_roster(activity_of(spark, sf), _guests(spark, sf)).select("meeting_id", "turn", "speaker", "name")
 
 
 def _pairs(spark, sf):
@@ -352,6 +354,11 @@ def _stream_replays(spark, sf):
     return _streamed(spark, "replays", fresh.select("meeting_id", "turn", "speaker"))
 
 
+def _stream_roster(spark, sf):
+    named = live.live_roster(_feed(spark, sf), _guests(spark, sf))
+    return _streamed(spark, "roster", named.select("meeting_id", "turn", "speaker", "name"))
+
+
 def _stream_pairs(spark, sf):
     return _streamed(spark, "pairs", live.live_pairs(_feed(spark, sf), "click", "purchase", 6 * 3600))
 
@@ -550,6 +557,7 @@ QUERIES: dict[str, Query] = {
     "stream_sliding": _stream_sliding,
     "stream_sessions": _stream_sessions,
     "stream_drop_replays": _stream_replays,
+    "stream_roster": _stream_roster,
     "stream_pairs": _stream_pairs,
     "stream_running_minutes": _stream_minutes,
     "stream_split_late": _stream_late,

@@ -444,3 +444,4 @@ SQL["minutes_lines"] = f"""SELECT meeting_id, 0 AS section, CAST(0 AS BIGINT) AS
 SQL["length_sketch_check"] = f"SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS share, count(*) AS turns, true AS close FROM {TALK}"
 SQL["redact_mail"] = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{publishing.MAIL.pattern}')) AS BIGINT) AS mails,
   sha256(regexp_replace(text, '{publishing.MAIL.pattern}', '[mail]', 'g')) AS text_sha256 FROM documents"""
+SQL["stream_roster"] = SQL["live_roster"]
