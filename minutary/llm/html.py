@@ -15,11 +15,12 @@ import re
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from minutary.llm import batches, hashing
-from minutary.session import settle
+from minutary.llm import batches, decontaminate, hashing
+from minutary.session import remove, settle, work_dir
 
 # Tokens that make a repeated substring long, and pages of a host that make it boilerplate.
 RUN = 8
@@ -27,6 +28,10 @@ PAGES = 3
 # Share of a host's pages that makes it so within an article too.
 SHARE = 0.5
 PAGES_IN_HAND = 64
+PAGES_REMEMBERED = 1 << 18
+# Bits of a counted key that tell hosts apart; hosts that share them share the smallest bound.
+HOST_BITS = 24
+BASES = hashing.P4, hashing.P5
 
 _MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -276,45 +281,166 @@ def page_blocks(html: str) -> tuple[list[str], bool]:
     return blocks, known
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """(rest, host, blocks, others, settled) for every page."""
+def _packed(pages: DataFrame) -> DataFrame:
+    """(rest, host, html) for every page; `rest` holds all columns but html."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     others = [F.col(name) for name in pages.columns if name != "html"]
-    packed = pages.select(F.struct(*others).alias("rest"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    return pages.select(F.struct(*others).alias("rest"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+def _parsed(source):
+    """Slices of packed pages: the batch, hosts, `page_parts`, and a number for each page's text (its main blocks)."""
+    for batch in batches.pieces(source, PAGES_IN_HAND):
+        parts = [page_parts(html) for html in batch.column("html").to_pylist()]
+        texts = np.array([xxhash.xxh64_intdigest("\n".join(blocks)) for blocks, _, _ in parts], dtype=np.uint64).view(np.int64)
+        yield batch, batch.column("host").to_pylist(), parts, texts
+
+
+def _told(source):
+    """Slices of pages that have a text, as (hosts, parts, texts), without those that the task had before. What it
+    remembers is bounded; a page told twice counts once in the end."""
+    had: set[tuple[str, int, int]] = set()
+    for _, hosts, parts, texts in _parsed(source):
+        new = []
+        for row, (host, (blocks, others, known), text) in enumerate(zip(hosts, parts, texts.tolist())):
+            same = host, text, xxhash.xxh64_intdigest("\n".join(others), known)
+            if blocks and same not in had:
+                had.add(same)
+                new.append(row)
+        if len(had) > PAGES_REMEMBERED:
+            had.clear()
+        if new:
+            yield [hosts[row] for row in new], [parts[row] for row in new], texts[new]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * hashing.P1
+    values = (values ^ (values >> np.uint64(29))) * hashing.P2
+    return values ^ (values >> np.uint64(32))
+
+
+def _tokens(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of lists of blocks, one list after the other, and which list each is of."""
+    words = [" ".join(blocks).encode("utf-8").lower().split() for blocks in texts]
+    owner = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    if not len(owner):
+        return np.zeros(0, dtype=np.uint64), owner
+    joined, starts, ends, _ = hashing.shingle_spans(words, 1)
+    return hashing.xxh64_spans(joined, starts, ends, 0), owner
+
+
+def _prefixes(tokens: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """A hash of the `size` tokens that begin at each token, as far as there are so many."""
+    starts = max(len(tokens) - size + 1, 0)
+    found = np.zeros(starts, dtype=np.uint64)
+    for nth in range(size):
+        found = found * base + tokens[nth : nth + starts]
+    return _mixed(found)
+
+
+def _whole(owner: np.ndarray, run: int) -> np.ndarray:
+    """Where `run` tokens of one list begin."""
+    return np.flatnonzero(owner[: max(len(owner) - run + 1, 0)] == owner[run - 1 :])
+
+
+def _least_inner(tokens: np.ndarray, run: int) -> np.ndarray:
+    """For every run of tokens the least hash of the shorter runs within, which half of the tokens make.
+    Equal runs have equal ones, and neighbours mostly share theirs."""
+    short = max(run // 2, 1)
+    inner = _prefixes(tokens, short, hashing.P3)
+    width = run - short + 1
+    if len(inner) < width:
+        return np.zeros(0, dtype=np.uint64)
+    return np.lib.stride_tricks.sliding_window_view(inner, width).min(axis=1)
+
+
+def _bucket(host: str) -> int:
+    return xxhash.xxh64_intdigest(host) >> (64 - HOST_BITS)
+
+
+def _keys(hosts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The buckets of hosts above the first bits of hashes."""
+    return (hosts << np.uint64(64 - HOST_BITS)) | (_mixed(least) >> np.uint64(HOST_BITS))
+
+
+def _runs_of(hosts: list[str], parts: list, run: int) -> tuple[np.ndarray, ...]:
+    """(page, tokens, start, key) of all runs in the blocks of pages, main or other."""
+    tokens, owner = _tokens([blocks for own in parts for blocks in own[:2]])
+    starts = _whole(owner, run)
+    page = owner[starts] // 2
+    buckets = np.array([_bucket(host) for host in hosts], dtype=np.uint64)
+    return page, tokens, starts, _keys(buckets[page], _least_inner(tokens, run)[starts])
+
+
+def _slots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter."""
+    mask, high = np.uint64(decontaminate.FILTER_BITS - 1), key >> np.uint64(64 - HOST_BITS)
+    return (key ^ high) & mask, ((key >> np.uint64(16)) ^ high) & mask
+
+
+def _passes(flags: np.ndarray, key: np.ndarray) -> np.ndarray:
+    first, second = (flags[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) for at in _slots(key))
+    return (first & second & np.uint8(1)) == 1
+
+
+def _counted(pages: DataFrame, run: int) -> DataFrame:
+    """Rows to count: (key, n) for the keys of runs, and (key, host, text, open) for each text, where the
+    key has the bucket of the host alone."""
 
     def step(source):
-        for batch in batches.pieces(source, PAGES_IN_HAND):
-            found = [page_parts(html) for html in batch.column("html").to_pylist()]
+        for hosts, parts, texts in _told(source):
+            page, _, _, key = _runs_of(hosts, parts, run)
+            order = np.lexsort((key, page))
+            page, key = page[order], key[order]
+            once = batches.run_starts(page, key)
+            keys, counts = np.unique(key[once], return_counts=True)
+            buckets = np.array([_bucket(host) for host in hosts], dtype=np.uint64) << np.uint64(64 - HOST_BITS)
+            none = [None] * len(keys)
             yield {
-                "rest": batch.column("rest"),
-                "host": batch.column("host"),
-                "blocks": [blocks for blocks, _, _ in found],
-                "others": [others for _, others, _ in found],
-                "settled": [known for _, _, known in found],
+                "key": np.concatenate([keys, buckets]).view(np.int64),
+                "n": np.concatenate([counts, np.ones(len(hosts), dtype=np.int64)]),
+                "host": [*none, *hosts],
+                "text": pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(texts)]),
+                "open": [*none, *(not known for _, _, known in parts)],
             }
 
-    return batches.with_fields(packed, ["rest", "host"], step, "blocks array<string>, others array<string>, settled boolean")
+    return batches.map_arrow(_packed(pages), step, "key long, n long, host string, text long, open boolean")
 
 
-def _prefixes(blocks: list[str], run: int) -> np.ndarray:
-    """A hash of the `run` tokens that begin at each token of a page, as far as there are so many."""
-    words = [block.encode("utf-8").lower().split() for block in blocks]
-    tokens = [[word for own in words for word in own]]
-    if len(tokens[0]) < run:
-        return np.zeros(0, dtype=np.int64)
-    joined, starts, ends, _ = hashing.shingle_spans(tokens, run)
-    return hashing.rolling_hashes(joined, starts, ends).view(np.int64)
+def _repeats(pages: DataFrame, run: int, flags: np.ndarray) -> DataFrame:
+    """(first, second, host, text): two hashes of each run whose key passes the filter, and where it is."""
+    shared = pages.sparkSession.sparkContext.broadcast(flags)
 
+    def step(source):
+        for hosts, parts, texts in _told(source):
+            page, tokens, starts, key = _runs_of(hosts, parts, run)
+            hits = np.flatnonzero(_passes(shared.value, key))
+            own = [_of_host(host) for host in hosts]
+            first, second = (
+                _prefixes(tokens, run, base)[starts[hits]] ^ np.array([pair[nth] for pair in own], dtype=np.uint64)[page[hits]]
+                for nth, base in enumerate(BASES)
+            )
+            yield {
+                "first": first.view(np.int64),
+                "second": second.view(np.int64),
+                "host": pa.array(hosts).take(pa.array(page[hits])),
+                "text": texts[page[hits]],
+            }
+
+    return batches.map_arrow(_packed(pages), step, "first long, second long, host string, text long")
 
-def _of_host(host: str, prefixes: np.ndarray) -> np.ndarray:
-    """Prefixes as keys that are the host's own."""
-    return prefixes ^ np.uint64(xxhash.xxh64_intdigest(host)).view(np.int64)
 
+def _of_host(host: str) -> tuple[int, int]:
+    """What makes two hashes a host's own."""
+    return xxhash.xxh64_intdigest(host, 1), xxhash.xxh64_intdigest(host, 2)
 
-def _without_repeats(blocks: list[str], prefixes: np.ndarray, repeated: np.ndarray, run: int) -> list[str]:
-    """The blocks without the tokens that repeated prefixes cover; blocks left empty go."""
-    hits = np.flatnonzero(np.isin(prefixes, repeated))
+
+def _without_repeats(host: str, blocks: list[str], repeated: np.ndarray, run: int) -> list[str]:
+    """The blocks without the tokens that repeated runs cover; blocks left empty go."""
     sizes = [len(block.split()) for block in blocks]
+    tokens, _ = _tokens([blocks])
+    prefixes = _prefixes(tokens, run, BASES[0]) ^ np.uint64(_of_host(host)[0])
+    hits = np.flatnonzero(np.isin(prefixes.view(np.int64), repeated))
     change = np.zeros(sum(sizes) + 1, dtype=np.int64)
     np.add.at(change, hits, 1)
     np.add.at(change, hits + run, -1)
@@ -343,36 +469,49 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
     pages as well, and the text stays whole if no more than half of it would be left, as in copies of an article.
     Pages without a host share one. Null and empty pages have an empty text; repeated rows are
     each returned. An empty table gives an empty one.
+
+    Pages are parsed once per pass rather than written: one pass counts short runs, of which every run of
+    `run` tokens contains the least, and a filter of fixed size keeps those that can matter; the second sends the runs that
+    pass it, which are then counted exactly; the third cuts.
     """
-    # Written, so that a page keeps its number.
-    parsed = settle(_parsed(pages).withColumn("page", F.monotonically_increasing_id()))
-    # One page for each different text of a host; a prefix counts once per page, in tasks first.
-    told = parsed.filter(F.size("blocks") > 0)
-    singles = told.groupBy("host", F.xxhash64("blocks").alias("_text")).agg(F.min("page").alias("page"))
-    hosts = singles.groupBy("host").agg(F.count("*").alias("pages"))
-
-    def suffixes(source):
-        for batch in batches.pieces(source, PAGES_IN_HAND):
-            columns = [batch.column(name).to_pylist() for name in ("host", "blocks", "others")]
-            found = [
-                _of_host(host, np.unique(np.concatenate([_prefixes(blocks, run), _prefixes(others, run)])))
-                for host, blocks, others in zip(*columns)
-            ]
-            sizes = [len(own) for own in found]
+    spark = pages.sparkSession
+    narrow = pages.select("url", "html")
+    counts_path, rows_path = work_dir(spark, "html-counts"), work_dir(spark, "html-rows")
+    counted = _counted(narrow, run).groupBy("key", "host", "text").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
+    counts = settle(counted.filter(F.col("host").isNotNull() | (F.col("n") >= least_pages)), counts_path)
+    texts = counts.filter(F.col("host").isNotNull())
+    hosts = settle(texts.groupBy("key", "host").agg(F.count("*").alias("pages"), F.max("open").alias("open")))
+
+    # A run is of use if some page of its host would lose it.
+    bucket = F.shiftrightunsigned("key", 64 - HOST_BITS)
+    least = F.when(F.col("open"), F.lit(float(least_pages))).otherwise(F.col("pages") * SHARE)
+    bounds = hosts.groupBy(bucket.alias("bucket")).agg(F.min(least).alias("least"))
+    keys = counts.filter(F.col("host").isNull()).select("key", "n", bucket.alias("bucket"))
+    useful = keys.join(bounds, "bucket").filter("n >= least")
+    mask = F.lit(decontaminate.FILTER_BITS - 1)
+    first = F.col("key").bitwiseXOR(F.col("bucket")).bitwiseAND(mask)
+    second = F.shiftrightunsigned("key", 16).bitwiseXOR(F.col("bucket")).bitwiseAND(mask)
+    flags = decontaminate.shingle_filter(useful.select(first.alias("slot"), second.alias("second")))
+    remove(spark, counts_path)
+
+    rows = settle(_repeats(narrow, run, flags).distinct(), rows_path)
+    often = rows.groupBy("first", "second").agg(F.count("*").alias("seen")).filter(F.col("seen") >= least_pages)
+    # A page's repeated runs, never more than the page's tokens.
+    repeats = F.collect_list(F.struct("first", "seen")).alias("repeated")
+    marked = rows.join(often, ["first", "second"]).groupBy("host", "text").agg(repeats)
+    marked = settle(marked.join(hosts.select("host", "pages"), "host"))
+    remove(spark, rows_path)
+
+    def parse(source):
+        for batch, _, parts, texts in _parsed(source):
             yield {
-                "key": np.concatenate(found) if found else np.zeros(0, dtype=np.int64),
-                "page": np.repeat(batch.column("page").to_numpy(), sizes),
-                "once": np.repeat(batch.column("once").to_numpy(zero_copy_only=False), sizes),
+                "rest": batch.column("rest"),
+                "host": batch.column("host"),
+                "text": texts,
+                "blocks": [blocks for blocks, _, _ in parts],
+                "settled": [known for _, _, known in parts],
             }
 
-    once = singles.select("page", F.lit(True).alias("_once"))
-    own = parsed.join(once, "page", "left").select("host", "blocks", "others", "page", F.col("_once").isNotNull().alias("once"))
-    rows = settle(batches.map_arrow(own, suffixes, "key long, page long, once boolean"))
-    often = rows.filter("once").groupBy("key").agg(F.count("*").alias("seen")).filter(F.col("seen") >= least_pages)
-    # A page's repeated prefixes, never more than the page's tokens.
-    repeats = F.collect_list(F.struct("key", "seen")).alias("repeated")
-    marked = rows.join(often, "key").groupBy("page").agg(repeats)
-
     def cut(source):
         for batch in batches.pieces(source, PAGES_IN_HAND):
             names = ("host", "blocks", "settled", "pages")
@@ -382,13 +521,13 @@ def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES) -> Dat
                 if repeated is not None and own:
                     seen = repeated.field("seen").to_numpy()
                     enough = seen >= SHARE * of_host if known else seen >= least_pages
-                    gone = repeated.field("key").to_numpy()[enough]
-                    left = _without_repeats(own, _of_host(host, _prefixes(own, run)), gone, run) if len(gone) else own
+                    gone = repeated.field("first").to_numpy()[enough]
+                    left = _without_repeats(host, own, gone, run) if len(gone) else own
                     # What repeats most of an article is a copy of it.
                     own = own if known and 2 * _words_in(left) <= _words_in(own) else left
                 texts.append("\n".join(own))
             yield {"rest": batch.column("rest"), "text": texts}
 
-    opened = parsed.join(marked, "page", "left").join(hosts, "host", "left")
-    opened = opened.select("rest", "host", "blocks", "settled", "pages", "repeated")
+    parsed = batches.with_fields(_packed(pages), ["rest", "host"], parse, "text long, blocks array<string>, settled boolean")
+    opened = parsed.join(marked, ["host", "text"], "left").select("rest", "host", "blocks", "settled", "pages", "repeated")
     return batches.with_fields(opened, ["rest"], cut, "text string")

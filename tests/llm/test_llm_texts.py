@@ -351,6 +351,74 @@ def test_copies_of_a_story_on_a_small_host_stay(spark):
     assert all(found[n] == f"Edition {n}\n{story}\nwriter{n}" for n in range(3))
 
 
+def _plain_main_text(rows, run, least_pages):
+    """The rule of `main_text`, by all substrings of `run` tokens in dictionaries."""
+    parsed = [(number, host, *html.page_parts(page)) for number, host, page in rows]
+    texts, seen = {}, {}
+    for _, host, blocks, others, _ in parsed:
+        if blocks:
+            texts.setdefault(host, set()).add(tuple(blocks))
+            for own in (blocks, others):
+                words = " ".join(own).lower().split()
+                for at in range(len(words) - run + 1):
+                    seen.setdefault((host, *words[at : at + run]), set()).add(tuple(blocks))
+    found = []
+    for number, host, blocks, _, known in parsed:
+        words = " ".join(blocks).lower().split()
+        gone = set()
+        for at in range(len(words) - run + 1):
+            count = len(seen[(host, *words[at : at + run])])
+            if count >= least_pages and (not known or count >= html.SHARE * len(texts[host])):
+                gone.update(range(at, at + run))
+        if known and 2 * (len(words) - len(gone)) <= len(words):
+            gone = set()
+        left, at = [], 0
+        for block in blocks:
+            kept = [word for nth, word in enumerate(block.split(), at) if nth not in gone]
+            at += len(block.split())
+            left += [" ".join(kept)] if kept else []
+        found.append((number, "\n".join(left)))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("run", [1, 4, 8])
+def test_repeats_equal_a_plain_search(spark, run):
+    """Hosts with copies, near copies, shared lines and pages of both kinds, some only of the one."""
+    draw = random.Random(run)
+    words = [f"w{n}" for n in range(40)]
+    lines = [" ".join(draw.choices(words, k=draw.randint(1, 14))) for _ in range(8)]
+    rows = []
+    for number in range(120):
+        host = draw.choice(["a", "a", "b", "c", "d"])
+        if rows and draw.random() < 0.25:
+            # A copy or a near copy of an earlier page, perhaps on another host.
+            page = draw.choice(rows)[2]
+            page = page.replace("w3 ", f"n{number} ") if draw.random() < 0.5 else page
+        else:
+            blocks = [draw.choice(lines) if draw.random() < 0.5 else " ".join(draw.choices(words, k=draw.randint(0, 20))) for _ in range(6)]
+            inner = "".join(f"<p>{block}</p>" for block in blocks[:4])
+            marked = host == "b" or (host in "ad" and draw.random() < 0.6)
+            page = f"<div>{blocks[4]}</div>" + (f"<article>{inner}</article>" if marked else inner) + f"<div>{blocks[5]}</div>"
+        rows.append((number, host, page))
+    pages = spark.createDataFrame([(n, f"https://{host}/{n}", page) for n, host, page in rows], "page_id long, url string, html string")
+    found = sorted((r.page_id, r.text) for r in html.main_text(pages.repartition(5), run).select("rest.page_id", "text").collect())
+    assert found == _plain_main_text(rows, run, html.PAGES)
+    untouched = [(number, "\n".join(html.page_blocks(page)[0])) for number, _, page in rows]
+    assert sum(one != other for one, other in zip(found, untouched)) > 20
+
+
+def test_every_run_holds_its_least_inner_run():
+    """Runs alike have the same key wherever they stand."""
+    draw = np.random.default_rng(3)
+    tokens = draw.integers(0, 1 << 63, 9, dtype=np.uint64)[draw.integers(0, 9, 3000)]
+    for run in (1, 2, 5, 8):
+        least = html._least_inner(tokens, run)
+        keys = {}
+        for at, key in enumerate(least.tolist()):
+            assert keys.setdefault(tokens[at : at + run].tobytes(), key) == key
+        assert len(least) == 3000 - run + 1
+
+
 def test_sample_pages_keep_their_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = queries.QUERIES["op10_html"](spark, sf).collect()
