@@ -66,6 +66,7 @@ def item_shingles(items: DataFrame, size: int = SHINGLE, containment: float = CO
                     "item_id": [item_id] * total,
                     "item_hash": [item_hash] * total,
                     "shingle": found,
+                    "words": [found[0].count(b" ") + 1] * total,
                     "shingles": [total] * total,
                     "needed": [needed(total, containment)] * total,
                     "sketched": np.arange(total) < sketch_length(total, containment),
@@ -76,7 +77,7 @@ def item_shingles(items: DataFrame, size: int = SHINGLE, containment: float = CO
     narrow = items.select(
         F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), batches.text_bytes().alias("text")
     )
-    schema = "item_id long, item_hash long, shingle binary, shingles int, needed int, sketched boolean, slot long, second long"
+    schema = "item_id long, item_hash long, shingle binary, words int, shingles int, needed int, sketched boolean, slot long, second long"
     return batches.map_arrow(narrow, step, schema)
 
 
@@ -96,8 +97,9 @@ def shingle_filter(shingles: DataFrame) -> np.ndarray:
     return flags.view(np.uint8)
 
 
-def document_hits(docs: DataFrame, flags: np.ndarray, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, shingle), each once per row of `docs`, for shingles that pass the filter."""
+def document_hits(docs: DataFrame, flags: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc_id, text_hash, shingle), each once per row of `docs`, for runs of as many words as one of
+    `sizes` says that pass the filter."""
 
     def passes(slots: np.ndarray) -> np.ndarray:
         return (flags[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -105,11 +107,14 @@ def document_hits(docs: DataFrame, flags: np.ndarray, size: int = SHINGLE) -> Da
     def step(source):
         for batch in batches.pieces(source, text="text"):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
-            joined, starts, ends, owner = hashing.shingle_spans(texts, size)
-            slots, seconds = filter_places(hashing.rolling_hashes(joined, starts, ends))
-            hits = np.flatnonzero(passes(slots))
-            hits = hits[passes(seconds[hits])]
-            found = dict.fromkeys((int(owner[at]), joined[starts[at] : ends[at]]) for at in hits)
+            lengths = np.array([len(words) for words in texts], dtype=np.int64)
+            found: dict[tuple[int, bytes], None] = {}
+            for size in sizes:
+                joined, starts, ends, owner = hashing.shingle_spans(texts, size)
+                slots, seconds = filter_places(hashing.rolling_hashes(joined, starts, ends))
+                hits = np.flatnonzero(passes(slots))
+                hits = hits[passes(seconds[hits]) & (lengths[owner[hits]] >= size)]
+                found |= dict.fromkeys((int(owner[at]), joined[starts[at] : ends[at]]) for at in hits)
             owners = np.array([each for each, _ in found], dtype=np.int64)
             yield {
                 "doc_id": batch.column("doc_id").take(owners),
@@ -124,15 +129,17 @@ def document_hits(docs: DataFrame, flags: np.ndarray, size: int = SHINGLE) -> Da
 def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, text_hash, item_id, shingles, found, containment): items held by documents.
 
-    Words are as in `batches.words_of`; an item or document of fewer than `size` words is one
-    shingle. So an item of fewer words, as in the SQL, is found only in documents of just these
-    words and is not searched inside longer ones. Null, empty and wordless texts hold nothing and are held by nothing. Repeated rows of
-    `docs` give one row (equal texts) or one per text; `text_hash` is Spark's xxhash64 of it.
+    Words are as in `batches.words_of`. An item of fewer than `size` words is one shingle of all its words, and
+    a document holds it where these follow each other, whatever stands around them. Null, empty and wordless
+    texts hold nothing and are held by nothing. Repeated rows of `docs` give one row (equal texts) or one
+    per text; `text_hash` is Spark's xxhash64 of it.
     Rows of `items` with one item_id and different texts are different items. Null ids are ids
     of their own. Empty tables give an empty one.
     """
     parts = settle(item_shingles(items, size, containment).distinct())
-    hits = settle(document_hits(docs, shingle_filter(parts), size).distinct())
+    # At most `size` numbers: only lengths that items have are sought in documents.
+    sizes = sorted(row.words for row in parts.select("words").distinct().collect())
+    hits = settle(document_hits(docs, shingle_filter(parts), sizes).distinct())
     d, p = hits.alias("d"), parts.alias("p")
     candidates = (
         d.join(p.filter("sketched"), "shingle").select("d.doc_id", "d.text_hash", "p.item_id", "p.item_hash").distinct()

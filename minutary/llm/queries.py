@@ -168,9 +168,13 @@ split AS (
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
     FROM texts
 ),
+sizes AS (SELECT DISTINCT least(len(words), 5) AS size FROM split WHERE kind = 'b' AND len(words) > 0),
 shingles AS (
-    SELECT DISTINCT kind, id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
-    FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM split WHERE len(words) > 0)
+    SELECT DISTINCT kind, id, array_to_string(list_slice(words, i, i + size - 1), ' ') AS shingle
+    FROM (
+        SELECT *, unnest(generate_series(1, len(words) - size + 1)) AS i
+        FROM split JOIN sizes ON len(words) >= size AND (kind = 'd' OR size = least(len(words), 5))
+    )
 ),
 sized AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS shingles, count(*) AS found

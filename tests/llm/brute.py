@@ -54,9 +54,10 @@ def near_copies(texts: dict[int, str]) -> dict[int, tuple[str, int]]:
 def leaks(docs: dict, items: dict) -> dict:
     found = {}
     for doc, text in docs.items():
-        own = set(shingles(text, 5))
         for item, wanted in items.items():
             need = set(shingles(wanted, 5))
+            size = min(5, len(words(wanted)))
+            own = set(shingles(text, size)) if len(words(text)) >= size else set()
             if need and 10 * len(need & own) >= 8 * len(need):
                 found[doc, item] = len(need & own)
     return found

@@ -3,13 +3,14 @@
 import random
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from minutary.llm import components as cc, decontaminate, hashing, lines, simhash, vectors
+from minutary.llm import components as cc, decontaminate, hashing, lines, queries, simhash, vectors
 
 VOCABULARY = [f"w{n}" for n in range(400)] + ["Ärger", "naïve", "日本", "x" * 40]
 
@@ -87,7 +88,7 @@ def test_manhattan_never_exceeds_hamming():
 
 def test_leaks_equal_brute_force(make_docs, spark):
     rng = random.Random(8)
-    items = {n: prose(rng, rng.choice([1, 3, 5, 6, 12, 40, 90])) for n in range(30)} | {90: None, 91: "", 92: "  "}
+    items = {n: prose(rng, rng.choice([1, 2, 3, 4, 5, 6, 12, 40, 90])) for n in range(30)} | {90: None, 91: "", 92: "  "}
     docs = sample_texts(9)
     for n, item in items.items():
         tokens = (item or "").split()
@@ -101,6 +102,19 @@ def test_leaks_equal_brute_force(make_docs, spark):
     assert {r.doc_id for r in clean.collect()} == set(docs) - {doc for doc, _ in brute.leaks(docs, items)}
 
 
+def test_short_items_inside_long_documents(make_docs, spark):
+    items = spark.createDataFrame([(1, "Zyxo"), (2, "zyxo qua"), (3, "b zyxo qua c"), (4, "a b c d e")], "item_id long, text string")
+    filler = "m n o p q r s t " * 200
+    docs = make_docs([(1, f"{filler} b ZYXO\tqua c {filler}"), (2, "zyxo"), (3, "qua zyxo"), (4, f"{filler}zyxos"), (5, "a b c d"), (6, "b zyxo qua c")])
+    found = decontaminate.leaks(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (6, 1), (6, 2), (6, 3)]
+    assert all(r.shingles == r.found == 1 for r in found.collect())
+    plain = duckdb.connect()
+    for table, name in ((docs, "documents"), (items, "benchmark")):
+        plain.register(name, table.select("text", *(c for c in ("doc_id", "item_id") if c in table.columns)).toPandas())
+    assert sorted(plain.sql(queries.SQL["op1_decontaminate"]).fetchall()) == sorted((r.doc_id, r.item_id, r.shingles, r.found) for r in found.collect())
+
+
 def test_leaks_odd_rows(make_docs, spark):
     passage = "one two three four five six seven"
     items = spark.createDataFrame([(1, passage), (1, passage), (None, "a b c d e f"), (2, None)], "item_id long, text string")

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -168,6 +170,37 @@ def test_languages_without_any_learned(make_docs):
     assert {r.lang_pred for r in langid.identify(make_docs([(1, EN), (None, None)]), model).collect()} == {"und"}
 
 
+def test_word_scores_equal_plain_ones(make_docs, spark):
+    """Letter counts, weights and word scores, each written out for single letters and words."""
+    model = taught(make_docs, spark)
+    lower, script = langid.letter_tables()
+
+    def bucket(before, letter, after):
+        mixed = ((ord(before) if before else 0) * 0x9E3779B1 + ord(letter)) * 0x85EBCA77 + (ord(after) if after else 0)
+        return mixed * 0x9E3779B97F4A7C15 % 2**64 >> 49
+
+    def places(word):
+        return [bucket(word[at - 1] if at else "", word[at], word[at + 1] if at + 1 < len(word) else "") for at in range(len(word))]
+
+    logs = {}
+    for text, lang in ((EN, "en"), (FR, "fr"), (RU, "ru")):
+        counts = Counter(place for word in (" ".join([text] * 5)).split() for place in places(word) for _ in range(4))
+        total = sum(counts.values()) + langid.SMOOTHING * langid.BUCKETS
+        logs[lang] = lambda place, counts=counts, total=total: math.log((counts[place] + langid.SMOOTHING) / total)
+    text = f"3 {EN.upper()}, xyz! {FR} {RU} {RU}ж."
+    codes, letters, _ = langid._letters([text], lower)
+    starts, ends, scores = langid.word_scores(codes, letters, script, model)
+    words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+    assert [text[a:b].lower() for a, b in zip(starts, ends)] == words
+    for word, found in zip(words, scores):
+        cyrillic = "а" <= word[0] <= "я"
+        for at, lang in enumerate(model.langs):
+            if (lang == "ru") == cyrillic:
+                assert found[at] == pytest.approx(sum(map(logs[lang], places(word))), rel=1e-4)
+            else:
+                assert found[at] < scores[:, model.langs.index("en")].max() - 100
+
+
 def test_best_spans_equal_plain_viterbi():
     rng = np.random.default_rng(0)
     counts = np.array([0, 7, 1, 30, 30, 0, 12])
@@ -230,7 +263,7 @@ def test_grades_of_no_ratings(make_docs, spark):
     assert row.value == 0.0 and row.tails == [0.5, 0.5]
 
 
-def test_ordinal_fit_lowers_the_loss_like_numeric_gradients():
+def test_ordinal_fit_finds_what_made_the_grades():
     rng = np.random.default_rng(1)
     x = rng.standard_normal(400)
     grades = np.digitize(2 * x + rng.logistic(size=400), [-1.0, 1.5])
@@ -239,6 +272,52 @@ def test_ordinal_fit_lowers_the_loss_like_numeric_gradients():
     assert thresholds == pytest.approx([-1.0, 1.5], abs=0.5)
 
 
+@pytest.mark.parametrize("levels", [2, 3, 5])
+def test_ordinal_fit_ends_where_numeric_gradients_vanish(levels, monkeypatch):
+    """The loss, written out row by row, is flat where the fit ends, and higher a step away from it."""
+    monkeypatch.setattr(ordinal, "STEPS", 3000)
+    monkeypatch.setattr(ordinal, "RATE", 0.02)
+    rng = np.random.default_rng(levels)
+    rows, width = 200, 3
+    x = rng.standard_normal((rows, width))
+    grades = np.digitize(x @ [1.0, -0.5, 0.0] + rng.logistic(size=rows), np.linspace(-1, 1, levels - 1))
+    owner, column = np.divmod(np.arange(rows * width), width)
+    weights, thresholds = ordinal.fit(owner, column, x.ravel(), grades, width, levels)
+
+    def loss(point):
+        w, cuts = point[:width], [-math.inf, *point[width:], math.inf]
+        total = 0.0
+        for row, grade in zip(x, grades):
+            value = float(row @ w)
+            high, low = (1 / (1 + math.exp(-(cut - value))) if math.isfinite(cut) else float(cut > 0) for cut in (cuts[grade + 1], cuts[grade]))
+            total -= math.log(high - low)
+        return total / rows + ordinal.PENALTY / 2 * float(w @ w)
+
+    end = np.concatenate([weights, thresholds])
+    for at in range(len(end)):
+        step = np.zeros(len(end))
+        step[at] = 1e-5
+        assert abs(loss(end + step) - loss(end - step)) / 2e-5 < 2e-3
+        assert loss(end + 3000 * step) > loss(end) < loss(end - 3000 * step)
+
+
+@given(st.lists(st.text(alphabet="aB1-é \n", max_size=30), max_size=5))
+@settings(max_examples=80, deadline=None)
+def test_ordinal_features_equal_plain_ones(texts):
+    owner, bucket, shares = ordinal.features([text.encode() for text in texts])
+    for at, text in enumerate(texts):
+        words = text.encode().split()
+        hashes = [xxhash.xxh64_intdigest(word.lower(), 7) for word in words]
+        assert sorted(bucket[owner == at].tolist()) == sorted({h % ordinal.BUCKETS for h in hashes})
+        plain = np.zeros(ordinal.SHAPES + 1)
+        for nth, word in enumerate(words):
+            symbols = sum(not (chr(b).isalnum() or b > 127) for b in word)
+            shape = any(65 <= b <= 90 for b in word) + 2 * any(97 <= b <= 122 or b > 127 for b in word) + 4 * any(48 <= b <= 57 for b in word)
+            plain[shape + (8 if symbols == 1 else 16 if symbols else 0)] += 1
+            plain[-1] += nth > 0 and hashes[nth] == hashes[nth - 1]
+        assert shares[at] == pytest.approx(plain / max(len(words), 1))
+
+
 # ---- pages ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head>
