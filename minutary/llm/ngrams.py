@@ -15,20 +15,23 @@ from __future__ import annotations
 import os
 import uuid
 from collections import OrderedDict
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minutary.llm import batches, hashing
-from minutary.session import settle, work_dir
+from minutary.session import remove, work_dir
 
 ORDER = 3
 TEXT_PER_SHARD = 16 << 20
 TOKENS_PER_CHUNK = 1_500_000
 DOCS_IN_HAND = 256
 OPEN_FILES = 1024
+KEYS_PER_BUCKET = 16
+_KNOWN_BITS, _LARGE = 16, 255
 # No word holds white space, so these texts stand for no word.
 _END, _START = (np.uint64(h) for h in (0x656E64206F662074, 0x7374617274206F66))
 ROWS = "kind string, shard int, grams binary, counts binary, stats binary"
@@ -73,26 +76,58 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return key
 
 
-def _pack(grams: np.ndarray) -> bytes:
-    """Rows in order of their first word: that word once per run of at most 255 rows, the
-    lengths of the runs, and the other words of all rows."""
-    starts = batches.run_starts(grams[:, 0])
-    sizes = np.diff(np.append(starts, len(grams)))
-    whole = (sizes - 1) // 255 + 1
-    heads = np.repeat(grams[starts, 0], whole)
-    lengths = np.full(len(heads), 255, dtype=np.uint8)
-    lengths[np.cumsum(whole) - 1] = sizes - (whole - 1) * 255
-    return np.uint32(len(heads)).tobytes() + heads.tobytes() + lengths.tobytes() + np.ascontiguousarray(grams[:, 1:]).tobytes()
-
-
-def _unpack(raw: bytes, order: int) -> np.ndarray:
-    runs = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
-    cut = 4 + runs * 8
-    heads = np.frombuffer(raw[4:cut], dtype=np.uint64)
-    first = np.repeat(heads, np.frombuffer(raw, dtype=np.uint8, count=runs, offset=cut))
-    if order == 1:
-        return first[:, None]
-    return np.concatenate([first[:, None], np.frombuffer(raw[cut + runs :], dtype=np.uint64).reshape(-1, order - 1)], axis=1)
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, compressed with all first bytes together, then all second bytes
+    and so on: the high bytes of small numbers and of steps between sorted ones take no room."""
+    head = np.array([len(arrays)] + [x for array in arrays for x in (len(array), array.itemsize)], dtype=np.uint32)
+    planes = [np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T.tobytes() for array in arrays]
+    return head.tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(raw: bytes) -> list[np.ndarray]:
+    many = int(np.frombuffer(raw, dtype=np.uint32, count=1)[0])
+    head = np.frombuffer(raw, dtype=np.uint32, count=2 * many, offset=4).reshape(many, 2).tolist()
+    size = sum(length * width for length, width in head)
+    planes = np.frombuffer(pa.decompress(raw[4 + 8 * many :], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    found, at = [], 0
+    for length, width in head:
+        part = planes[at : at + length * width].reshape(width, length)
+        found.append(np.ascontiguousarray(part.T).view(f"<u{width}").ravel())
+        at += length * width
+    return found
+
+
+def _pack(grams: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(bytes, order of the rows in them). The different words are listed once, frequent ones first;
+    rows are sorted numbers in that list, the first as steps, the second as steps where the first
+    word stays the same."""
+    words, numbers, often = np.unique(grams, return_inverse=True, return_counts=True)
+    by = np.argsort(-often, kind="stable")
+    rank = np.empty(len(by), dtype=np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    ranks = rank[numbers.reshape(grams.shape)]
+    order = np.lexsort(ranks.T[::-1])
+    columns = [np.ascontiguousarray(column) for column in ranks[order].T]
+    coded = [np.diff(columns[0], prepend=np.uint32(0)), *columns[1:]]
+    if len(columns) > 1:
+        same = np.flatnonzero(coded[0][1:] == 0) + 1
+        coded[1] = columns[1].copy()
+        coded[1][same] -= columns[1][same - 1]
+    listed = words[by]
+    return _squeezed(np.diff(listed, prepend=np.uint64(0)), *coded), order
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    steps, *columns = _unsqueezed(raw)
+    listed = np.cumsum(steps, dtype=np.uint64)
+    first = np.cumsum(columns[0], dtype=np.uint32)
+    if len(columns) > 1:
+        # Steps add up from where the first word's run begins.
+        starts = batches.run_starts(first)
+        sums = np.cumsum(columns[1], dtype=np.uint64)
+        before = sums[starts] - columns[1][starts]
+        columns[1] = sums - np.repeat(before, np.diff(np.append(starts, len(sums))))
+    return listed[np.stack([first, *columns[1:]], axis=1)]
 
 
 def _combined(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -115,30 +150,27 @@ def _cut(keys: np.ndarray, bits: int):
 # ---- counting ----
 
 
-def _rows(kind: str, bits: int, keys: np.ndarray, grams: np.ndarray | None, counts: np.ndarray) -> list[dict]:
-    """Rows of sorted keys for their shards. Without `grams` the keys themselves are sent."""
+def _rows(kind: str, bits: int, keys: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> list[dict]:
+    """Rows of n-grams, in order of their keys, for their shards; `counts` has columns or none."""
     rows = []
     for shard, part in _cut(keys, bits):
-        own, values = None if grams is None else grams[part], counts[part]
-        if own is not None:
-            order = np.argsort(own[:, 0], kind="stable")
-            own, values = own[order], values[order]
-        packed = keys[part].tobytes() if own is None else _pack(own)
-        rows.append({"kind": kind, "shard": shard, "grams": packed, "counts": _small(values).tobytes(), "stats": None})
+        packed, order = _pack(grams[part])
+        rows.append({"kind": kind, "shard": shard, "grams": packed, "counts": _small(counts[part][order]), "stats": None})
     return rows
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """In four bytes if all fit, else in eight."""
-    most = counts.max() if counts.size else 0
-    return np.ascontiguousarray(counts, dtype=np.uint32 if most < 1 << 32 else np.uint64)
+def _small(counts: np.ndarray) -> bytes:
+    """In four bytes each if all fit, else in eight."""
+    kind = np.uint32 if counts.max() < 1 << 32 else np.uint64
+    return _squeezed(*np.atleast_2d(counts.astype(kind).T))
 
 
-def _counts(raw: bytes, rows: int, width: int = 1) -> np.ndarray:
-    """What `_small` packed, for a known number of rows."""
-    kind = np.uint32 if len(raw) == 4 * rows * width else np.uint64
-    found = np.frombuffer(raw, dtype=kind).astype(np.int64)
-    return found.reshape(rows, width) if width > 1 else found
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, grams, sums of their counts) of the rows that one shard got, keys in order."""
+    grams = np.concatenate([_unpack(raw) for raw in table.column("grams").to_pylist()])
+    pieces = [np.stack(_unsqueezed(raw), axis=1).astype(np.int64) for raw in table.column("counts").to_pylist()]
+    keys, at, counts = _combined(keys_of(grams), np.concatenate(pieces))
+    return keys, grams[at], counts
 
 
 def _columns(rows: list[dict]) -> dict[str, list]:
@@ -173,72 +205,107 @@ def counted_chunks(docs: DataFrame, order: int, bits: int) -> DataFrame:
     return batches.map_arrow(docs.select(batches.text_bytes().alias("text")), step, ROWS)
 
 
-def _save(folder: str, kind: str, shard: int, **arrays: np.ndarray) -> None:
-    """Under a name of its own first: a second attempt of a task replaces whole files."""
+def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    """A shard's sorted keys and counts (a column for each figure), as arrays to be mapped.
+
+    The first bits of a key follow from its shard and its bucket, so of each key the last 48
+    are kept. Counts are bytes; those of 255 and more stand in a short list by place.
+    Files have a name of their own first: a second attempt of a task replaces whole files.
+    """
+    buckets = max(_KNOWN_BITS - bits, (len(keys) // KEYS_PER_BUCKET).bit_length())
+    firsts = np.arange(1 << buckets, dtype=np.uint64)
+    ends = np.searchsorted(_bucket(keys, bits, buckets), firsts, side="right")
+    large = np.flatnonzero((counts >= _LARGE).any(axis=1))
+    arrays = {
+        "ends": np.append(0, ends).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64),
+        "keys": np.ascontiguousarray(keys).view(np.uint16).reshape(-1, 4)[:, :3],
+        "counts": np.minimum(counts, _LARGE).astype(np.uint8),
+        "places": large,
+        "large": counts[large],
+    }
     os.makedirs(f"{folder}/{kind}", exist_ok=True)
     for name, array in arrays.items():
         draft = f"{folder}/{kind}/.{uuid.uuid4().hex}.npy"
-        np.save(draft, array)
+        np.save(draft, np.ascontiguousarray(array))
         os.replace(draft, f"{folder}/{kind}/{shard}.{name}.npy")
 
 
+def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bits after those of the shard."""
+    return (keys << np.uint64(bits)) >> np.uint64(64 - buckets) if buckets else np.zeros_like(keys)
+
+
+def _last_bits(keys: np.ndarray) -> np.ndarray:
+    """Keys as `_save` keeps them, as numbers."""
+    parts = keys.astype(np.uint64)
+    return parts[:, 0] | parts[:, 1] << np.uint64(16) | parts[:, 2] << np.uint64(32)
+
+
+def _search(known: np.ndarray, ends: np.ndarray, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in `known`, whether it is there) by halving the key's bucket."""
+    own = _bucket(keys, bits, (len(ends) - 1).bit_length() - 1).astype(np.int64)
+    low, high = ends[own].astype(np.int64), ends[own + 1].astype(np.int64)
+    full = high.copy()
+    wanted = keys & np.uint64((1 << 64 - _KNOWN_BITS) - 1)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        less = _last_bits(known[middle]) < wanted[open_]
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
+        open_ = open_[low[open_] < high[open_]]
+    there = low < full
+    there[there] = _last_bits(known[low[there]]) == wanted[there]
+    return low, there
+
+
 def _count_classes(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4."""
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    most = counts.max() if counts.size else 0
-    return counts.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
-
-
 def _reduce_grams(order: int, top: bool, bits: int, folder: str):
     """One shard of n-grams: its file, and rows for its contexts and for the next lower order."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        pieces = [_unpack(raw, order) for raw in table.column("grams").to_pylist()]
-        counts = np.concatenate([_counts(raw, len(own)) for raw, own in zip(table.column("counts").to_pylist(), pieces)])
-        grams = np.concatenate(pieces)
-        keys, at, counts = _combined(keys_of(grams), counts)
-        grams = grams[at]
-        _save(folder, f"g{order}", shard, keys=keys, counts=_narrow(counts))
-        rows = []
+        keys, grams, counts = _read(table)
+        _save(folder, f"g{order}", shard, bits, keys, counts)
+        counts = counts[:, 0]
         classes = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
-        heads, _, stats = _combined(keys_of(grams[:, :-1]), classes)
-        rows += _rows(f"c{order}", bits, heads, None, stats)
+        rows = _grouped(f"c{order}", bits, grams[:, :-1], classes)
         # The next lower order counts the different words seen before.
-        lower = grams[:, 1:]
-        tails, at, before, whole = _combined(keys_of(lower), np.ones(len(lower), dtype=np.int64), counts.astype(np.int64))
+        once = np.ones(len(grams), dtype=np.int64)
         if order == 2:
-            both = np.stack([before, whole if top else np.zeros_like(whole)], axis=1)
-            rows += _rows("w", bits, tails, None, both)
+            rows += _grouped("w", bits, grams[:, 1:], np.stack([once, counts if top else once * 0], axis=1))
         else:
-            rows += _rows(f"g{order - 1}", bits, tails, lower[at], before)
+            rows += _grouped(f"g{order - 1}", bits, grams[:, 1:], once)
             if top:
-                words, _, raw = _combined(keys_of(grams[:, -1:]), counts.astype(np.int64))
-                rows += _rows("w", bits, words, None, np.stack([np.zeros_like(raw), raw], axis=1))
+                rows += _grouped("w", bits, grams[:, -1:], np.stack([once * 0, counts], axis=1))
         rows.append({"kind": f"t{order}", "shard": shard, "grams": None, "counts": None, "stats": np.array(_count_classes(counts), dtype=np.int64).tobytes()})
         return _table(rows)
 
     return run
 
 
+def _grouped(kind: str, bits: int, grams: np.ndarray, counts: np.ndarray) -> list[dict]:
+    keys, at, sums = _combined(keys_of(grams), counts)
+    return _rows(kind, bits, keys, grams[at], sums)
+
+
 def _table(rows: list[dict]) -> pa.Table:
     binary = ("grams", "counts", "stats")
     kinds = {"kind": pa.string(), "shard": pa.int32()} | {name: pa.binary() for name in binary}
     return pa.table({name: pa.array(values, type=kinds[name]) for name, values in _columns(rows).items()})
 
 
-def _reduce_keys(bits: int, folder: str, width: int):
+def _reduce_keys(bits: int, folder: str):
     """One shard of contexts or of words: sums by key, and the file. The totals of words go on."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        pieces = [np.frombuffer(raw, dtype=np.uint64) for raw in table.column("grams").to_pylist()]
-        values = [_counts(raw, len(own), width) for raw, own in zip(table.column("counts").to_pylist(), pieces)]
-        keys, _, sums = _combined(np.concatenate(pieces), np.concatenate(values))
-        _save(folder, kind, shard, keys=keys, counts=_narrow(sums))
+        keys, _, sums = _read(table)
+        _save(folder, kind, shard, bits, keys, sums)
         stats = [len(keys), *sums.sum(axis=0).tolist(), *_count_classes(sums[:, 0]), int((sums[:, 0] >= 3).sum())]
         return _table([{"kind": f"t{kind}", "shard": shard, "grams": None, "counts": None, "stats": np.array(stats, dtype=np.int64).tobytes()}])
 
@@ -301,11 +368,15 @@ class NgramModel:
         for shard, part in _cut(distinct, self.bits):
             if shard not in self.shards.get(kind, ()):
                 continue
-            known = self._file(kind, shard, "keys")
-            at = np.searchsorted(known, distinct[part])
-            at[at == len(known)] = 0
-            hit = known[at] == distinct[part]
-            found[part][hit] = self._file(kind, shard, "counts")[at[hit]]
+            known, ends = self._file(kind, shard, "keys"), self._file(kind, shard, "ends")
+            at, there = _search(known, ends, distinct[part], self.bits)
+            at = at[there]
+            counts = self._file(kind, shard, "counts")[at].astype(np.int64)
+            large = np.flatnonzero((counts == _LARGE).any(axis=1))
+            if len(large):
+                nth = np.searchsorted(self._file(kind, shard, "places"), at[large])
+                counts[large] = self._file(kind, shard, "large")[nth]
+            found[part][there] = counts if width else counts[:, 0]
         return found[places]
 
     def score(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,6 +396,18 @@ class NgramModel:
         return np.log10(chance), words[:, 1]
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession):
+    """Spark deletes each job's shuffle files when it ends: all these jobs' results are written out."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def learn(docs: DataFrame, order: int = ORDER) -> NgramModel:
     """From every row of `docs` (text). Null texts count as empty ones: an end token each."""
     spark = docs.sparkSession
@@ -332,20 +415,28 @@ def learn(docs: DataFrame, order: int = ORDER) -> NgramModel:
     bits = max(2, (size // TEXT_PER_SHARD).bit_length())
     folder = mounted(work_dir(spark, "ngrams"))
     model = NgramModel(folder, order, bits)
-    rows = counted_chunks(docs, order, bits)
-    kept = []
-    for level in range(order, 1, -1):
-        own = rows.filter(F.col("kind") == f"g{level}")
-        rows = settle(own.groupBy("shard").applyInArrow(_reduce_grams(level, level == order, bits, folder), ROWS))
-        kept.append(rows)
-        classes, model.shards[f"g{level}"] = _summed(rows.filter(F.col("kind") == f"t{level}"))
-        model.discounts[level] = discounts(classes[:4])
-        contexts = rows.filter(F.col("kind") == f"c{level}")
-        _, model.shards[f"c{level}"] = _summed(contexts.groupBy("kind", "shard").applyInArrow(_reduce_keys(bits, folder, 4), ROWS))
-    words = kept[0].filter("kind = 'w'")
-    for more in kept[1:]:
-        words = words.unionByName(more.filter("kind = 'w'"))
-    found, model.shards["w"] = _summed(words.groupBy("kind", "shard").applyInArrow(_reduce_keys(bits, folder, 2), ROWS))
+    rows, spent = counted_chunks(docs, order, bits), None
+    paths = []
+    with _shuffles_released(spark):
+        for level in range(order, 1, -1):
+            paths.append(work_dir(spark, "ngram-rows"))
+            reduced = rows.groupBy("shard").applyInArrow(_reduce_grams(level, level == order, bits, folder), ROWS)
+            reduced.write.partitionBy("kind").parquet(paths[-1])
+            if spent:
+                remove(spark, spent)
+            made = spark.read.schema(ROWS).parquet(paths[-1])
+            classes, model.shards[f"g{level}"] = _summed(made.filter(F.col("kind") == f"t{level}"))
+            model.discounts[level] = discounts(classes[:4])
+            contexts = made.filter(F.col("kind") == f"c{level}")
+            _, model.shards[f"c{level}"] = _summed(contexts.groupBy("kind", "shard").applyInArrow(_reduce_keys(bits, folder), ROWS))
+            remove(spark, f"{paths[-1]}/kind=c{level}")
+            rows, spent = made.filter(F.col("kind") == f"g{level - 1}"), f"{paths[-1]}/kind=g{level - 1}"
+        words = spark.read.schema(ROWS).parquet(paths[0]).filter("kind = 'w'")
+        for path in paths[1:]:
+            words = words.unionByName(spark.read.schema(ROWS).parquet(path).filter("kind = 'w'"))
+        found, model.shards["w"] = _summed(words.groupBy("kind", "shard").applyInArrow(_reduce_keys(bits, folder), ROWS))
+    for path in paths:
+        remove(spark, path)
     model.shards = {kind: set(shards) for kind, shards in model.shards.items()}
     model.types, model.continuations, model.tokens = int(found[0]), int(found[1]), int(found[2])
     model.discounts[1] = discounts(found[3:7])

@@ -68,8 +68,35 @@ def test_the_query_scores_with_trigrams(make_docs, spark, tmp_path):
 def test_hashes_of_words_keep_all_bits():
     words, _ = ngrams.token_hashes([[b"cat", b"dog"]], 3)
     assert words[2:4].tolist() == [xxhash.xxh64_intdigest(b"cat"), xxhash.xxh64_intdigest(b"dog")]
-    grams = np.sort(np.array([[3 << 60, 5 << 61, 7], [3 << 60, 1, 2 << 62]], dtype=np.uint64), axis=0)
-    assert (ngrams._unpack(ngrams._pack(grams), 3) == grams).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_packed_grams_are_whole(order):
+    draw = np.random.default_rng(order)
+    words = draw.integers(0, 1 << 64, 40, dtype=np.uint64)
+    grams = words[np.minimum(draw.zipf(1.3, (500, order)), 40) - 1]
+    for own in (grams, grams[:1]):
+        raw, at = ngrams._pack(own)
+        assert (ngrams._unpack(raw) == own[at]).all() and sorted(at.tolist()) == list(range(len(own)))
+    counts = np.array([[1, 0], [1 << 33, 2], [3, 255]])
+    assert (np.stack(ngrams._unsqueezed(ngrams._small(counts)), axis=1) == counts).all()
+
+
+@pytest.mark.parametrize("bits", [2, 9, 17])
+def test_kept_arrays_find_every_key_and_no_other(bits, tmp_path):
+    draw = np.random.default_rng(bits)
+    shard = 3
+    # Neighbours differ in the last bit, and keys of equal last 48 bits in the bits before.
+    some = draw.integers(0, 1 << 60, 3000, dtype=np.uint64)
+    near = np.concatenate([some, some ^ np.uint64(1), some ^ np.uint64(1 << 49)])
+    drawn = np.unique((near & np.uint64((1 << 64 - bits) - 1)) | np.uint64(shard << 64 - bits))
+    known, absent = drawn[::2], drawn[1::2]
+    counts = draw.integers(0, 300, (len(known), 2))
+    ngrams._save(str(tmp_path), "x", shard, bits, known, counts)
+    model = ngrams.NgramModel(str(tmp_path), 3, bits)
+    model.shards["x"] = {shard}
+    assert (model.look_up("x", known[::-1], 2) == counts[::-1]).all()
+    assert not model.look_up("x", absent, 2).any()
 
 
 def test_ngrams_of_nothing(make_docs):
