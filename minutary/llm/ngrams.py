@@ -1,5 +1,6 @@
 """Interpolated modified Kneser-Ney n-gram model (Chen & Goodman 1998), counted in Spark.
 
+Words are counted and numbered first, frequent ones low, so that sorted n-grams take few bytes.
 Tasks combine n-grams of their texts before anything is shuffled, so a frequent n-gram is one
 record per task and chunk. Records go to shards by a hash of the whole n-gram, which spreads a
 frequent context over all of them. Each shard is written to the shared folder as sorted arrays of
@@ -28,7 +29,7 @@ from minutary.session import remove, work_dir
 ORDER = 3
 TEXT_PER_SHARD = 16 << 20
 TOKENS_PER_CHUNK = 1_500_000
-DOCS_IN_HAND = 256
+DOCS_IN_HAND, BYTES_IN_HAND = 1024, 4 << 20
 OPEN_FILES = 1024
 KEYS_PER_BUCKET = 16
 _KNOWN_BITS, _LARGE = 16, 255
@@ -98,36 +99,34 @@ def _unsqueezed(raw: bytes) -> list[np.ndarray]:
 
 
 def _pack(grams: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bytes, order of the rows in them). The different words are listed once, frequent ones first;
-    rows are sorted numbers in that list, the first as steps, the second as steps where the first
-    word stays the same."""
-    words, numbers, often = np.unique(grams, return_inverse=True, return_counts=True)
-    by = np.argsort(-often, kind="stable")
-    rank = np.empty(len(by), dtype=np.uint32)
-    rank[by] = np.arange(len(by), dtype=np.uint32)
-    ranks = rank[numbers.reshape(grams.shape)]
-    order = np.lexsort(ranks.T[::-1])
-    columns = [np.ascontiguousarray(column) for column in ranks[order].T]
-    coded = [np.diff(columns[0], prepend=np.uint32(0)), *columns[1:]]
+    """(bytes, order of the rows in them). Rows of word numbers are sorted by their first two
+    words; the first is kept as steps, the second as steps where the first stays the same."""
+    short = grams.max() < 1 << 32
+    columns = [np.ascontiguousarray(column) for column in grams.T]
+    if len(columns) == 1:
+        order = np.argsort(columns[0])
+    else:
+        order = np.argsort(columns[0] << np.uint64(32) | columns[1]) if short else np.lexsort(columns[1::-1])
+    coded = columns = [column[order] for column in columns]
     if len(columns) > 1:
-        same = np.flatnonzero(coded[0][1:] == 0) + 1
-        coded[1] = columns[1].copy()
-        coded[1][same] -= columns[1][same - 1]
-    listed = words[by]
-    return _squeezed(np.diff(listed, prepend=np.uint64(0)), *coded), order
+        same = np.flatnonzero(columns[0][1:] == columns[0][:-1]) + 1
+        second = columns[1].copy()
+        second[same] -= columns[1][same - 1]
+        coded = [columns[0], second, *columns[2:]]
+    coded[0] = np.diff(coded[0], prepend=np.uint64(0))
+    return _squeezed(*[column.astype(np.uint32) if short else column for column in coded]), order
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    steps, *columns = _unsqueezed(raw)
-    listed = np.cumsum(steps, dtype=np.uint64)
-    first = np.cumsum(columns[0], dtype=np.uint32)
+    columns = [column.astype(np.uint64) for column in _unsqueezed(raw)]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
     if len(columns) > 1:
         # Steps add up from where the first word's run begins.
-        starts = batches.run_starts(first)
+        starts = batches.run_starts(columns[0])
         sums = np.cumsum(columns[1], dtype=np.uint64)
         before = sums[starts] - columns[1][starts]
         columns[1] = sums - np.repeat(before, np.diff(np.append(starts, len(sums))))
-    return listed[np.stack([first, *columns[1:]], axis=1)]
+    return np.stack(columns, axis=1)
 
 
 def _combined(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -178,34 +177,55 @@ def _columns(rows: list[dict]) -> dict[str, list]:
     return {name: [row[name] for row in rows] for name in names}
 
 
-def counted_chunks(docs: DataFrame, order: int, bits: int) -> DataFrame:
+def counted_words(docs: DataFrame, bits: int) -> DataFrame:
+    """Rows of word hashes and counts, combined over chunks of a task's tokens."""
+
+    def step(source):
+        for tokens in _chunks(source, lambda texts: token_hashes(texts, 1)[0]):
+            words, counts = np.unique(tokens, return_counts=True)
+            rows = []
+            for shard, part in _cut(words, bits):
+                listed = _squeezed(np.diff(words[part], prepend=np.uint64(0)))
+                rows.append({"kind": "v", "shard": shard, "grams": listed, "counts": _small(counts[part]), "stats": None})
+            yield _columns(rows)
+
+    return batches.map_arrow(docs.select(batches.text_bytes().alias("text")), step, ROWS)
+
+
+def counted_chunks(docs: DataFrame, model: NgramModel) -> DataFrame:
     """Rows of n-grams and counts, combined over chunks of a task's tokens."""
+    shared, order = docs.sparkSession.sparkContext.broadcast(model), model.order
 
     def step(source):
-        held: list[np.ndarray] = []
-        waiting = 0
+        model = shared.value
 
-        def flush():
-            grams = np.concatenate(held)
-            held.clear()
-            keys, at, counts = _combined(keys_of(grams), np.ones(len(grams), dtype=np.uint32))
-            return _columns(_rows(f"g{order}", bits, keys, grams[at], counts))
+        def grams_of(texts):
+            words, full = token_hashes(texts, order)
+            return gram_columns(model.numbers(words)[0], full, order)[0]
 
-        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
-            texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
-            grams, _ = gram_columns(*token_hashes(texts, order), order)
-            held.append(grams)
-            waiting += len(grams)
-            if waiting >= TOKENS_PER_CHUNK:
-                yield flush()
-                waiting = 0
-        if waiting:
-            yield flush()
+        for grams in _chunks(source, grams_of):
+            keys, at, counts = _combined(keys_of(grams), np.ones(len(grams), dtype=np.uint32))
+            yield _columns(_rows(f"g{order}", model.bits, keys, grams[at], counts))
 
     return batches.map_arrow(docs.select(batches.text_bytes().alias("text")), step, ROWS)
 
 
-def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, counts: np.ndarray) -> None:
+def _chunks(source, made_of):
+    """What `made_of` makes of the texts' words, put together to at least TOKENS_PER_CHUNK rows but at the end."""
+    held: list[np.ndarray] = []
+    waiting = 0
+    for batch in batches.pieces(source, DOCS_IN_HAND, "text", BYTES_IN_HAND):
+        held.append(made_of([batches.words_of(text) for text in batch.column("text").to_pylist()]))
+        waiting += len(held[-1])
+        if waiting >= TOKENS_PER_CHUNK:
+            yield np.concatenate(held)
+            held.clear()
+            waiting = 0
+    if waiting:
+        yield np.concatenate(held)
+
+
+def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, counts: np.ndarray, **more: np.ndarray) -> None:
     """A shard's sorted keys and counts (a column for each figure), as arrays to be mapped.
 
     The first bits of a key follow from its shard and its bucket, so of each key the last 48
@@ -218,10 +238,12 @@ def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, count
     large = np.flatnonzero((counts >= _LARGE).any(axis=1))
     arrays = {
         "ends": np.append(0, ends).astype(np.uint32 if len(keys) < 1 << 32 else np.uint64),
-        "keys": np.ascontiguousarray(keys).view(np.uint16).reshape(-1, 4)[:, :3],
+        # Two more bytes let the last key be read as eight.
+        "keys": np.append(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].ravel(), np.zeros(2, dtype=np.uint8)),
         "counts": np.minimum(counts, _LARGE).astype(np.uint8),
         "places": large,
         "large": counts[large],
+        **more,
     }
     os.makedirs(f"{folder}/{kind}", exist_ok=True)
     for name, array in arrays.items():
@@ -235,36 +257,56 @@ def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return (keys << np.uint64(bits)) >> np.uint64(64 - buckets) if buckets else np.zeros_like(keys)
 
 
-def _last_bits(keys: np.ndarray) -> np.ndarray:
-    """Keys as `_save` keeps them, as numbers."""
-    parts = keys.astype(np.uint64)
-    return parts[:, 0] | parts[:, 1] << np.uint64(16) | parts[:, 2] << np.uint64(32)
-
-
 def _search(known: np.ndarray, ends: np.ndarray, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of each key in `known`, whether it is there) by halving the key's bucket."""
+    last = np.uint64((1 << 64 - _KNOWN_BITS) - 1)
+    listed = np.ndarray(((len(known) - 2) // 6,), dtype="<u8", buffer=known, strides=(6,))
     own = _bucket(keys, bits, (len(ends) - 1).bit_length() - 1).astype(np.int64)
     low, high = ends[own].astype(np.int64), ends[own + 1].astype(np.int64)
-    full = high.copy()
-    wanted = keys & np.uint64((1 << 64 - _KNOWN_BITS) - 1)
-    open_ = np.flatnonzero(low < high)
-    while len(open_):
-        middle = (low[open_] + high[open_]) >> 1
-        less = _last_bits(known[middle]) < wanted[open_]
-        low[open_[less]] = middle[less] + 1
-        high[open_[~less]] = middle[~less]
-        open_ = open_[low[open_] < high[open_]]
-    there = low < full
-    there[there] = _last_bits(known[low[there]]) == wanted[there]
+    wanted = keys & last
+    there = low < high
+    left = np.where(there, high - low, 1)
+    low[~there] = 0
+    for _ in range(int(left.max(initial=1) - 1).bit_length() if len(listed) else 0):
+        half = left >> 1
+        low += half * ((listed[low + half - (half > 0)] & last) < wanted)
+        left -= half
+    # `low` is now the first of the bucket that is not less, or the last one of all.
+    if len(listed):
+        there &= (listed[low] & last) == wanted
     return low, there
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """0 for the largest counts, one more for each halving."""
+    return 64 - np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def _reduce_words(bits: int, folder: str):
+    """One shard of the vocabulary: hashes, counts, and the place of each word among those of its level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        pieces = [np.cumsum(_unsqueezed(raw)[0], dtype=np.uint64) for raw in table.column("grams").to_pylist()]
+        values = [_unsqueezed(raw)[0].astype(np.int64) for raw in table.column("counts").to_pylist()]
+        words, _, counts = _combined(np.concatenate(pieces), np.concatenate(values))
+        levels = _levels(counts)
+        order = np.argsort(levels, kind="stable")
+        sizes = np.bincount(levels, minlength=65)
+        nth = np.empty(len(words), dtype=np.uint32 if len(words) < 1 << 32 else np.uint64)
+        nth[order] = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _save(folder, "v", shard, bits, words, counts[:, None], nth=nth)
+        return _table([{"kind": "tv", "shard": shard, "grams": None, "counts": None, "stats": np.append(sizes, counts.sum()).astype(np.int64).tobytes()}])
+
+    return run
+
+
 def _count_classes(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4."""
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _reduce_grams(order: int, top: bool, bits: int, folder: str):
+def _reduce_grams(order: int, bits: int, folder: str):
     """One shard of n-grams: its file, and rows for its contexts and for the next lower order."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -275,13 +317,8 @@ def _reduce_grams(order: int, top: bool, bits: int, folder: str):
         classes = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
         rows = _grouped(f"c{order}", bits, grams[:, :-1], classes)
         # The next lower order counts the different words seen before.
-        once = np.ones(len(grams), dtype=np.int64)
-        if order == 2:
-            rows += _grouped("w", bits, grams[:, 1:], np.stack([once, counts if top else once * 0], axis=1))
-        else:
-            rows += _grouped(f"g{order - 1}", bits, grams[:, 1:], once)
-            if top:
-                rows += _grouped("w", bits, grams[:, -1:], np.stack([once * 0, counts], axis=1))
+        lower = f"g{order - 1}" if order > 2 else "w"
+        rows += _grouped(lower, bits, grams[:, 1:], np.ones(len(grams), dtype=np.int64))
         rows.append({"kind": f"t{order}", "shard": shard, "grams": None, "counts": None, "stats": np.array(_count_classes(counts), dtype=np.int64).tobytes()})
         return _table(rows)
 
@@ -354,12 +391,41 @@ class NgramModel:
         return self.__dict__ | {"_open": OrderedDict()}
 
     def _file(self, kind: str, shard: int, name: str) -> np.ndarray:
-        at = (kind, shard, name)
-        if at not in self._open:
-            self._open[at] = np.load(f"{self.folder}/{kind}/{shard}.{name}.npy", mmap_mode="r")
+        return self._array(f"{self.folder}/{kind}/{shard}.{name}.npy")
+
+    def _array(self, path: str) -> np.ndarray:
+        if path not in self._open:
+            self._open[path] = np.load(path, mmap_mode="r")
             if len(self._open) > OPEN_FILES:
                 self._open.popitem(last=False)
-        return self._open[at]
+        return self._open[path]
+
+    def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of each word hash; small numbers for frequent words. The start token
+        has number 0, and a word not learned has the largest number there is, and count 0."""
+        distinct, places = np.unique(words, return_inverse=True)
+        found = np.full(len(distinct), ~np.uint64(0))
+        counts = np.zeros(len(distinct), dtype=np.int64)
+        for shard, part in _cut(distinct, self.bits):
+            if shard not in self.shards["v"]:
+                continue
+            at, there, own = self._find("v", shard, distinct[part])
+            counts[part][there] = own[:, 0]
+            firsts = self._array(f"{self.folder}/firsts.npy")[_levels(own[:, 0]), shard]
+            found[part][there] = firsts + self._file("v", shard, "nth")[at].astype(np.uint64)
+        found[distinct == _START] = 0
+        return found[places], counts[places]
+
+    def _find(self, kind: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of those that are there, which ones are, their counts)."""
+        at, there = _search(self._file(kind, shard, "keys"), self._file(kind, shard, "ends"), keys, self.bits)
+        at = at[there]
+        counts = self._file(kind, shard, "counts")[at].astype(np.int64)
+        large = np.flatnonzero((counts == _LARGE).any(axis=1))
+        if len(large):
+            nth = np.searchsorted(self._file(kind, shard, "places"), at[large])
+            counts[large] = self._file(kind, shard, "large")[nth]
+        return at, there, counts
 
     def look_up(self, kind: str, keys: np.ndarray, width: int = 0) -> np.ndarray:
         """Counts by key, 0 where there is none; keys are read in order, shard after shard."""
@@ -368,22 +434,14 @@ class NgramModel:
         for shard, part in _cut(distinct, self.bits):
             if shard not in self.shards.get(kind, ()):
                 continue
-            known, ends = self._file(kind, shard, "keys"), self._file(kind, shard, "ends")
-            at, there = _search(known, ends, distinct[part], self.bits)
-            at = at[there]
-            counts = self._file(kind, shard, "counts")[at].astype(np.int64)
-            large = np.flatnonzero((counts == _LARGE).any(axis=1))
-            if len(large):
-                nth = np.searchsorted(self._file(kind, shard, "places"), at[large])
-                counts[large] = self._file(kind, shard, "large")[nth]
+            _, there, counts = self._find(kind, shard, distinct[part])
             found[part][there] = counts if width else counts[:, 0]
         return found[places]
 
-    def score(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, raw count) of the last word of each n-gram after the others."""
-        words = self.look_up("w", keys_of(grams[:, -1:]), 2)
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last word of each n-gram of word numbers after the others."""
         uniform = 1.0 / (self.types + 1)
-        adjusted = words[:, 0]
+        adjusted = self.look_up("w", keys_of(grams[:, -1:]))
         own = adjusted - self.discounts[1][np.minimum(adjusted, 3)]
         chance = own / max(self.continuations, 1) + self.low_mass * uniform
         for order in range(2, self.order + 1):
@@ -393,7 +451,7 @@ class NgramModel:
             total = np.maximum(context[:, 0], 1)
             rest = np.where(context[:, 0] > 0, context[:, 1:] @ self.discounts[order][1:] / total, 1.0)
             chance = (counts - self.discounts[order][np.minimum(counts, 3)]) / total + rest * chance
-        return np.log10(chance), words[:, 1]
+        return np.log10(chance)
 
 
 @contextmanager
@@ -408,6 +466,22 @@ def _shuffles_released(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _number_words(docs: DataFrame, model: NgramModel) -> None:
+    """Count all words, and give them numbers by level of count, then shard, then hash."""
+    counted = counted_words(docs, model.bits).groupBy("shard").applyInArrow(_reduce_words(model.bits, model.folder), ROWS)
+    sizes = np.zeros((65, 1 << model.bits), dtype=np.int64)
+    for row in counted.select("shard", "stats").collect():
+        stats = np.frombuffer(bytes(row.stats), dtype=np.int64)
+        sizes[:, row.shard] = stats[:-1]
+        model.tokens += int(stats[-1])
+        model.shards.setdefault("v", set()).add(row.shard)
+    model.shards.setdefault("v", set())
+    model.types = int(sizes.sum())
+    ends = np.cumsum(sizes.ravel()).reshape(sizes.shape)
+    os.makedirs(model.folder, exist_ok=True)
+    np.save(f"{model.folder}/firsts.npy", (ends - sizes + 1).astype(np.uint64))
+
+
 def learn(docs: DataFrame, order: int = ORDER) -> NgramModel:
     """From every row of `docs` (text). Null texts count as empty ones: an end token each."""
     spark = docs.sparkSession
@@ -415,12 +489,13 @@ def learn(docs: DataFrame, order: int = ORDER) -> NgramModel:
     bits = max(2, (size // TEXT_PER_SHARD).bit_length())
     folder = mounted(work_dir(spark, "ngrams"))
     model = NgramModel(folder, order, bits)
-    rows, spent = counted_chunks(docs, order, bits), None
     paths = []
     with _shuffles_released(spark):
+        _number_words(docs, model)
+        rows, spent = counted_chunks(docs, model), None
         for level in range(order, 1, -1):
             paths.append(work_dir(spark, "ngram-rows"))
-            reduced = rows.groupBy("shard").applyInArrow(_reduce_grams(level, level == order, bits, folder), ROWS)
+            reduced = rows.groupBy("shard").applyInArrow(_reduce_grams(level, bits, folder), ROWS)
             reduced.write.partitionBy("kind").parquet(paths[-1])
             if spent:
                 remove(spark, spent)
@@ -438,10 +513,10 @@ def learn(docs: DataFrame, order: int = ORDER) -> NgramModel:
     for path in paths:
         remove(spark, path)
     model.shards = {kind: set(shards) for kind, shards in model.shards.items()}
-    model.types, model.continuations, model.tokens = int(found[0]), int(found[1]), int(found[2])
-    model.discounts[1] = discounts(found[3:7])
+    model.continuations = int(found[1])
+    model.discounts[1] = discounts(found[2:6])
     if model.continuations:
-        held_back = found[3] * model.discounts[1][1] + found[4] * model.discounts[1][2] + found[7] * model.discounts[1][3]
+        held_back = found[2] * model.discounts[1][1] + found[3] * model.discounts[1][2] + found[6] * model.discounts[1][3]
         model.low_mass = float(held_back / model.continuations)
     return model
 
@@ -461,11 +536,12 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
     def step(source):
         model = shared.value
         order = model.order
-        for batch in batches.pieces(source, DOCS_IN_HAND, "text"):
+        for batch in batches.pieces(source, DOCS_IN_HAND, "text", BYTES_IN_HAND):
             texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
             words, full = token_hashes(texts, order)
-            grams, owner = gram_columns(words, full, order)
-            logs, raw = model.score(grams)
+            numbers, counts = model.numbers(words)
+            grams, owner = gram_columns(numbers, full, order)
+            logs, raw = model.score(grams), gram_columns(counts, full, order)[0][:, -1]
             base = np.log10((raw + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             rows, tokens = len(texts), full - order + 1
             score = np.bincount(owner, logs, minlength=rows)
