@@ -428,7 +428,12 @@ class NgramModel:
         return at, there, counts
 
     def look_up(self, kind: str, keys: np.ndarray, width: int = 0) -> np.ndarray:
-        """Counts by key, 0 where there is none; keys are read in order, shard after shard."""
+        """Counts by key, 0 where there is none."""
+        found, places = self._of_distinct(kind, keys, width)
+        return found[places]
+
+    def _of_distinct(self, kind: str, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the different keys, which of these each key is); they are read in order, shard after shard."""
         distinct, places = np.unique(keys, return_inverse=True)
         found = np.zeros((len(distinct), width) if width else len(distinct), dtype=np.int64)
         for shard, part in _cut(distinct, self.bits):
@@ -436,7 +441,7 @@ class NgramModel:
                 continue
             _, there, counts = self._find(kind, shard, distinct[part])
             found[part][there] = counts if width else counts[:, 0]
-        return found[places]
+        return found, places
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last word of each n-gram of word numbers after the others."""
@@ -447,10 +452,10 @@ class NgramModel:
         for order in range(2, self.order + 1):
             part = grams[:, self.order - order :]
             counts = self.look_up(f"g{order}", keys_of(part))
-            context = self.look_up(f"c{order}", keys_of(part[:, :-1]), 4)
+            context, places = self._of_distinct(f"c{order}", keys_of(part[:, :-1]), 4)
             total = np.maximum(context[:, 0], 1)
             rest = np.where(context[:, 0] > 0, context[:, 1:] @ self.discounts[order][1:] / total, 1.0)
-            chance = (counts - self.discounts[order][np.minimum(counts, 3)]) / total + rest * chance
+            chance = (counts - self.discounts[order][np.minimum(counts, 3)]) / total[places] + rest[places] * chance
         return np.log10(chance)
 
 
