@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minutary.functions import cues, text as tx
 from minutary.operators import joins, ordering
@@ -12,6 +14,8 @@ from minutary.session import settle
 _PLACE = ["meeting_id", "turn", "pos"]
 CLOSES_AT = 0.5
 RARE_WORDS = 3
+# Scores looked for one after the other, before the least that counts.
+LEVELS = (1.0, 0.5, 0.25)
 
 LANGUAGE = "en"
 
@@ -81,33 +85,47 @@ def _word_sets(items: DataFrame) -> DataFrame:
     return items.withColumn("_words", words).withColumn("_set", F.xxhash64("_words"))
 
 
-def _closing_sets(actions: DataFrame, reports: DataFrame, least: float) -> DataFrame:
-    """(action_set, report_set, score): which wordings report which actions.
+def _rare_words(actions: DataFrame, reports: DataFrame) -> DataFrame:
+    """(word, action_set, _first, _whole, _ranked, _reach): each wording of an action under its three rarest words.
 
-    A wording of an action is looked for by its three rarest words. The score is the share of its words' weight,
-    ln(wordings / wordings with the word), that the report has too.
+    `_ranked` has its words from the rarest with their weights, ln(wordings / wordings with the word) in millionths, and
+    `_whole` is what these come to. `_reach` is the highest score of a report that has this word and none that
+    is rarer. `_first` is where the wording is used first.
     """
-    sets = lambda items: items.select("_set", "_words").distinct()
-    wanted, there = sets(actions), sets(reports)
-    every = wanted.unionByName(there).distinct()
+    every = actions.select("_set", "_words").unionByName(reports.select("_set", "_words")).distinct()
     total = every.count()
     counts = every.select("_set", F.explode("_words").alias("word")).groupBy("word").count()
     weight = F.ln(F.lit(float(total + 1)) / F.col("count"))
-    of_actions = wanted.select("_set", F.explode("_words").alias("word")).join(counts, "word")
-    ranked = of_actions.groupBy("_set").agg(
-        F.array_sort(F.collect_list(F.struct("count", "word"))).alias("_ranked"), F.sum(weight).alias("_whole")
-    )
-    keys = ranked.select(F.col("_set").alias("action_set"), F.inline(F.slice("_ranked", 1, RARE_WORDS))).drop("count")
-    of_reports = there.select(F.col("_set").alias("report_set"), F.explode("_words").alias("word"))
-    met = keys.join(of_reports, "word").select("action_set", "report_set").distinct()
-    shared = (
-        met.join(of_actions.select(F.col("_set").alias("action_set"), "word", weight.alias("w")), "action_set")
-        .join(of_reports, ["report_set", "word"])
-        .groupBy("action_set", "report_set").agg(F.sum(F.round(F.col("w") * 1_000_000).cast("long")).alias("_w"))
+    wanted = actions.groupBy("_set", "_words").agg(F.min("opened_at").alias("_first"))
+    each = wanted.select("_set", "_first", F.explode("_words").alias("word")).join(counts, "word")
+    part = F.round(weight * 1_000_000).cast("long")
+    ranked = each.groupBy(F.col("_set").alias("action_set"), "_first").agg(
+        F.array_sort(F.collect_list(F.struct("count", "word", part.alias("w")))).alias("_ranked"), F.sum(weight).alias("_whole")
     )
-    whole = ranked.select(F.col("_set").alias("action_set"), "_whole")
-    score = tx.rounded(F.col("_w") / 1_000_000 / F.col("_whole"), 4)
-    return shared.join(whole, "action_set").select("action_set", "report_set", score.alias("score")).filter(F.col("score") >= least)
+    keys = ranked.select("*", F.posexplode(F.slice("_ranked", 1, RARE_WORDS)).alias("_at", "_key"))
+    left = F.slice("_ranked", F.col("_at") + 1, F.size("_ranked"))
+    return keys.select(F.col("_key.word").alias("word"), "action_set", "_first", "_whole", "_ranked", _score(left).alias("_reach"))
+
+
+def _score(shared: Column) -> Column:
+    """The share of an action's weight that some of its words have."""
+    sum_of = F.aggregate(shared, F.lit(0).cast("long"), lambda so_far, each: so_far + each["w"])
+    return tx.rounded(sum_of / 1_000_000 / F.col("_whole"), 4)
+
+
+def _best_wordings(keys: DataFrame, reports: DataFrame, least: float) -> DataFrame:
+    """(action_set, report, told_at, score): the earlier wordings with the highest score for a report, if it is `least` or more.
+
+    Wordings meet under a word with all that the score needs, so only pairs that reach `least` leave the join.
+    """
+    there = reports.select(F.col("_set").alias("report_set"), "_words").distinct()
+    met = keys.filter(F.col("_reach") >= least).join(there.select("*", F.explode("_words").alias("word")), "word")
+    shared = F.filter("_ranked", lambda each: F.array_contains("_words", each["word"]))
+    pairs = met.select("action_set", "_first", "report_set", _score(shared).alias("score")).filter(F.col("score") >= least)
+    asking = reports.select(F.col("item_id").alias("report"), F.col("_set").alias("report_set"), "told_at").join(pairs, "report_set")
+    by_score = Window.partitionBy("report").orderBy(F.desc("score"))
+    ranked = asking.filter("_first < told_at").withColumn("_rank", F.rank().over(by_score))
+    return ranked.filter("_rank = 1").select("action_set", "report", "told_at", "score").distinct()
 
 
 def closed_items(items: DataFrame, opening: str = "action", closing: str = "done", least: float = CLOSES_AT) -> DataFrame:
@@ -117,18 +135,25 @@ def closed_items(items: DataFrame, opening: str = "action", closing: str = "done
     A report closes one item: of the earlier ones whose wording it shares to at least `least`, the one with the highest
     score, of these the latest, and then the smallest id. Only wordings are matched, so a wording
     used very often is one, and of its items the latest before the report is found in order, without pairs.
+    A wording of an action is looked for by its three rarest words; the score is the share of its words' weight,
+    ln(wordings / wordings with the word), that the report has too. High scores are looked for first: they need
+    fewer and rarer words, and a report that has found one is not looked at again.
     Items without a meeting or turn stay open and close nothing; sentences without words match nothing.
     """
     placed = _word_sets(items.filter("meeting_id IS NOT NULL AND turn IS NOT NULL AND pos IS NOT NULL"))
     at = lambda late: F.struct(*_PLACE, F.lit(late).alias("late"))
     actions = settle(placed.filter(F.col("kind") == opening).select("item_id", "_set", "_words", at(1).alias("opened_at")))
     reports = settle(placed.filter(F.col("kind") == closing).select("item_id", "_set", "_words", at(0).alias("told_at")))
-    pairs = settle(_closing_sets(actions, reports, least))
-    asking = reports.select(F.col("item_id").alias("report"), F.col("_set").alias("report_set"), "told_at").join(pairs, "report_set")
+    keys, found = settle(_rare_words(actions, reports)), []
+    waiting = reports
+    for level in [*(level for level in LEVELS if level > least), least]:
+        found.append(settle(_best_wordings(keys, waiting, level)))
+        waiting = settle(waiting.join(found[-1].select(F.col("report").alias("item_id")), "item_id", "left_anti"))
+    asking = reduce(DataFrame.unionByName, found)
     # One mark per wording and place: of several the smallest id.
     marks = actions.groupBy(F.col("_set").alias("action_set"), "opened_at").agg(F.min("item_id").alias("closes"))
     latest = joins.latest_before(
-        asking.select("action_set", "report", "told_at", "score"), marks, at="told_at", row_id="report",
+        asking, marks, at="told_at", row_id="report",
         mark_at="opened_at", mark_id="closes", values=["closes", "opened_at"], keys=["action_set"],
     ).filter("closes IS NOT NULL")
     order = [F.desc("score"), F.desc("opened_at"), F.col("closes")]

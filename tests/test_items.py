@@ -7,6 +7,7 @@ import pytest
 
 from minutary.functions import cues
 from minutary.operators import items, shaping
+from minutary.session import settle
 
 CUES = "kind string, lang string, pattern string"
 ITEMS = "item_id string, meeting_id long, turn long, pos int, kind string, sentence string, note string"
@@ -105,3 +106,21 @@ def test_closing_equals_all_pairs(spark, rows, seed):
         told.append((f"i{n:03}", rng.randrange(4), n // 2, n % 2, rng.choice(["action", "done"]), sentence))
     frame = spark.createDataFrame([(*row, "x") for row in told], ITEMS)
     assert rows(items.closed_items(frame), "item_id", "closed_by") == plain_closed(told)
+
+
+def test_closing_writes_no_pairs_of_wordings(spark, rows, monkeypatch):
+    """A tenth of the actions and reports have one word of three in common, which makes 200 x 20 pairs of score 0.1 and more."""
+    own = lambda n: "own" + "abcdefghijklmnopqrst"[n // 20] + "abcdefghijklmnopqrst"[n % 20]
+    told = [(f"a{n:03}", 1, n, 0, "action", f"topic{'abcdefghij'[n % 10]} {own(n)} more{own(n)}") for n in range(200)]
+    told += [(f"d{n:03}", 2, n, 0, "done", f"topic{'abcdefghij'[n % 10]} {own(n)} told{own(n)}") for n in range(200)]
+    written = []
+
+    def counted(df, path=None):
+        kept = settle(df, path)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(items, "settle", counted)
+    found = rows(items.closed_items(spark.createDataFrame([(*row, "x") for row in told], ITEMS), least=0.1), "item_id", "closed_by")
+    assert found == [(f"a{n:03}", f"d{n:03}") for n in range(200)]
+    assert max(written) <= 3 * 200
