@@ -12,68 +12,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from minutary.functions import text as tx
 from minutary.operators.groups import groups
 from minutary.session import settle
 
 SHINGLE_WORDS = 5
+# Odd numbers by which the hashes of a run's words are added up.
+FACTORS = np.random.default_rng(5).integers(1, 1 << 63, size=SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
 THRESHOLD = 0.8
 # A pair at 0.8 agrees in some band with a chance of 0.992, at 0.85 of 0.9998.
 BANDS, ROWS_PER_BAND = 26, 8
-VALUES_AT_ONCE = 1 << 20
+# Texts whose words fit in a processor's cache together.
+VALUES_AT_ONCE = 1 << 15
 # More than rounding can move a distance.
 SLACK = 1e-9
 BUCKET = ["band", "value"]
 
 
-def shingles(words: Column) -> Column:
-    """The different runs of five words, hashed; of fewer words, all of them as one run."""
-    runs = F.when(F.size(words) >= SHINGLE_WORDS, tx.phrase_list(words, SHINGLE_WORDS)).when(
-        F.size(words) > 0, F.array(F.array_join(words, " "))
-    )
-    return F.array_distinct(F.transform(F.coalesce(runs, F.array().cast("array<string>")), lambda run: F.xxhash64(run)))
+def _runs(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of five words of each text, hashed, and how many it has; of fewer words, all of them are one run."""
+    sizes = words.value_lengths().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(owner))
+    hashes = np.append(words.flatten().to_numpy().view(np.uint64), np.zeros(SHINGLE_WORDS, dtype=np.uint64))
+    values = (sizes[owner] * (sizes[owner] < SHINGLE_WORDS)).astype(np.uint64)
+    for ahead, factor in enumerate(FACTORS):
+        values += hashes[ahead : ahead + len(owner)] * factor * (left > ahead)
+    opens = (left >= SHINGLE_WORDS) | ((sizes[owner] < SHINGLE_WORDS) & (left == sizes[owner]))
+    values, owner = values[opens], owner[opens]
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[first], np.bincount(owner[first], minlength=len(sizes))
+
+
+def _bands(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bands of each set: hashes of the smallest values under several mixings. Empty sets have zeros."""
+    mixers = np.random.default_rng(1).integers(1, 1 << 63, size=(BANDS * ROWS_PER_BAND, 2), dtype=np.uint64) | np.uint64(1)
+    bands, filled = np.zeros((len(sizes), BANDS), dtype=np.uint64), sizes > 0
+    if not filled.any():
+        return bands.view(np.int64)
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    own, mixed, shifted = bands[filled], np.empty_like(values), np.empty_like(values)
+    for at, (by, plus) in enumerate(mixers):
+        np.multiply(values, by, out=mixed)
+        np.add(mixed, plus, out=mixed)
+        np.right_shift(mixed, np.uint64(31), out=shifted)
+        np.bitwise_xor(mixed, shifted, out=mixed)
+        np.multiply(mixed, by, out=mixed)
+        band = at // ROWS_PER_BAND
+        own[:, band] = (own[:, band] ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+        own[:, band] ^= own[:, band] >> np.uint64(29)
+    bands[filled] = own
+    return bands.view(np.int64)
+
+
+def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that about VALUES_AT_ONCE entries of a list column are in each."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy().astype(np.int64)) // VALUES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), batch.num_rows]
+        yield from (batch.slice(start, end - start) for start, end in zip(cuts, cuts[1:]) if end > start)
 
 
-def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, id) and (id, runs): each document's text, which goes by the smallest document that has
-    the same words, and the runs of each different text. Written out."""
-    words = docs.filter("doc_id IS NOT NULL").select("doc_id", tx.word_list(F.coalesce("text", F.lit(""))).alias("words"))
-    keyed = settle(words.select("doc_id", F.sha2(F.array_join("words", " "), 256).alias("key"), shingles(F.col("words")).alias("runs")))
-    named = keyed.groupBy("key").agg(F.min("doc_id").alias("id"))
-    members = keyed.select("doc_id", "key").join(named, "key").select("doc_id", "id").distinct()
-    # Of equal texts one row is enough; they differ in nothing but the id.
-    runs = keyed.join(named.withColumnRenamed("id", "doc_id"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    return members, settle(runs.select(F.col("doc_id").alias("id"), "key", "runs"))
+def _signatures(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ("id", "size")) -> Iterator[pa.RecordBatch]:
+    """Sets of runs with their bands."""
+    for piece in _pieces(batches, "runs"):
+        sizes = piece.column("runs").value_lengths().to_numpy()
+        bands = _bands(piece.column("runs").flatten().to_numpy().view(np.uint64), sizes)
+        columns = [*(piece.column(name) for name in keep), _listed(bands.ravel(), np.full(len(sizes), BANDS))]
+        yield pa.RecordBatch.from_arrays(columns, [*keep, "bands"])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bands of each set: hashes of the smallest values under several mixings."""
-    mixers = np.random.default_rng(1).integers(1, 1 << 63, size=(BANDS * ROWS_PER_BAND, 2), dtype=np.uint64) | np.uint64(1)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, given by the hashes of their words, with their runs and bands."""
 
-    def of(runs: pa.ListArray) -> np.ndarray:
-        starts = np.append(0, np.cumsum(runs.value_lengths().to_numpy())[:-1])
-        values = runs.flatten().to_numpy().view(np.uint64)
-        bands = np.zeros((len(runs), BANDS), dtype=np.uint64)
-        for at, (by, plus) in enumerate(mixers):
-            mixed = values * by + plus
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * by
-            band = at // ROWS_PER_BAND
-            bands[:, band] = (bands[:, band] ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            bands[:, band] ^= bands[:, band] >> np.uint64(29)
-        return bands.view(np.int64)
+    def with_runs() -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches, "words"):
+            values, sizes = _runs(piece.column("words"))
+            columns = [piece.column("id"), piece.column("key"), pa.array(sizes.astype(np.int32)), _listed(values, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "size", "runs"])
 
-    for batch in batches:
-        ends = np.cumsum(batch.column("runs").value_lengths().to_numpy()) // VALUES_AT_ONCE
-        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), batch.num_rows]
-        for start, end in zip(cuts, cuts[1:]):
-            piece = batch.slice(start, end - start)
-            if piece.num_rows:
-                bands = of(piece.column("runs"))
-                offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
-                columns = [piece.column("id"), piece.column("size"), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "bands"])
+    return _signatures(with_runs(), ("id", "key", "size", "runs"))
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id) and (id, key, size, runs, bands): each document's text, which goes by the smallest document that has
+    the same words, and the runs of each different text. What both are read from is written out."""
+    words = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), tx.word_list(F.coalesce("text", F.lit(""))).alias("said"))
+    hashed = words.select("id", F.sha2(F.array_join("said", " "), 256).alias("key"), F.transform("said", lambda word: F.xxhash64(word)).alias("words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = settle(hashed.mapInArrow(_signed, f"id {kind}, key string, size int, runs array<long>, bands array<long>"))
+    named = keyed.groupBy("key").agg(F.min("id").alias("id"))
+    members = keyed.select(F.col("id").alias("doc_id"), "key").join(named, "key").select("doc_id", "id").distinct()
+    # Of equal texts one row is enough; they differ in nothing but the id.
+    return members, keyed.join(named, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
 
 
 def _similar(pairs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -130,11 +170,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other columns are not looked at.
     """
     members, runs = _texts(docs)
-    filled = runs.filter(F.size("runs") > 0).select("id", "runs", F.size("runs").alias("size"))
-    signed = filled.mapInArrow(_signatures, "id long, size int, bands array<long>")
-    every = signed.select("id", "size", F.posexplode("bands").alias("band", "value"))
+    every = settle(runs.filter("size > 0").select("id", "size", F.posexplode("bands").alias("band", "value")))
     crowded = every.groupBy(*BUCKET).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     shared = settle(every.join(crowded, BUCKET, "left_semi").withColumn("alone", F.lit(True)))
+    # The runs of texts that share no bucket are not needed.
+    filled = settle(runs.select("id", "runs").join(shared.select("id").distinct(), "id", "left_semi"))
     first, compared = _with_distance(_hub_pairs(shared, 1), filled, "d1")
     open_now = first.drop("hub").withColumn("alone", F.col("d1") > 1 - threshold + SLACK)
     second, compared_too = _with_distance(_hub_pairs(open_now, 2), filled, "d2")

@@ -115,3 +115,19 @@ def test_a_large_group_is_not_paired_with_itself(make_docs):
     members = signed.selectExpr("id", "size", "posexplode(bands) AS (band, value)").selectExpr("*", "true AS alone")
     first, compared = copies._with_distance(copies._hub_pairs(members, 1), filled, "d1")
     assert compared.count() < 300 * copies.BANDS * 3
+
+
+def test_only_texts_that_share_a_bucket_are_compared(make_docs, monkeypatch):
+    rng, sets = random.Random(11), []
+    rows = [(n, prose(rng, 60)) for n in range(50)]
+    rows += [(50, edited(rng, rows[0][1], 1))]
+    plain = copies._similar
+
+    def counted(pairs, runs):
+        sets.append(runs.count())
+        return plain(pairs, runs)
+
+    monkeypatch.setattr(copies, "_similar", counted)
+    found = {row.doc_id: row.group_id for row in copies.near_copies(make_docs(rows)).collect()}
+    assert found == {**{n: n for n in range(50)}, 50: 0}
+    assert max(sets) <= 2
