@@ -22,6 +22,8 @@ from minutary.session import settle
 THRESHOLD = 0.1
 CHUNK_ROWS = 256
 WORDS_AT_ONCE = 1 << 13
+# Fewer rows than this under a word are compared together with other words' rows, without a matrix.
+FEW_ROWS = 32
 _SENTENCE = ["meeting_id", "turn", "pos"]
 
 
@@ -67,7 +69,7 @@ def _overlaps(owner: np.ndarray, word: np.ndarray, rows: int) -> np.ndarray:
     _, column = np.unique(word, return_inverse=True)
     for start in range(0, int(column.max(initial=-1)) + 1, WORDS_AT_ONCE):
         own = (column >= start) & (column < start + WORDS_AT_ONCE)
-        block = np.zeros((rows, WORDS_AT_ONCE), dtype=np.float32)
+        block = np.zeros((rows, min(WORDS_AT_ONCE, int(column.max()) + 1 - start)), dtype=np.float32)
         block[owner[own], column[own] - start] = 1
         found += block @ block.T
     return found.astype(np.int64)
@@ -93,6 +95,55 @@ def _degrees(run: pa.Table, threshold: float) -> np.ndarray:
     return like @ run.column("weight").to_numpy()
 
 
+def _few_degrees(run: pa.Table, sizes_of: np.ndarray, threshold: float) -> np.ndarray:
+    """What `_degrees` gives, for runs of few rows, `sizes_of` each, one after the other: every two rows of a run have a place in
+    one array, and each word that they share adds to it."""
+    group = np.repeat(np.arange(len(sizes_of)), sizes_of)
+    starts, rows = np.cumsum(sizes_of) - sizes_of, np.arange(len(group))
+    within_group, bases = rows - starts[group], np.cumsum(sizes_of**2) - sizes_of**2
+    sizes = run.column("words").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    owner = np.repeat(rows, sizes)
+    word = run.column("words").combine_chunks().flatten().to_numpy()
+    rarity = run.column("rarities").combine_chunks().flatten().to_numpy()
+    own_rarity, own_word = run.column("rarity").to_numpy()[owner], run.column("word").to_numpy()[owner]
+    rarer = (rarity < own_rarity) | ((rarity == own_rarity) & (word < own_word))
+    order = np.lexsort((word, group[owner]))
+    owner, word, rarer = owner[order], word[order], rarer[order]
+    opens = np.ones(len(owner), dtype=bool)
+    opens[1:] = (word[1:] != word[:-1]) | (group[owner[1:]] != group[owner[:-1]])
+    at = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    many = np.diff(np.append(first, len(owner)))
+    # Each entry with all entries of its word and run.
+    left = np.repeat(np.arange(len(owner)), many[at])
+    right = np.arange(len(left)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + first[at[left]]
+    a, b = owner[left], owner[right]
+    pair = bases[group[a]] + within_group[a] * sizes_of[group[a]] + within_group[b]
+    places = int((sizes_of**2).sum())
+    common = np.bincount(pair, minlength=places)
+    earlier = np.bincount(pair[rarer[left]], minlength=places)
+    row = np.repeat(rows, sizes_of[group])
+    other = np.arange(places) - bases[group[row]] - within_group[row] * sizes_of[group[row]] + starts[group[row]]
+    like = (earlier == 0) & (common / (sizes[row] + sizes[other] - common) >= threshold)
+    chunk = run.column("chunk").to_numpy()
+    like &= np.where(run.column("within").to_numpy()[row], row != other, chunk[row] != chunk[other])
+    found = np.zeros(len(rows), dtype=np.int64)
+    np.add.at(found, row[like], run.column("weight").to_numpy()[other[like]])
+    return found
+
+
+def _all_degrees(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The degrees of all runs of a table, which end at `cuts`."""
+    sizes = np.diff(np.append(0, cuts))
+    few = np.repeat(sizes < FEW_ROWS, sizes)
+    parts = [(table.slice(end - size, size), None) for end, size in zip(cuts, sizes) if size >= FEW_ROWS]
+    if few.any():
+        parts.append((table.filter(pa.array(few)), sizes[sizes < FEW_ROWS]))
+    for run, of in parts:
+        degrees = _degrees(run, threshold) if of is None else _few_degrees(run, of, threshold)
+        yield pa.RecordBatch.from_arrays([run.column("set_id").combine_chunks(), pa.array(degrees, pa.int64())], ["set_id", "degree"])
+
+
 def sentence_degrees(turns: DataFrame, threshold: float = THRESHOLD, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(meeting_id, turn, pos, degree): how many other sentences of the meeting have word sets of a Jaccard
     similarity of at least `threshold`, which is above 0.
@@ -104,22 +155,18 @@ def sentence_degrees(turns: DataFrame, threshold: float = THRESHOLD, chunk_rows:
     pairs = _chunk_pairs(_first_words(sets, threshold), chunk_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(table: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [table.column("set_id").combine_chunks(), pa.array(_degrees(table, threshold), pa.int64())], ["set_id", "degree"]
-            )
-
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]) if held is not None else table
-            keys = np.array(table.column("pair").to_pylist(), dtype=object)
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
-            for start, end in zip(cuts, cuts[1:]):
-                yield counted(table.slice(start, end - start))
-            held = table.slice(cuts[-1])
+            keys = table.column("pair").combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if len(cuts):
+                yield from _all_degrees(table.slice(0, cuts[-1]), cuts, threshold)
+                table = table.slice(cuts[-1])
+            held = table
         if held is not None and held.num_rows:
-            yield counted(held)
+            yield from _all_degrees(held, np.array([held.num_rows]), threshold)
 
     degrees = pairs.mapInArrow(run, "set_id binary, degree long").groupBy("set_id").agg(F.sum("degree").alias("degree"))
     alike = sets.groupBy("set_id").agg(F.count("*").alias("_same"))

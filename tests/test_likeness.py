@@ -50,3 +50,10 @@ def test_best_linked_first(make_turns):
     talk = [(1, 1, "a", "red green. blue red"), (1, 2, "b", "green blue red"), (1, 3, "b", "pink")]
     best = likeness.linked_sentences(make_turns(*talk), 2, 0.5).orderBy("place").collect()
     assert [(row.turn, row.pos, row.degree, row.sentence) for row in best] == [(2, 0, 2, "green blue red"), (1, 0, 1, "red green")]
+
+
+def test_rare_words_take_no_matrix(make_turns, rows, monkeypatch):
+    """Few sentences under a word are compared with those of other words at once, and give the same degrees."""
+    monkeypatch.setattr(likeness, "_overlaps", None)
+    talk = [row for row in rows_of(7) if row[0] != 1][:20]
+    assert rows(likeness.sentence_degrees(make_turns(*talk), 0.3), "meeting_id", "turn", "pos", "degree") == plain(talk, 0.3)
