@@ -27,6 +27,8 @@ BUCKET = 0.125
 PLACES = 6
 # More than rounding can move a cosine.
 SLACK = 2e-6
+# Above so many times k entries a row, the k best are picked before they are put in order.
+MANY = 64
 
 _BEST = pa.list_(pa.struct([("related_id", pa.int64()), ("cosine", pa.float64())]))
 _RANGES = pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
@@ -86,6 +88,23 @@ def _rounded(cosines: np.ndarray) -> np.ndarray:
     return np.round(cosines, PLACES) + 0.0
 
 
+def _better(ids: np.ndarray, cosines: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own id, id, rounded cosine) of what `k_best` gives. Only entries that can reach `least`, as a rule few, are rounded and ranked."""
+    near = cosines >= (least - SLACK)[:, None]
+    if np.count_nonzero(near) > MANY * k * len(own):
+        cosines = _rounded(cosines)
+        row, column = k_best(ids, cosines, own, k, least)
+        return own[row], ids[column], cosines[row, column]
+    row, column = np.nonzero(near)
+    rounded = _rounded(cosines[row, column])
+    kept = (rounded >= least[row]) & (ids[column] != own[row])
+    row, column, rounded = row[kept], column[kept], rounded[kept]
+    order = np.lexsort((ids[column], -rounded, row))
+    row, column, rounded = row[order], column[order], rounded[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return own[row[first]], ids[column[first]], rounded[first]
+
+
 def _block(number: int, cell: int, rows: pa.Table, pivots: np.ndarray, k: int) -> pa.RecordBatch:
     """The rows of a block, and what those that ask find in it."""
     dims = pivots.shape[1]
@@ -222,11 +241,8 @@ def _compare(k: int, dims: int):
                 for at in range(0, part.num_rows, ASKED_AT_ONCE):
                     asking = part.slice(at, ASKED_AT_ONCE)
                     who = asking.column("vec_id").to_numpy()
-                    cosines = _rounded(_unpacked(asking.column("unit"), dims) @ units.T)
-                    row, column = k_best(ids, cosines, who, k, asking.column("least").to_numpy())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(who[row]), pa.array(ids[column]), pa.array(cosines[row, column])], ["vec_id", "related_id", "cosine"]
-                    )
+                    found = _better(ids, _unpacked(asking.column("unit"), dims) @ units.T, who, k, asking.column("least").to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(each) for each in found], ["vec_id", "related_id", "cosine"])
 
     return run
 

@@ -70,3 +70,18 @@ def test_far_clusters_are_skipped(make_vectors):
     blocks = placed.select("block").distinct().count()
     groups = placed.select("asking").distinct().count()
     assert related.open_pairs(placed).count() < 0.25 * groups * (blocks - 1)
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.0, 0.3])
+def test_only_entries_that_can_be_best_are_rounded(monkeypatch, least):
+    rng = np.random.default_rng(5)
+    cosines, ids = np.round(rng.uniform(-1, 1, size=(20, 4000)), 2), rng.permutation(4000)
+    own, lowest = ids[:20], np.full(20, least)
+    lowest[:15] = 0.99
+    rounded, plain_rounded = [], related._rounded
+    monkeypatch.setattr(related, "_rounded", lambda values: rounded.append(values.size) or plain_rounded(values))
+    row, column = related.k_best(ids, plain_rounded(cosines), own, 4, lowest)
+    found = related._better(ids, cosines, own, 4, lowest)
+    assert [list(each) for each in found] == [list(own[row]), list(ids[column]), list(cosines[row, column])]
+    related._better(ids, cosines, own, 4, np.full(20, 0.99))
+    assert rounded[-1] < 0.02 * cosines.size
