@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from minutary.operators import likeness
@@ -52,8 +54,21 @@ def test_best_linked_first(make_turns):
     assert [(row.turn, row.pos, row.degree, row.sentence) for row in best] == [(2, 0, 2, "green blue red"), (1, 0, 1, "red green")]
 
 
-def test_rare_words_take_no_matrix(make_turns, rows, monkeypatch):
-    """Few sentences under a word are compared with those of other words at once, and give the same degrees."""
+def test_rare_words_take_no_matrix(monkeypatch):
+    """Rows of several words, few of each, are compared at once, as one word after the other with matrices gives it."""
+    rng, rarity, rows, cuts = random.Random(7), [1 + n % 5 for n in range(30)], [], []
+    for group in range(40):
+        key, within = rng.randrange(30), group % 2 == 0
+        for chunk in sorted(rng.randrange(1 if within else 2) for _ in range(rng.randrange(1, 12))):
+            words = sorted({key, *(rng.randrange(30) for _ in range(rng.randrange(8)))}, key=lambda word: (rarity[word], word))
+            rows.append({
+                "within": within, "chunk": chunk, "set_id": bytes([len(rows) % 256]), "weight": rng.randrange(1, 4),
+                "rarities": [rarity[word] for word in words], "words": words, "rarity": rarity[key], "word": key,
+            })
+        cuts.append(len(rows))
+    table = pa.Table.from_pylist(rows)
+    wanted = [degree for start, end in zip([0, *cuts], cuts) for degree in likeness._degrees(table.slice(start, end - start), 0.3)]
     monkeypatch.setattr(likeness, "_overlaps", None)
-    talk = [row for row in rows_of(7) if row[0] != 1][:20]
-    assert rows(likeness.sentence_degrees(make_turns(*talk), 0.3), "meeting_id", "turn", "pos", "degree") == plain(talk, 0.3)
+    found = [degree for part in likeness._all_degrees(table, np.array(cuts), 0.3) for degree in part.column("degree").to_pylist()]
+    assert found == wanted
+    assert any(found)
