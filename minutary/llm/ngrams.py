@@ -4,8 +4,8 @@ Words are counted and numbered first, frequent ones low, so that sorted n-grams
 Tasks combine n-grams of their texts before anything is shuffled, so a frequent n-gram is one
 record per task and chunk. Records go to shards by a hash of the whole n-gram, which spreads a
 frequent context over all of them. Each shard is written to the shared folder as sorted arrays of
-hashes with their counts; scoring tasks map these files into memory and look tokens up in
-order of hash. The model grows with the corpus, and no task holds more than a shard.
+hashes with their counts, in one file per kind; scoring tasks map these files into memory and look
+the different n-grams of many texts up in order of hash. The model grows with the corpus, and no task holds more than a shard.
 
 Words are `batches.words_of`; every text ends with one end token, which counts as a token, and is
 preceded by start tokens, which do not.
@@ -13,9 +13,9 @@ preceded by start tokens, which do not.
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
-from collections import OrderedDict
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
@@ -30,9 +30,12 @@ ORDER = 3
 TEXT_PER_SHARD = 16 << 20
 TOKENS_PER_CHUNK = 1_500_000
 DOCS_IN_HAND, BYTES_IN_HAND = 1024, 4 << 20
+# Every shard is searched once for the texts scored together.
+DOCS_SCORED, BYTES_SCORED = 4096, 6 << 20
 OPEN_FILES = 1024
 KEYS_PER_BUCKET = 16
 _KNOWN_BITS, _LARGE = 16, 255
+_ARRAYS = ("ends", "keys", "counts", "places", "large", "nth")
 # No word holds white space, so these texts stand for no word.
 _END, _START = (np.uint64(h) for h in (0x656E64206F662074, 0x7374617274206F66))
 ROWS = "kind string, shard int, grams binary, counts binary, stats binary"
@@ -68,8 +71,12 @@ def gram_columns(words: np.ndarray, full: np.ndarray, order: int) -> tuple[np.nd
 
 def keys_of(grams: np.ndarray) -> np.ndarray:
     """One 64-bit hash per row of words."""
-    key = np.full(len(grams), grams.shape[1] + 1, dtype=np.uint64)
-    for column in grams.T:
+    return _keys_of_columns(list(grams.T))
+
+
+def _keys_of_columns(columns: list[np.ndarray]) -> np.ndarray:
+    key = np.full(len(columns[0]), len(columns) + 1, dtype=np.uint64)
+    for column in columns:
         key = (key ^ column) * hashing.P1
         key ^= key >> np.uint64(29)
         key *= hashing.P2
@@ -129,10 +136,42 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, index of the row of each); equal ones keep their order.
+
+    Numpy sorts numbers several times faster than places by numbers. So the first bits of the keys
+    are sorted, with the place in the bits after them. Hashes that differ in later bits only are rare,
+    and put in order afterwards.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    packed = keys >> bits << bits
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << int(bits)) - 1)
+    order = packed.view(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
+        firsts = found >> bits
+        for first in np.unique(firsts[wrong]):
+            run = slice(*np.searchsorted(firsts, np.array([first, first + np.uint64(1)], dtype=np.uint64)))
+            order[run] = order[run][np.argsort(keys[order[run]], kind="stable")]
+        found = keys[order]
+    return found, order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys in order, index of one row for each, which of these each key is)."""
+    found, order = _sorted(keys)
+    starts = batches.run_starts(found)
+    places = np.empty(len(keys), dtype=np.int64)
+    places[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    return found[starts], order[starts], places
+
+
 def _combined(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """(keys in order, index of one row for each, sums of the values)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, order = _sorted(keys)
     starts = batches.run_starts(keys) if len(keys) else np.zeros(0, dtype=np.int64)
     sums = [np.add.reduceat(value[order], starts, axis=0) if len(keys) else value for value in values]
     return keys[starts], order[starts], *sums
@@ -226,11 +265,11 @@ def _chunks(source, made_of):
 
 
 def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, counts: np.ndarray, **more: np.ndarray) -> None:
-    """A shard's sorted keys and counts (a column for each figure), as arrays to be mapped.
+    """A shard's sorted keys and counts (a column for each figure), as arrays in one file to be mapped.
 
     The first bits of a key follow from its shard and its bucket, so of each key the last 48
     are kept. Counts are bytes; those of 255 and more stand in a short list by place.
-    Files have a name of their own first: a second attempt of a task replaces whole files.
+    A file has a name of its own first: a second attempt of a task replaces the whole file.
     """
     buckets = max(_KNOWN_BITS - bits, (len(keys) // KEYS_PER_BUCKET).bit_length())
     firsts = np.arange(1 << buckets, dtype=np.uint64)
@@ -245,11 +284,31 @@ def _save(folder: str, kind: str, shard: int, bits: int, keys: np.ndarray, count
         "large": counts[large],
         **more,
     }
+    head = np.zeros((len(_ARRAYS), 3), dtype=np.int64)
+    for at, array in enumerate(arrays.get(name, np.zeros(0, dtype=np.uint8)) for name in _ARRAYS):
+        head[at] = len(array), array.itemsize, array.shape[1] if array.ndim > 1 else 0
     os.makedirs(f"{folder}/{kind}", exist_ok=True)
-    for name, array in arrays.items():
-        draft = f"{folder}/{kind}/.{uuid.uuid4().hex}.npy"
-        np.save(draft, np.ascontiguousarray(array))
-        os.replace(draft, f"{folder}/{kind}/{shard}.{name}.npy")
+    draft = f"{folder}/{kind}/.{uuid.uuid4().hex}"
+    with open(draft, "wb") as file:
+        file.write(head.tobytes())
+        for name in _ARRAYS:
+            if name in arrays:
+                raw = np.ascontiguousarray(arrays[name]).tobytes()
+                file.write(raw + bytes(-len(raw) % 8))
+    os.replace(draft, f"{folder}/{kind}/{shard}.arrays")
+
+
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file that `_save` wrote."""
+    with open(path, "rb") as file:
+        raw = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    found, at = {}, 24 * len(_ARRAYS)
+    for name, (length, size, width) in zip(_ARRAYS, np.frombuffer(raw, dtype=np.int64, count=3 * len(_ARRAYS)).reshape(-1, 3).tolist()):
+        found[name] = np.frombuffer(raw, dtype=f"<u{size}", count=length * max(width, 1), offset=at)
+        if width:
+            found[name] = found[name].reshape(length, width)
+        at += -(-found[name].nbytes // 8) * 8
+    return found
 
 
 def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -385,25 +444,33 @@ class NgramModel:
         self.discounts: dict[int, np.ndarray] = {}
         self.types = self.tokens = self.continuations = 0
         self.low_mass = 1.0
-        self._open: OrderedDict = OrderedDict()
+        self._open: dict = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": OrderedDict()}
-
-    def _file(self, kind: str, shard: int, name: str) -> np.ndarray:
-        return self._array(f"{self.folder}/{kind}/{shard}.{name}.npy")
-
-    def _array(self, path: str) -> np.ndarray:
-        if path not in self._open:
-            self._open[path] = np.load(path, mmap_mode="r")
-            if len(self._open) > OPEN_FILES:
-                self._open.popitem(last=False)
-        return self._open[path]
+        return self.__dict__ | {"_open": {}}
+
+    def _file(self, kind: str, shard: int) -> dict[str, np.ndarray]:
+        """Shards are read in turn, so the first files opened stay open and the others are opened each time."""
+        if (kind, shard) in self._open:
+            return self._open[kind, shard]
+        found = _mapped(f"{self.folder}/{kind}/{shard}.arrays")
+        if len(self._open) < OPEN_FILES:
+            self._open[kind, shard] = found
+        return found
+
+    def _firsts(self) -> np.ndarray:
+        if "firsts" not in self._open:
+            self._open["firsts"] = np.load(f"{self.folder}/firsts.npy", mmap_mode="r")
+        return self._open["firsts"]
 
     def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each word hash; small numbers for frequent words. The start token
         has number 0, and a word not learned has the largest number there is, and count 0."""
-        distinct, places = np.unique(words, return_inverse=True)
+        distinct, _, places = _distinct(words)
+        found, counts = self._numbers_of(distinct)
+        return found[places], counts[places]
+
+    def _numbers_of(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.full(len(distinct), ~np.uint64(0))
         counts = np.zeros(len(distinct), dtype=np.int64)
         for shard, part in _cut(distinct, self.bits):
@@ -411,52 +478,62 @@ class NgramModel:
                 continue
             at, there, own = self._find("v", shard, distinct[part])
             counts[part][there] = own[:, 0]
-            firsts = self._array(f"{self.folder}/firsts.npy")[_levels(own[:, 0]), shard]
-            found[part][there] = firsts + self._file("v", shard, "nth")[at].astype(np.uint64)
+            found[part][there] = self._firsts()[_levels(own[:, 0]), shard] + self._file("v", shard)["nth"][at].astype(np.uint64)
         found[distinct == _START] = 0
-        return found[places], counts[places]
+        return found, counts
 
     def _find(self, kind: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of those that are there, which ones are, their counts)."""
-        at, there = _search(self._file(kind, shard, "keys"), self._file(kind, shard, "ends"), keys, self.bits)
+        file = self._file(kind, shard)
+        at, there = _search(file["keys"], file["ends"], keys, self.bits)
         at = at[there]
-        counts = self._file(kind, shard, "counts")[at].astype(np.int64)
+        counts = file["counts"][at].astype(np.int64)
         large = np.flatnonzero((counts == _LARGE).any(axis=1))
         if len(large):
-            nth = np.searchsorted(self._file(kind, shard, "places"), at[large])
-            counts[large] = self._file(kind, shard, "large")[nth]
+            counts[large] = file["large"][np.searchsorted(file["places"], at[large].astype(np.uint64))]
         return at, there, counts
 
     def look_up(self, kind: str, keys: np.ndarray, width: int = 0) -> np.ndarray:
         """Counts by key, 0 where there is none."""
-        found, places = self._of_distinct(kind, keys, width)
-        return found[places]
+        distinct, _, places = _distinct(keys)
+        return self._of_distinct(kind, distinct, width)[places]
 
-    def _of_distinct(self, kind: str, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of the different keys, which of these each key is); they are read in order, shard after shard."""
-        distinct, places = np.unique(keys, return_inverse=True)
+    def _of_distinct(self, kind: str, distinct: np.ndarray, width: int = 0) -> np.ndarray:
+        """Counts of different keys in order; they are read shard after shard."""
         found = np.zeros((len(distinct), width) if width else len(distinct), dtype=np.int64)
         for shard, part in _cut(distinct, self.bits):
             if shard not in self.shards.get(kind, ()):
                 continue
             _, there, counts = self._find(kind, shard, distinct[part])
             found[part][there] = counts if width else counts[:, 0]
-        return found, places
+        return found
 
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last word of each n-gram of word numbers after the others."""
+    def score(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability after the words before it, count) of each of the word hashes of `token_hashes`; those of
+        start tokens mean nothing. Each different n-gram is looked up and worked out once."""
         uniform = 1.0 / (self.types + 1)
-        adjusted = self.look_up("w", keys_of(grams[:, -1:]))
-        own = adjusted - self.discounts[1][np.minimum(adjusted, 3)]
-        chance = own / max(self.continuations, 1) + self.low_mass * uniform
+        distinct, _, places = _distinct(words)
+        numbers, raw = self._numbers_of(distinct)
+        raw = raw[places]
+        # Words not learned have one number and so one key.
+        keys, _, own = _distinct(_keys_of_columns([numbers]))
+        numbers, places = numbers[places], own[places]
+        adjusted = self._of_distinct("w", keys)
+        chance = (adjusted - self.discounts[1][np.minimum(adjusted, 3)]) / max(self.continuations, 1) + self.low_mass * uniform
         for order in range(2, self.order + 1):
-            part = grams[:, self.order - order :]
-            counts = self.look_up(f"g{order}", keys_of(part))
-            context, places = self._of_distinct(f"c{order}", keys_of(part[:, :-1]), 4)
+            # What is kept for an n-gram's words but the last, which are an n-gram of the order below.
+            context = self._of_distinct(f"c{order}", keys, 4)
             total = np.maximum(context[:, 0], 1)
             rest = np.where(context[:, 0] > 0, context[:, 1:] @ self.discounts[order][1:] / total, 1.0)
-            chance = (counts - self.discounts[order][np.minimum(counts, 3)]) / total[places] + rest[places] * chance
-        return np.log10(chance)
+            last = len(numbers) - order + 1
+            keys, at, own = _distinct(_keys_of_columns([numbers[k : k + last] for k in range(order)]))
+            before, after = places[at], places[at + 1]
+            counts = self._of_distinct(f"g{order}", keys)
+            chance = (counts - self.discounts[order][np.minimum(counts, 3)]) / total[before] + rest[before] * chance[after]
+            places = own
+        logs = np.zeros(len(words))
+        logs[self.order - 1 :] = np.log10(chance)[places]
+        return logs, raw
 
 
 @contextmanager
@@ -541,14 +618,19 @@ def score_texts(docs: DataFrame, model: NgramModel) -> DataFrame:
     def step(source):
         model = shared.value
         order = model.order
-        for batch in batches.pieces(source, DOCS_IN_HAND, "text", BYTES_IN_HAND):
-            texts = [batches.words_of(text) for text in batch.column("text").to_pylist()]
-            words, full = token_hashes(texts, order)
-            numbers, counts = model.numbers(words)
-            grams, owner = gram_columns(numbers, full, order)
-            logs, raw = model.score(grams), gram_columns(counts, full, order)[0][:, -1]
+        for batch in batches.pieces(source, DOCS_SCORED, "text", BYTES_SCORED):
+            hashed = []
+            for part in batches.pieces([batch], DOCS_IN_HAND, "text", BYTES_IN_HAND):
+                hashed.append(token_hashes([batches.words_of(text) for text in part.column("text").to_pylist()], order))
+            words, full = (np.concatenate(parts) for parts in zip(*hashed))
+            logs, raw = model.score(words)
+            # Start tokens stand first in each text, and count for nothing.
+            own = np.ones(len(words), dtype=bool)
+            own[((np.cumsum(full) - full)[:, None] + np.arange(order - 1)).ravel()] = False
+            owner = np.repeat(np.arange(len(full)), full - order + 1)
+            logs, raw = logs[own], raw[own]
             base = np.log10((raw + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-            rows, tokens = len(texts), full - order + 1
+            rows, tokens = len(full), full - order + 1
             score = np.bincount(owner, logs, minlength=rows)
             yield {
                 "rest": batch.column("rest"),

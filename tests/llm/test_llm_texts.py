@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -99,6 +100,37 @@ def test_kept_arrays_find_every_key_and_no_other(bits, tmp_path):
     assert not model.look_up("x", absent, 2).any()
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 1000, 5000])
+def test_keys_are_sorted_by_all_their_bits(size):
+    draw = np.random.default_rng(size)
+    # Many keys agree in their first bits, and some in all.
+    keys = draw.integers(0, 40, size, dtype=np.uint64) << np.uint64(56) | draw.integers(0, 50, size, dtype=np.uint64)
+    found, order = ngrams._sorted(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+    assert found.tolist() == keys[order].tolist()
+    distinct, at, places = ngrams._distinct(keys)
+    assert distinct.tolist() == np.unique(keys).tolist() == keys[at].tolist()
+    assert (distinct[places] == keys).all()
+
+
+def test_scoring_opens_a_shard_once_and_searches_different_ngrams_only(make_docs, monkeypatch):
+    model = ngrams.learn(make_docs(TEXTS))
+    for kind, shards in model.shards.items():
+        assert len(os.listdir(f"{model.folder}/{kind}")) == len(shards)
+    searched, opened, search, mapped = [], [], ngrams._search, ngrams._mapped
+    monkeypatch.setattr(ngrams, "_search", lambda known, ends, keys, bits: searched.extend(keys.tolist()) or search(known, ends, keys, bits))
+    monkeypatch.setattr(ngrams, "_mapped", lambda path: opened.append(path) or mapped(path))
+    scores = []
+    for times in (1, 50):
+        searched.clear()
+        words, _ = ngrams.token_hashes([TEXTS[doc].encode().split() for doc in (1, 8)] * times, 3)
+        logs, _ = model.score(words)
+        scores.append((len(searched), logs[: len(words) // times].tolist()))
+    # Only the n-grams over the border of two texts are new among the fifty.
+    assert scores[1][0] <= scores[0][0] + 10 and len(opened) == len(set(opened))
+    assert scores[1][1][2:] == scores[0][1][2:]
+
+
 def test_ngrams_of_nothing(make_docs):
     docs = make_docs(TEXTS)
     empty = ngrams.learn(docs.limit(0))
