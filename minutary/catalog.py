@@ -142,7 +142,7 @@ def _totals(mode: str) -> Query:
 
 def _segments(spark, sf):
     turns = talk_of(spark, sf)
-    words = settle(terms.sentence_terms(turns))
+    words = settle(terms.turn_words(turns))
     return topics.segments(turns, topics.topic_shifts(turns, 2, words=words), words=words)
 
 

@@ -76,17 +76,25 @@ def patterns(lexicon: list[Cue]) -> dict[tuple[str, str], str]:
     found: dict[tuple[str, str], list[str]] = {}
     for cue in lexicon:
         found.setdefault((cue.kind, cue.lang), []).append(cue.pattern)
-    return {key: r"(^|[^\p{L}])(" + "|".join(found[key]) + r")([^\p{L}]|$)" for key in sorted(found)}
+    return {key: _whole_words(found[key]) for key in sorted(found)}
+
+
+def _whole_words(found: list[str]) -> str:
+    return r"(^|[^\p{L}])(" + "|".join(found) + r")([^\p{L}]|$)"
 
 
 def kinds_of(sentence: Column, lexicon: list[Cue], lang: Column) -> Column:
-    """The kinds whose cues in the language `lang` occur in a sentence, as an array."""
+    """The kinds whose cues in the language `lang` occur in a sentence, as an array. One pattern of all cues of
+    a language comes first, as most sentences have none; only the others are tested kind by kind."""
     lowered = F.lower(sentence)
-    hits = [
-        F.when((lang == own) & lowered.rlike(pattern), F.lit(kind)).otherwise(F.lit(""))
-        for (kind, own), pattern in patterns(lexicon).items()
+    found: dict[str, list[Column]] = {}
+    for (kind, own), pattern in patterns(lexicon).items():
+        found.setdefault(own, []).append(F.when(lowered.rlike(pattern), F.lit(kind)).otherwise(F.lit("")))
+    kinds = [
+        F.when((lang == own) & lowered.rlike(_whole_words([cue.pattern for cue in lexicon if cue.lang == own])), F.array_remove(F.array(*hits), ""))
+        for own, hits in found.items()
     ]
-    return F.array_remove(F.array(*hits), "")
+    return F.coalesce(*kinds, F.array().cast("array<string>"))
 
 
 def _nullif_blank(value: Column) -> Column:

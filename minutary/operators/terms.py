@@ -28,10 +28,23 @@ def sentence_terms(turns: DataFrame) -> DataFrame:
     return each.groupBy(*_SENTENCE, "term").agg(F.count("*").cast("int").alias("n"))
 
 
+def turn_words(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(meeting_id, turn, `keep`, words): the words of each sentence of a turn, as an array of arrays in its own row. Written
+    once, it serves counts, summaries, cosines and segments in place of the text; nothing is shuffled for it."""
+    words = F.transform(tx.sentence_list(F.col("text")), tx.word_list)
+    return turns.select("meeting_id", "turn", *keep, words.alias("words"))
+
+
+def each_word(words: DataFrame) -> DataFrame:
+    """(meeting_id, turn, pos, term, n) for each word of a table made by `turn_words`; n is 1."""
+    said = words.select("meeting_id", "turn", F.posexplode("words").alias("pos", "_said"))
+    return said.select(*_SENTENCE, F.explode("_said").alias("term"), F.lit(1).alias("n"))
+
+
 def term_weights(turns: DataFrame, n: int = 1, keys: tuple[str, ...] = MEETING, words: DataFrame | None = None) -> DataFrame:
     """Count x ln(meetings / meetings with the term), for each term of each meeting.
 
-    `words`, from `sentence_terms` and with the columns of `keys`, spares the text a reading.
+    `words` (the columns of `keys`, term and n), such as `sentence_terms` or `topics.segment_terms`, spares the text a reading.
 
     A word used in every meeting is a hot key of the join. It is one row on the small
     side and split on the large one by adaptive execution. Meetings are counted from the
@@ -97,14 +110,14 @@ def key_sentences(
     weight. `place` is the rank; sort by turn and pos for reading order.
 
     `scorer`, a vectorized function of the sentence, replaces the weight: see
-    `functions.hooks.sentence_scorer`.
+    `functions.hooks.sentence_scorer`. `words`, from `turn_words`, spares the text a reading.
     """
     found = _sentence_words(turns)
     if scorer is not None:
         scored = found.filter(F.size("words") >= min_words).select(*_SENTENCE, tx.rounded(scorer(F.col("sentence"))).alias("score"))
     else:
         weights = term_weights(turns) if weights is None else weights
-        each = sentence_terms(turns) if words is None else words
+        each = sentence_terms(turns) if words is None else each_word(words)
         weighed = ordering.join_on(each, weights.select("meeting_id", "term", "weight"), ["meeting_id", "term"])
         # Weights have six places, so millionths add up exactly in any order.
         millionths = F.sum(F.round(F.col("weight") * 1_000_000).cast("long") * F.col("n")) / F.sum("n")

@@ -16,7 +16,8 @@ def turn_cosines(
 
     Each word goes into two sums: its turn as the later one of a pair, and as the
     earlier one. Grouping by pair and word then holds both counts side by side, so
-    turns are not joined to each other. A blank word marks both ends of a pair.
+    turns are not joined to each other. A blank word marks both ends of a pair. Words travel
+    as an array per turn and are counted where the pair is. `words` is from `terms.turn_words`.
 
     Which turn comes next follows from the keys alone, each once; a repeated key is one turn with the
     words of all its rows. Turns without a key are in no pair.
@@ -24,16 +25,17 @@ def turn_cosines(
     known = turns.filter("meeting_id IS NOT NULL AND turn IS NOT NULL")
     keys = known.select("meeting_id", "turn").distinct()
     following = ordering.with_next(ordering.block_by_turn(keys, block_turns), ["meeting_id"], ["turn"], {"_next": "turn"})
-    spoken = (terms.sentence_terms(known) if words is None else words).select("meeting_id", "turn", F.col("term").alias("word"), "n")
-    ends = keys.select("meeting_id", "turn", F.lit("").alias("word"), F.lit(1).alias("n"))
-    rows = spoken.unionByName(ends).join(following.select("meeting_id", "turn", "_next"), ["meeting_id", "turn"])
+    none = F.array().cast("array<string>")
+    said = F.concat(F.coalesce(F.flatten("words"), none), F.array(F.lit(""))).alias("_said")
+    spoken = (terms.turn_words(known) if words is None else words).select("meeting_id", "turn", said)
+    rows = spoken.join(following.select("meeting_id", "turn", "_next"), ["meeting_id", "turn"])
     pair = F.array(
         F.struct(F.col("turn").alias("at"), F.lit(1).alias("_late"), F.lit(0).alias("_early")),
         F.struct(F.col("_next").alias("at"), F.lit(0).alias("_late"), F.lit(1).alias("_early")),
     )
-    sides = rows.select("meeting_id", "word", "n", F.inline(pair)).filter("at IS NOT NULL")
-    late, early = F.sum(F.col("_late") * F.col("n")), F.sum(F.col("_early") * F.col("n"))
-    counts = sides.groupBy("meeting_id", "at", "word").agg(late.alias("a"), early.alias("b"))
+    sides = rows.select("meeting_id", "_said", F.inline(pair)).filter("at IS NOT NULL").repartition("meeting_id", "at")
+    each = sides.select("meeting_id", "at", "_late", "_early", F.explode("_said").alias("word"))
+    counts = each.groupBy("meeting_id", "at", "word").agg(F.sum("_late").alias("a"), F.sum("_early").alias("b"))
     real = F.col("word") != ""
     sums = counts.groupBy("meeting_id", "at").agg(
         F.sum(F.when(real, F.col("a") * F.col("b")).otherwise(0)).alias("ab"),
@@ -70,6 +72,15 @@ def number_segments(turns: DataFrame, shifts: DataFrame, block_turns: int = orde
     return ordering.join_on(turns, placed, ["meeting_id", "turn"])
 
 
+def segment_terms(numbered: DataFrame, words: DataFrame) -> DataFrame:
+    """(meeting_id, segment, term, n): how often each stretch has each word. `numbered` is from `number_segments`,
+    `words` from `terms.turn_words`, of which one row meets each turn."""
+    places = numbered.select("meeting_id", "turn", "segment").distinct()
+    spoken = ordering.join_on(words.select("meeting_id", "turn", F.flatten("words").alias("_said")), places, ["meeting_id", "turn"])
+    each = spoken.select("meeting_id", "segment", F.explode("_said").alias("term"))
+    return each.groupBy("meeting_id", "segment", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def segments(
     turns: DataFrame,
     shifts: DataFrame,
@@ -79,20 +90,22 @@ def segments(
 ) -> DataFrame:
     """First and last turn, counts and key terms of each stretch between shifts. Terms
     are weighed against all other stretches; there are never more than `terms_each`. `words`,
-    from `terms.sentence_terms`, spares the text a reading."""
-    key = ["meeting_id", "segment"]
+    from `terms.turn_words`, spares the text a reading."""
     # A few rows per meeting, read several times below.
     shifts = settle(shifts.select("meeting_id", "turn"))
     numbered = number_segments(turns.select("meeting_id", "turn", "speaker"), shifts, block_turns)
+    return described(numbered, segment_terms(numbered, terms.turn_words(turns) if words is None else words), terms_each)
+
+
+def described(numbered: DataFrame, spoken: DataFrame, terms_each: int = 3) -> DataFrame:
+    """`segments` of turns that `number_segments` numbered, with what `segment_terms` counted in them."""
+    key = ["meeting_id", "segment"]
     spans = numbered.groupBy(*key).agg(
         F.min("turn").alias("first_turn"),
         F.max("turn").alias("last_turn"),
         F.count(F.lit(1)).alias("turns"),
         F.countDistinct("speaker").alias("speakers"),
     )
-    places = numbered.select("meeting_id", "turn", "segment").distinct()
-    spoken = terms.sentence_terms(turns) if words is None else words
-    spoken = ordering.join_on(spoken, places, ["meeting_id", "turn"])
     weights = terms.term_weights(numbered, keys=("meeting_id", "segment"), words=spoken)
     best = terms.key_terms(numbered, terms_each, keys=("meeting_id", "segment"), weights=weights)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "term")))

@@ -46,18 +46,19 @@ def minutes_tables(
 ) -> Tables:
     """The minutes as tables.
 
-    The words of each sentence with their counts feed key terms, summary, cosines and
-    segments; with `write_tables` they are written to the shared folder once, and so are
-    the keys, speakers and lengths of turns and the weights of words. The text itself is then
-    read for cues and for the sentences picked.
+    The words of each turn feed key terms, summary, cosines and segments; with `write_tables` they
+    are written to the shared folder once, with the keys, speakers and lengths of turns, and so are the
+    counts of words by stretch, from which those by meeting follow, their weights, and the heads, which
+    `render_lines` takes apart several times. The text itself is then read for cues and for the sentences picked.
     """
-    words = terms.sentence_terms(turns)
-    keys = turns.select("meeting_id", "turn", "speaker", F.length("text").alias("chars"))
-    if write_tables:
-        words, keys = settle(words), settle(keys)
-    weights = terms.term_weights(keys, words=words)
-    if write_tables:
-        weights = settle(weights)
+    kept = settle if write_tables else lambda rows: rows
+    words = kept(terms.turn_words(turns.withColumn("chars", F.length("text")), ("speaker", "chars")))
+    keys = words.select("meeting_id", "turn", "speaker", "chars")
+    # A few rows per meeting, and read more than once.
+    shifts = settle(topics.topic_shifts(keys, shifts_each, block_turns, words).select("meeting_id", "turn"))
+    numbered = kept(topics.number_segments(keys.select("meeting_id", "turn", "speaker"), shifts, block_turns))
+    counted = kept(topics.segment_terms(numbered, words))
+    weights = kept(terms.term_weights(keys, words=counted))
     heads = keys.groupBy("meeting_id").agg(
         F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("turns")
     )
@@ -72,11 +73,11 @@ def minutes_tables(
         ["turn", "pos", "sentence", "score"],
         "summary",
     )
-    shifts = topics.topic_shifts(keys, shifts_each, block_turns, words)
-    parts = topics.segments(keys, shifts, block_turns=block_turns, words=words)
+    parts = topics.described(numbered, counted)
     stretches = _listed(parts, ["meeting_id"], ["segment", "first_turn", "last_turn", "speakers", "terms"], "topics")
     for section in (key_terms, stretches, summary):
         heads = ordering.join_on(heads, section, ["meeting_id"], "left")
+    heads = kept(heads)
     people = talk.speaker_stats(keys).select("meeting_id", "speaker", "turns", "chars", "first_turn", "share")
     listed = found.select("meeting_id", "turn", "pos", "kind", "owner", "due", "sentence", "item_id")
     return Tables(heads, people, listed, keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from minutary import catalog
 from minutary.operators import items, joins, search, shaping, talk, terms, topics
 from minutary.plans import minutes
+from minutary.session import settle
 
 
 def plan_of(df) -> str:
@@ -55,6 +56,19 @@ def test_minutes_read_the_source_three_times(spark, sf):
     assert 1 <= len(re.findall(r"FileScan parquet [^\n]*conversations", final)) <= 3
 
 
+def test_lines_of_minutes_read_the_heads_once_worked_out(spark, sf):
+    """Key terms, topics and summary are taken from a table, not worked out again for each section."""
+    shown = plan_of(minutes.render_lines(minutes.minutes_tables(catalog.talk_of(spark, sf))))
+    assert shown.count("Window") == 0
+
+
+def test_words_travel_as_arrays_to_the_cosines(spark, sf):
+    turns = catalog.talk_of(spark, sf)
+    shown = plan_of(topics.turn_cosines(turns, words=settle(terms.turn_words(turns))))
+    # Counting by pair and word, and by pair, needs no shuffle of its own.
+    assert shown[: shown.index("Generate explode")].count("Exchange") == 0
+
+
 def test_items_need_no_shuffle(spark, sf):
     assert "Exchange" not in plan_of(items.cue_items(shaping.sentences(catalog.talk_of(spark, sf))))
 
