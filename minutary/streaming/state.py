@@ -10,6 +10,7 @@ Processors are built inside functions, so Spark ships them to executors by value
 
 from __future__ import annotations
 
+import json
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,7 +40,8 @@ def _ordered_processor(follow):
     turns, place(row) to sort by, take(row, out) for one turn of (micros, turn, speaker,
     chars), and settle(passed, out) after the run, which returns a time to wake up or
     None. State is read and written once per run, since each access is a round trip to
-    the JVM.
+    the JVM. Turns that arrive together wait as one row of state, in JSON, since every row has a cost
+    of its own; there are never more of them than in a batch of Arrow.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -48,7 +50,7 @@ def _ordered_processor(follow):
     class Ordered(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.waiting = handle.getListState("waiting", "micros long, turn long, speaker string, chars long")
+            self.waiting = handle.getListState("waiting", "turns string")
             self.follow = follow()
             self.follow.open(handle)
 
@@ -56,29 +58,31 @@ def _ordered_processor(follow):
             self.handle.registerTimer((micros // 1000 // minute + 1) * minute)
 
         def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            earliest = None
+            earliest, arrived = None, []
             for batch in rows:
                 columns = [batch[name].tolist() for name in ("micros", "turn", "speaker", "chars")]
                 if not columns[0]:
                     continue
-                self.waiting.appendList(list(zip(*columns)))
+                arrived.append((json.dumps(list(zip(*columns))),))
                 first = min(columns[0])
                 earliest = first if earliest is None else min(earliest, first)
             if earliest is not None:
+                self.waiting.appendList(arrived)
                 self.wake_after(earliest)
-            return iter([pd.DataFrame()])
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             passed = timerValues.getCurrentWatermarkInMs() * 1000
             due, rest = [], []
-            for row in self.waiting.get() if self.waiting.exists() else ():
-                (due if row[0] < passed else rest).append(tuple(row))
+            for packed in self.waiting.get() if self.waiting.exists() else ():
+                turns = json.loads(packed[0])
+                due += [row for row in turns if row[0] < passed]
+                rest.append([row for row in turns if row[0] >= passed])
+            rest = [turns for turns in rest if turns]
             if due and rest:
-                self.waiting.put(rest)
+                self.waiting.put([(json.dumps(turns),) for turns in rest])
             elif due:
                 self.waiting.clear()
             out = []
@@ -88,7 +92,7 @@ def _ordered_processor(follow):
             wake = self.follow.settle(passed, out)
             self.follow.store()
             if rest:
-                self.wake_after(min(row[0] for row in rest))
+                self.wake_after(min(row[0] for turns in rest for row in turns))
             if wake is not None:
                 self.wake_after(wake)
             if out:

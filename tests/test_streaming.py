@@ -247,3 +247,50 @@ def test_marks_of_lateness_do_not_pile_up(spark, tmp_path, make_turns):
     late = spark.read.parquet(str(tmp_path / "late"))
     assert [r.turn for r in late.collect()] == [4]
     assert spark.read.parquet(str(tmp_path / "ontime")).count() == 5
+
+
+def test_turns_that_arrive_together_wait_as_one_row():
+    """Rows of state are what costs; the outcome does not depend on how turns arrive."""
+    import pandas as pd
+
+    class Listed(list):
+        appendList, exists, get = list.extend, lambda self: bool(self), lambda self: iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Listed()
+
+        def registerTimer(self, millis):
+            pass
+
+    class Follow:
+        columns = ["turn", "speaker"]
+        open = load = store = lambda self, *handle: None
+
+        def place(self, row):
+            return row[0], row[1]
+
+        def take(self, row, out):
+            out.append((row[1], row[2]))
+
+        def settle(self, passed, out):
+            return None
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    rows = pd.DataFrame({"micros": range(0, 90_000, 1000), "turn": range(90), "speaker": ["änn", None, '"eve"'] * 30, "chars": [1] * 90})
+    kept = state._ordered_processor(Follow)
+    kept.init(Handle())
+    list(kept.handleInputRows((1,), iter([rows[:30], rows[:0], rows[30:]]), None))
+    assert len(kept.waiting) == 2
+    clock, found = Clock(), []
+    for clock.now in (40, 40, 1000):
+        for frame in kept.handleExpiredTimer((1,), clock, None):
+            found.append(frame)
+    assert [len(frame) for frame in found] == [40, 50] and not kept.waiting
+    assert list(zip(*[pd.concat(found)[name].tolist() for name in Follow.columns])) == list(zip(rows.turn.tolist(), rows.speaker.tolist()))
