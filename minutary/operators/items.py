@@ -13,7 +13,8 @@ from minutary.session import settle
 
 _PLACE = ["meeting_id", "turn", "pos"]
 CLOSES_AT = 0.5
-RARE_WORDS = 3
+# Lists of more words than this do not travel with each word of a wording.
+LISTED_WORDS = 256
 # Scores looked for one after the other, before the least that counts.
 LEVELS = (1.0, 0.5, 0.25)
 
@@ -80,48 +81,71 @@ def open_items(items: DataFrame, done: DataFrame, opened: str = "opened_at", clo
 
 
 def _word_sets(items: DataFrame) -> DataFrame:
-    """Items with their words and an id of the set of these."""
-    words = F.array_sort(F.array_distinct(tx.word_list(F.col("sentence"))))
+    """Items with the hashes of their words and an id of the set of these."""
+    words = F.array_sort(F.array_distinct(F.transform(tx.word_list(F.col("sentence")), lambda word: F.xxhash64(word))))
     return items.withColumn("_words", words).withColumn("_set", F.xxhash64("_words"))
 
 
-def _rare_words(actions: DataFrame, reports: DataFrame) -> DataFrame:
-    """(word, action_set, _first, _whole, _ranked, _reach): each wording of an action under its three rarest words.
+def _wordings(actions: DataFrame, reports: DataFrame) -> DataFrame:
+    """(_set, _words, _first, _told): the different wordings, where an action has it first (null: nowhere) and whether a report has it."""
+    asked = actions.select("_set", "_words", F.col("opened_at").alias("_first"), F.lit(False).alias("_told"))
+    told = reports.select("_set", "_words", F.lit(True).alias("_told"))
+    both = asked.unionByName(told, allowMissingColumns=True)
+    return both.groupBy("_set", "_words").agg(F.min("_first").alias("_first"), F.max("_told").alias("_told"))
 
-    `_ranked` has its words from the rarest with their weights, ln(wordings / wordings with the word) in millionths, and
-    `_whole` is what these come to. `_reach` is the highest score of a report that has this word and none that
-    is rarer. `_first` is where the wording is used first.
-    """
-    every = actions.select("_set", "_words").unionByName(reports.select("_set", "_words")).distinct()
-    total = every.count()
-    counts = every.select("_set", F.explode("_words").alias("word")).groupBy("word").count()
+
+def _weights(wordings: DataFrame) -> DataFrame:
+    """(word, count, weight, w) for each word that an action has: ln(wordings / wordings with the word), `w` in millionths."""
+    total = wordings.count()
+    each = wordings.select("_first", F.explode("_words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("count"), F.count("_first").alias("_asked")).filter("_asked > 0")
     weight = F.ln(F.lit(float(total + 1)) / F.col("count"))
-    wanted = actions.groupBy("_set", "_words").agg(F.min("opened_at").alias("_first"))
-    each = wanted.select("_set", "_first", F.explode("_words").alias("word")).join(counts, "word")
-    part = F.round(weight * 1_000_000).cast("long")
-    ranked = each.groupBy(F.col("_set").alias("action_set"), "_first").agg(
-        F.array_sort(F.collect_list(F.struct("count", "word", part.alias("w")))).alias("_ranked"), F.sum(weight).alias("_whole")
-    )
-    keys = ranked.select("*", F.posexplode(F.slice("_ranked", 1, RARE_WORDS)).alias("_at", "_key"))
-    left = F.slice("_ranked", F.col("_at") + 1, F.size("_ranked"))
-    return keys.select(F.col("_key.word").alias("word"), "action_set", "_first", "_whole", "_ranked", _score(left).alias("_reach"))
-
-
-def _score(shared: Column) -> Column:
+    return counts.select("word", "count", weight.alias("weight"), F.round(weight * 1_000_000).cast("int").alias("w"))
+
+
+def _under_each_word(wordings: DataFrame, weights: DataFrame) -> DataFrame:
+    """Wordings under each of their words that an action has, with `_left`, the weight of this word and of those that are not
+    rarer, and `_whole`, that of all. `_rest` and `_rest_w` list what is left, or are null if it is more than `LISTED_WORDS` words.
+    """
+    weighed = wordings.withColumn("word", F.explode("_words")).drop("_words").join(weights, "word")
+    one = Window.partitionBy("_set")
+    common_first = one.orderBy(F.desc("count"), F.desc("word"))
+    so_far = common_first.rowsBetween(Window.unboundedPreceding, 0)
+    few = F.col("_place") <= LISTED_WORDS
+    found = weighed.withColumn("_place", F.row_number().over(common_first)).withColumns({
+        "_left": F.sum("w").over(so_far), "_whole": F.sum("weight").over(one),
+        "_listed": F.collect_list(F.when(few, F.struct("word", "w"))).over(so_far),
+    })
+    lists = {"_rest": F.when(few, F.col("_listed.word")), "_rest_w": F.when(few, F.col("_listed.w"))}
+    return found.withColumns(lists).drop("count", "weight", "_place", "_listed")
+
+
+def _share(millionths: Column) -> Column:
     """The share of an action's weight that some of its words have."""
-    sum_of = F.aggregate(shared, F.lit(0).cast("long"), lambda so_far, each: so_far + each["w"])
-    return tx.rounded(sum_of / 1_000_000 / F.col("_whole"), 4)
+    return tx.rounded(millionths / 1_000_000 / F.col("_whole"), 4)
 
 
-def _best_wordings(keys: DataFrame, reports: DataFrame, least: float) -> DataFrame:
+def _best_wordings(keys: DataFrame, told: DataFrame, reports: DataFrame, least: float, long: bool) -> DataFrame:
     """(action_set, report, told_at, score): the earlier wordings with the highest score for a report, if it is `least` or more.
 
-    Wordings meet under a word with all that the score needs, so only pairs that reach `least` leave the join.
+    Wordings of actions (`keys`) and reports (`told`) meet under each word that can be the rarest they share if they reach `least`,
+    which takes enough weight left on both sides. The score is worked out from what is left, which travels with the words, so only
+    pairs that reach `least` leave the join. Under its other words a pair scores no more. If there are `long` wordings, whose
+    words are not all listed, their pairs are joined by words instead.
     """
-    there = reports.select(F.col("_set").alias("report_set"), "_words").distinct()
-    met = keys.filter(F.col("_reach") >= least).join(there.select("*", F.explode("_words").alias("word")), "word")
-    shared = F.filter("_ranked", lambda each: F.array_contains("_words", each["word"]))
-    pairs = met.select("action_set", "_first", "report_set", _score(shared).alias("score")).filter(F.col("score") >= least)
+    asked = keys.filter(_share(F.col("_left")) >= least).withColumnRenamed("_set", "action_set")
+    there = told.withColumnsRenamed({"_set": "report_set", "_left": "_told_left", "_rest": "_told_rest"})
+    met = asked.join(there, "word").filter(_share(F.col("_told_left")) >= least)
+    pair = ["action_set", "report_set", "_first", "_whole"]
+    both = F.zip_with("_rest", "_rest_w", lambda word, w: F.when(F.array_contains("_told_rest", word), w).otherwise(0))
+    shared = F.aggregate(both, F.lit(0).cast("long"), lambda so_far, w: so_far + w)
+    summed = met.filter("_rest IS NOT NULL AND _told_rest IS NOT NULL").select(*pair, shared.alias("_shared"))
+    if long:
+        cut = met.filter("_rest IS NULL OR _told_rest IS NULL").select(*pair).distinct()
+        each = cut.join(keys.select(F.col("_set").alias("action_set"), "word", "w"), "action_set")
+        common = each.join(there.select("report_set", "word"), ["report_set", "word"])
+        summed = summed.unionByName(common.groupBy(*pair).agg(F.sum("w").alias("_shared")))
+    pairs = summed.withColumn("score", _share(F.col("_shared"))).filter(F.col("score") >= least).drop("_whole", "_shared")
     asking = reports.select(F.col("item_id").alias("report"), F.col("_set").alias("report_set"), "told_at").join(pairs, "report_set")
     by_score = Window.partitionBy("report").orderBy(F.desc("score"))
     ranked = asking.filter("_first < told_at").withColumn("_rank", F.rank().over(by_score))
@@ -135,8 +159,8 @@ def closed_items(items: DataFrame, opening: str = "action", closing: str = "done
     A report closes one item: of the earlier ones whose wording it shares to at least `least`, the one with the highest
     score, of these the latest, and then the smallest id. Only wordings are matched, so a wording
     used very often is one, and of its items the latest before the report is found in order, without pairs.
-    A wording of an action is looked for by its three rarest words; the score is the share of its words' weight,
-    ln(wordings / wordings with the word), that the report has too. High scores are looked for first: they need
+    The score is the share of the weight of an action's words, ln(wordings / wordings with the word), that the report has too.
+    No pair that reaches `least`, which is above 0, is left out. High scores are looked for first: they need
     fewer and rarer words, and a report that has found one is not looked at again.
     Items without a meeting or turn stay open and close nothing; sentences without words match nothing.
     """
@@ -144,11 +168,17 @@ def closed_items(items: DataFrame, opening: str = "action", closing: str = "done
     at = lambda late: F.struct(*_PLACE, F.lit(late).alias("late"))
     actions = settle(placed.filter(F.col("kind") == opening).select("item_id", "_set", "_words", at(1).alias("opened_at")))
     reports = settle(placed.filter(F.col("kind") == closing).select("item_id", "_set", "_words", at(0).alias("told_at")))
-    keys, found = settle(_rare_words(actions, reports)), []
-    waiting = reports
+    wordings = settle(_wordings(actions, reports))
+    weights = settle(_weights(wordings))
+    long = not wordings.filter(F.size("_words") > LISTED_WORDS).isEmpty()
+    keys = settle(_under_each_word(wordings.filter("_first IS NOT NULL").drop("_told"), weights))
+    told = settle(_under_each_word(wordings.filter("_told").select("_set", "_words"), weights).select("_set", "word", "_left", "_rest"))
+    waiting, found = reports, []
     for level in [*(level for level in LEVELS if level > least), least]:
-        found.append(settle(_best_wordings(keys, waiting, level)))
-        waiting = settle(waiting.join(found[-1].select(F.col("report").alias("item_id")), "item_id", "left_anti"))
+        if found:
+            waiting = settle(waiting.join(found[-1].select(F.col("report").alias("item_id")), "item_id", "left_anti"))
+            told = settle(told.join(waiting.select("_set").distinct(), "_set", "left_semi"))
+        found.append(settle(_best_wordings(keys, told, waiting, level, long)))
     asking = reduce(DataFrame.unionByName, found)
     # One mark per wording and place: of several the smallest id.
     marks = actions.groupBy(F.col("_set").alias("action_set"), "opened_at").agg(F.min("item_id").alias("closes"))

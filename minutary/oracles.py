@@ -423,13 +423,12 @@ SQL["closed_items"] = f"""WITH told AS (SELECT concat(meeting_id, '-', turn) AS
   FROM {SPOKEN} WHERE pos = 0 AND speaker <> 'system'),
   wordings AS (SELECT DISTINCT words FROM told),
   rarity AS (SELECT word, count(*) AS n, ln(((SELECT count(*) FROM wordings) + 1) / count(*)) AS weight FROM (SELECT unnest(words) AS word FROM wordings) GROUP BY word),
-  each AS (SELECT item_id, a.word, n, weight, row_number() OVER (PARTITION BY item_id ORDER BY n, a.word) AS place
-    FROM (SELECT item_id, unnest(words) AS word FROM told WHERE speaker = 'user') a JOIN rarity USING (word)),
+  each AS (SELECT item_id, a.word, weight FROM (SELECT item_id, unnest(words) AS word FROM told WHERE speaker = 'user') a JOIN rarity USING (word)),
   whole AS (SELECT item_id, sum(weight) AS whole FROM each GROUP BY item_id),
-  met AS (SELECT e.item_id, d.item_id AS report, sum(CAST(round(e.weight * 1000000) AS BIGINT)) AS w, min(e.place) AS place
+  met AS (SELECT e.item_id, d.item_id AS report, sum(CAST(round(e.weight * 1000000) AS BIGINT)) AS w
     FROM each e JOIN (SELECT item_id, meeting_id, turn, unnest(words) AS word FROM told WHERE speaker = 'assistant') d ON d.word = e.word
     JOIN told t ON t.item_id = e.item_id AND (t.meeting_id, t.turn) < (d.meeting_id, d.turn) GROUP BY ALL),
-  scored AS (SELECT m.item_id, m.report, round(w / 1000000 / whole, 4) AS score FROM met m JOIN whole USING (item_id) WHERE place <= 3),
+  scored AS (SELECT m.item_id, m.report, round(w / 1000000 / whole, 4) AS score FROM met m JOIN whole USING (item_id)),
   best AS (SELECT s.item_id, s.report, r.meeting_id, r.turn, row_number() OVER (PARTITION BY s.report ORDER BY score DESC, t.meeting_id DESC, t.turn DESC, s.item_id) AS rank
     FROM scored s JOIN told t ON t.item_id = s.item_id JOIN told r ON r.item_id = s.report WHERE score >= 0.1),
   closed AS (SELECT item_id, arg_min(report, (meeting_id, turn)) AS closed_by FROM best WHERE rank = 1 GROUP BY item_id)

@@ -124,3 +124,50 @@ def test_closing_writes_no_pairs_of_wordings(spark, rows, monkeypatch):
     found = rows(items.closed_items(spark.createDataFrame([(*row, "x") for row in told], ITEMS), least=0.1), "item_id", "closed_by")
     assert found == [(f"a{n:03}", f"d{n:03}") for n in range(200)]
     assert max(written) <= 3 * 200
+
+
+def closed_by_all_pairs(rows, least):
+    """The rule of `closed_items`, with every action tried for every report."""
+    import math
+
+    sets = {row[0]: frozenset(re.findall(r"[^\W\d_]+", row[5].lower())) for row in rows}
+    wordings = set(sets.values())
+    weight = {w: math.log((len(wordings) + 1) / sum(w in each for each in wordings)) for each in wordings for w in each}
+    whole = {name: sum(weight[w] for w in own) for name, own in sets.items()}
+    share = lambda action, report: round(sum(round(weight[w] * 1e6) for w in sets[action] & sets[report]) / 1e6 / whole[action], 4)
+    closed = {}
+    for report in sorted((row for row in rows if row[4] == "done"), key=lambda row: (*row[1:4], row[0])):
+        earlier = [row for row in rows if row[4] == "action" and row[1:4] < report[1:4] and sets[row[0]]]
+        scored = [(share(row[0], report[0]), *row[1:4], row[0]) for row in earlier if share(row[0], report[0]) >= least]
+        if scored:
+            best = min(scored, key=lambda each: (*(-number for number in each[:4]), each[4]))
+            closed.setdefault(best[4], report[0])
+    return sorted(((row[0], closed.get(row[0])) for row in rows if row[4] == "action"), key=repr)
+
+
+def test_a_report_without_the_rarest_words_of_an_action_closes_it(spark, rows):
+    told = [("a0", 1, 0, 0, "action", "Kim prints rare orchid labels for the garden show in spring")]
+    told += [(f"a{n}", 1, n, 0, "action", f"own{'abcdefghijklmnopqrstuvwxyz'[n]}") for n in range(1, 25)]
+    told += [("d0", 2, 0, 0, "done", "labels for the garden show in spring")]
+    frame = spark.createDataFrame([(*row, "x") for row in told], ITEMS)
+    found = rows(items.closed_items(frame), "item_id", "closed_by")
+    assert ("a0", "d0") in found and found == closed_by_all_pairs(told, 0.5)
+
+
+@pytest.mark.parametrize("listed", [items.LISTED_WORDS, 2])
+def test_closing_looks_at_every_word(spark, rows, monkeypatch, listed):
+    """Actions of many words of their own; few reports have one of these. The lists of words travel, or are fetched."""
+    monkeypatch.setattr(items, "LISTED_WORDS", listed)
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}" for a in "abcdef" for b in "uvwxyz"]
+    told = []
+    for n in range(160):
+        own = [f"own{letters[n % 26]}{letters[n // 26]}{letters[at]}" for at in range(rng.choice([0, 3, 5, 9]))]
+        kind = rng.choice(["action", "done"])
+        sentence = " ".join(["common", *rng.sample(words, rng.choice([2, 4, 8])), *(own if kind == "action" else own[:1])])
+        told.append((f"i{n:03}", rng.randrange(4), n // 2, n % 2, kind, sentence))
+    frame = spark.createDataFrame([(*row, "x") for row in told], ITEMS)
+    expected = closed_by_all_pairs(told, 0.1)
+    assert rows(items.closed_items(frame, least=0.1), "item_id", "closed_by") == expected
+    assert sum(closed is not None for _, closed in expected) >= 20
